@@ -4,8 +4,8 @@ Jaccard distance d = 1 - J is a metric; two documents link when d <= r (r = 0.2
 of equal sets:
 
 1. Anchors. Order all shingles once, the same way everywhere (a bounded list of shingles that are common in a sample goes
-   last, the rest follow their hash). Sets with J >= t share a shingle among the first n - ceil(t n) + 1 of each. Unrelated
-   texts all lie at distance 1 from one another, where no pivot can tell them apart; the anchors therefore decide which
+   last, the rest follow their hash). Sets with J >= t share at least m shingles among the first n - ceil(t n) + m of each;
+   m grows with n, so texts that only share a passage drop out before their sets are read. Unrelated texts all lie at distance 1 from one another, where no pivot can tell them apart; the anchors therefore decide which
    pivots a document can lie near at all. Any order is right; the list only keeps regions small.
 2. Regions. The classes sharing an anchor form a region; its smallest classes become pivots, and the distance of every
    member to them is computed exactly. A member within r of a pivot is linked.
@@ -36,6 +36,8 @@ from wordloom.llm.common import saved, ship, small_batches
 from wordloom.llm.components import components
 
 U64 = np.uint64
+#: Ids of up to so many documents are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Documents sampled to find common shingles, how often one must occur among them, and how many are listed at most.
 SAMPLE_DOCS, COMMON_IN_SAMPLE, COMMON_MOST = 8_000, 3, 65_536
 
@@ -58,6 +60,11 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> Iterator[np.
             yield np.zeros(0, U64)
 
 
+def _needed(n):
+    """Anchors that a set of n shingles must share with another to be near it."""
+    return 1 + n // 32
+
+
 def class_key(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit numbers that equal sets share."""
     a = int(np.add.reduce(vt.splitmix(s + U64(len(s)))) if len(s) else 0)
@@ -117,7 +124,7 @@ def _scan(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                         late = by_value[at] == s
                         if late.any():
                             s = np.concatenate([s[~late], s[late][np.argsort(-rank[at[late]], kind="stable")][::-1]])
-                    s = s[: n - (num * n + den - 1) // den + 1]
+                    s = s[: n - (num * n + den - 1) // den + _needed(n)]
                 anchors.append(s)
                 lengths.append(lengths[-1] + len(s))
             flat = np.concatenate(anchors) if anchors else np.zeros(0, U64)
@@ -179,14 +186,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     scan = saved(_scan(docs, width, percent, 100), "jaccard")
     classes = scan.filter("n > 0").groupBy(_cid().alias("cid")).agg(F.min("doc_id").alias("first"))
     spread = scan.filter("n > 0").select(F.explode("anchors").alias("anchor"), _cid().alias("cid"), "n")
-    shared = spread.groupBy("anchor").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("anchor")
-    members = saved(spread.join(shared, "anchor").distinct(), "members")
+    meet = lambda rows: rows.groupBy("anchor").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("anchor")
+    members = saved(spread.join(meet(spread), "anchor").distinct(), "members")
+    # a partner has at least t n shingles, and so shares at least _needed(t n) anchors
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 32)
+    able = members.groupBy("cid", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("cid")
+    members = saved(members.join(able, "cid"), "members")
+    members = members.join(meet(members), "anchor")
     # regions with the same members make the same comparisons: keep one of each
     alike = members.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("v"), F.sum(F.xxhash64("cid", F.lit(1)).cast("decimal(38,0)")).alias("w"))
     kept = alike.groupBy("k", "v", "w").agg(F.min("anchor").alias("anchor")).select("anchor")
     regions = saved(members.join(kept, "anchor").select("anchor", "cid", "n", F.lit(None).cast("double").alias("d")), "regions")
     wanted = regions.select("cid").distinct()
-    ids = wanted.join(classes, "cid").select(F.col("first")).distinct()
+    ids = saved(wanted.join(classes, "cid").select(F.col("first")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     again = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     sets = saved(_set_table(again, width).join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
     roots = _link(regions, sets, reach, percent)

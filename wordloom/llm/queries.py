@@ -7,17 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.common import table
+from wordloom.llm import quality_rules
 from wordloom.llm.jaccard_join import jaccard_components
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")), "doc_id")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op9_jaccard_join": op9_jaccard_join,
     }
 
