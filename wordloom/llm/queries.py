@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wordloom.llm.common import table
-from wordloom.llm import quality_rules
+from wordloom.llm import bpe, mixing, quality_rules, toxicity
+from wordloom.llm.common import fold, table
 from wordloom.llm.jaccard_join import jaccard_components
 
-WORD = r"[^\x20\x09-\x0D]+"
+TOXIC_FROM = 0.3
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,14 +20,33 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")), "doc_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is not held out, and not learned from."""
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    grammar = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held))
+    rows = toxicity.score(docs, grammar, "doc_id")
+    return rows.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op4_toxicity": op4_toxicity,
+        "op8_bpe": op8_bpe,
         "op9_jaccard_join": op9_jaccard_join,
+        "op10_source_mixing": op10_source_mixing,
     }
 
 
