@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,3 +57,9 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def words(text: Column) -> Column:
     """The maximal runs without space, tab, LF, VT, FF and CR; an empty array for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of frames that no longer exist; they would stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
