@@ -7,15 +7,17 @@ of equal sets:
    last, the rest follow their hash). Sets with J >= t share at least m shingles among the first n - ceil(t n) + m of each;
    m grows with n, so texts that only share a passage drop out before their sets are read. Unrelated texts all lie at distance 1 from one another, where no pivot can tell them apart; the anchors therefore decide which
    pivots a document can lie near at all. Any order is right; the list only keeps regions small.
-2. Regions. The classes sharing an anchor form a region; its smallest classes become pivots, and the distance of every
-   member to them is computed exactly. A member within r of a pivot is linked.
-3. Windows and recursion. Members that a pivot's ball has joined need no comparison with one another. The rest, and the
-   ball members whose pivot distance lies within r of theirs (triangle inequality), stay and get new pivots, until every
-   region is one component or exhausted. Once the comparisons left are no more than a small multiple of the members, they
-   are made in one step.
-
-Rounds take 1, 4, 16, ... pivots of a region, so their number is logarithmic in the largest region. Nothing is capped: every
-pair that shares a region is compared, or proven superfluous (same component, sizes too different, or outside a window).
+2. Regions. The smallest class at each anchor becomes a pivot; its region are all classes that share one of its anchors, so
+   linked classes always share a region. Every member's distance to the pivot is computed; members within r are linked.
+3. Windows and recursion. Members that are in one component need no comparison with one another. The rest stay, get new
+   pivots inside their region, and are compared with those whose distance to the old pivot lies within r of theirs (triangle
+   inequality), until every region is one component or exhausted. Once the comparisons left are no more than a small
+   multiple of the members, they are made in one step.
+
+Before sets are fetched for a comparison, counts of shingles in SLOTS hash classes bound the distance from below: the distances
+to SLOTS fixed disjoint pivots. Rounds take 1, 4, 16, ... pivots of a region, so their number is logarithmic in the largest
+region. Nothing is capped: every pair that shares a region is compared, or proven superfluous (same component, sizes too
+different, outside a window, or too far by its counts).
 
 Defined cases: null or wordless text has an empty set, n_shingles 0, and stands alone; fewer words than n make one shingle
 of the whole sequence; repeated rows are equal sets; rows with a null doc_id take part, but a component is named by its
@@ -40,6 +42,8 @@ U64 = np.uint64
 BROADCAST_IDS = 2_000_000
 #: Documents sampled to find common shingles, how often one must occur among them, and how many are listed at most.
 SAMPLE_DOCS, COMMON_IN_SAMPLE, COMMON_MOST = 8_000, 3, 65_536
+#: Hash classes whose counts bound a distance.
+SLOTS = 256
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -141,17 +145,18 @@ def _set_table(docs: DataFrame, width: int) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            one, two, size, sets = [], [], [], []
+            one, two, size, sets, counts = [], [], [], [], []
             for _, s in _sets(batch, width):
                 a, b = class_key(s)
                 one.append(a)
                 two.append(b)
                 size.append(len(s))
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(size, np.int64)), _signed(one), _signed(two), pa.array(sets, pa.binary())], ["n", "a", "b", "shingles"])
+                counts.append(np.minimum(np.bincount((s >> U64(20)) % U64(SLOTS), minlength=SLOTS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(size, np.int64)), _signed(one), _signed(two), pa.array(sets, pa.binary()), pa.array(counts, pa.binary())], ["n", "a", "b", "shingles", "counts"])
 
-    rows = docs.select("text").mapInArrow(scan, "n long, a long, b long, shingles binary")
-    return rows.select(_cid().alias("cid"), "shingles")
+    rows = docs.select("text").mapInArrow(scan, "n long, a long, b long, shingles binary, counts binary")
+    return rows.select(_cid().alias("cid"), "n", "shingles", "counts")
 
 
 def _cid():
@@ -193,16 +198,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     able = members.groupBy("cid", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("cid")
     members = saved(members.join(able, "cid"), "members")
     members = members.join(meet(members), "anchor")
-    # regions with the same members make the same comparisons: keep one of each
-    alike = members.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("v"), F.sum(F.xxhash64("cid", F.lit(1)).cast("decimal(38,0)")).alias("w"))
-    kept = alike.groupBy("k", "v", "w").agg(F.min("anchor").alias("anchor")).select("anchor")
-    regions = saved(members.join(kept, "anchor").select("anchor", "cid", "n", F.lit(None).cast("double").alias("d")), "regions")
-    wanted = regions.select("cid").distinct()
+    members = saved(members.select("anchor", "cid", "n"), "members")
+    wanted = members.select("cid").distinct()
     ids = saved(wanted.join(classes, "cid").select(F.col("first")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     again = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     sets = saved(_set_table(again, width).join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    roots = _link(regions, sets, reach, percent)
+    roots = _link(members, sets, reach, percent)
 
     named = classes
     if roots is not None:
@@ -214,61 +216,79 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _link(regions: DataFrame, sets: DataFrame, reach: float, percent: int) -> DataFrame | None:
-    """Component roots of the classes in regions; None if there are none."""
-    every, links, roots, pivots = sets.count(), None, None, 1
-    first = True
-    while every:
-        ranked = regions
-        sizes = regions.groupBy("anchor").agg(F.count("*").alias("k"))
-        left = sizes.agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0] or 0
+def _near(pairs: DataFrame, percent: int) -> DataFrame:
+    """p, x of pairs(p, x, np, nx, counts_p, counts_x) that their counts do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16) for k in ("counts_p", "counts_x"))
+            apart = np.abs(a - b).sum(axis=1, dtype=np.int64)
+            both = np.asarray(batch.column("np")) + np.asarray(batch.column("nx"))
+            # the sets differ in at least `apart` shingles
+            yield batch.select(["p", "x"]).filter(pa.array(100 * (both - apart) >= percent * (both + apart)))
+
+    return pairs.select("p", "x", "np", "nx", "counts_p", "counts_x").mapInArrow(run, "p long, x long")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """p, x, inter, uni for those pairs(p, x, np, nx) that may be near. Joins are written out on their own, so skewed sides can be split."""
+    side = lambda k, *columns: sets.select(F.col("cid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
+    held = saved(pairs.join(side("x", "counts"), "x"), "pairs").join(side("p", "counts"), "p")
+    near = saved(_near(held, percent), "near")
+    held = near.join(side("x", "shingles"), "x").join(side("p", "shingles"), "p")
+    return saved(_measure(held.withColumnsRenamed({"shingles_x": "set_x", "shingles_p": "set_p"})), "measured")
+
+
+def _linked(found: DataFrame, percent: int) -> DataFrame:
+    return found.filter(F.col("inter") * 100 >= F.col("uni") * percent).select(F.col("p").alias("a"), F.col("x").alias("b"))
+
+
+def _alike(percent: int):
+    return F.least("np", "nx") * 100 >= F.greatest("np", "nx") * percent
+
+
+def _link(members: DataFrame, sets: DataFrame, reach: float, percent: int) -> DataFrame | None:
+    """Component roots of the classes in members(anchor, cid, n); None if there are none."""
+    every = sets.count()
+    if not every:
+        return None
+    heads = members.groupBy("anchor").agg(F.min(F.struct("cid", "n")).alias("head")).select("anchor", F.col("head.cid").alias("p"), F.col("head.n").alias("np"))
+    near = saved(members.join(heads, "anchor").filter("cid <> p").select("p", "np", F.col("cid").alias("x"), F.col("n").alias("nx")), "near")
+    region = saved(near.distinct(), "regions")
+    found = _compared(region.filter(_alike(percent)), sets, percent)
+    links = _linked(found, percent)
+    roots = components(links)
+    distance = found.select("p", "x", (1 - F.col("inter") / F.col("uni")).alias("d"))
+    region = region.join(distance, ["p", "x"], "left").select(F.col("p").alias("region"), F.col("x").alias("cid"), F.col("nx").alias("n"), "d")
+    pivots = 4
+    while True:
+        named = saved(region.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "named")
+        mixed = named.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
+        mixed = saved(mixed, "mixed")
+        left = mixed.agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0] or 0
         if not left:
-            break
+            return roots
         last = left <= 8 * every
-        if last:
-            ranked = ranked.withColumn("rank", F.lit(1))
-        else:
-            ranked = _ranked(regions, pivots)
-        heads = ranked.filter(F.col("rank") <= pivots).select("anchor", F.col("cid").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), *(["root"] if not first else []))
-        rest = ranked.select("anchor", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), "rank", *([F.col("root").alias("rx")] if not first else []))
-        near = heads.join(rest, "anchor").filter(F.col("p") < F.col("x") if last else (F.col("rank") > pivots) | (F.col("p") < F.col("x")))
-        near = near.filter(F.least("np", "nx") * 100 >= F.greatest("np", "nx") * percent)
+        region = saved(named.join(mixed.select("region"), "region"), "regions")
+        bucket = F.lit(0) if last else F.pmod(F.xxhash64("cid", "region"), F.lit(pivots))
+        heads = region
+        if not last:
+            # the smallest class of each hash bucket: pivots from every part of a region, and no region is sorted in one task
+            low = region.groupBy("region", bucket.alias("bucket")).agg(F.min(F.struct("cid", "n", "d", "root")).alias("head"))
+            heads = saved(low.select("region", "head.*"), "heads")
+        heads = heads.select("region", F.col("cid").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("root").alias("rp"))
+        near = region.select("region", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("root").alias("rx")).join(heads, "region")
+        near = near.filter((F.col("rx") != F.col("rp")) & _alike(percent))
         near = near.filter(F.col("dp").isNull() | F.col("dx").isNull() | (F.abs(F.col("dp") - F.col("dx")) <= reach + 1e-9))
-        if not first:
-            near = near.filter("root <> rx")
-        pairs = near.select("p", "x").distinct()
-        held = pairs.join(sets.select(F.col("cid").alias("x"), F.col("shingles").alias("set_x")), "x")
-        held = held.join(sets.select(F.col("cid").alias("p"), F.col("shingles").alias("set_p")), "p")
-        found = saved(_measure(held), "measured")
-        new = found.filter(F.col("inter") * 100 >= F.col("uni") * percent).select(F.col("p").alias("a"), F.col("x").alias("b"))
-        links = new if links is None else links.union(new)
+        near = saved(near.select(F.least("p", "x").alias("p"), F.when(F.col("p") < F.col("x"), F.col("np")).otherwise(F.col("nx")).alias("np"), F.greatest("p", "x").alias("x"), F.when(F.col("p") < F.col("x"), F.col("nx")).otherwise(F.col("np")).alias("nx")), "near")
+        links = links.union(_linked(_compared(near.distinct(), sets, percent), percent))
         roots = components(links)
         if last:
-            break
-        # next: without the pivots, only regions with more than one component; the first pivot's distances give the windows
-        after = ranked.filter(F.col("rank") > pivots).select("anchor", "cid", "n", "d")
-        if first:
-            head = ranked.filter("rank = 1").select("anchor", F.col("cid").alias("p"))
-            far = found.select("p", F.col("x").alias("cid"), (1 - F.col("inter") / F.col("uni")).alias("dist"))
-            after = after.join(head, "anchor").join(far, ["p", "cid"], "left").select("anchor", "cid", "n", F.col("dist").alias("d"))
-        after = after.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        mixed = after.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("anchor")
-        regions = saved(after.join(mixed, "anchor", "left_semi"), "regions")
-        first, pivots = False, pivots * 4
-    return roots
-
-
-def _ranked(regions: DataFrame, pivots: int) -> DataFrame:
-    """rank: 1.. for the smallest pivots of each region, more for the others; found by repeated minima, so no region is sorted in one task."""
-    out = regions.withColumn("rank", F.lit(None).cast("int"))
-    if pivots == 1:
-        low = regions.groupBy("anchor").agg(F.min("cid").alias("low"))
-        return out.join(low, "anchor").withColumn("rank", F.when(F.col("cid") == F.col("low"), 1).otherwise(2)).drop("low")
-    # spread each region over buckets by hash and take the smallest of each: pivots of every part, still pre-aggregated
-    bucket = F.pmod(F.xxhash64("cid", "anchor"), F.lit(pivots))
-    low = regions.groupBy("anchor", bucket.alias("bucket")).agg(F.min("cid").alias("low"))
-    out = out.withColumn("bucket", bucket).join(low, ["anchor", "bucket"])
-    return out.withColumn("rank", F.when(F.col("cid") == F.col("low"), 1).otherwise(pivots + 1)).drop("low", "bucket")
+            return roots
+        region = region.join(heads.select("region", F.col("p").alias("cid")), ["region", "cid"], "left_anti").select("region", "cid", "n", "d")
+        pivots *= 4
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
