@@ -1,0 +1,81 @@
+"""Spelling-to-sound alignments: validity, repair and projection of nuclei to written points (FOR-8 .. FOR-13, FOR-17)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Symbols that open a vowel's phone.
+VOWEL_PHONES = frozenset("aeiouyæøœɐɑɒɔəɚɛɜɝɨɪɵɯʊʌʏɤ")
+
+
+def is_valid(word: Column, spans: Column, phones: Column, score: Column) -> Column:
+    """Spellings spell the word, phones make up the pronunciation, the score is finite (FOR-8)."""
+    spelled = F.array_join(F.transform(spans, lambda s: s["spelling"]), "")
+    sounded = F.array_join(F.flatten(F.transform(spans, lambda s: s["phones"])), " ")
+    return F.coalesce((spelled == word) & (sounded == phones) & ~F.isnan(score) & (F.abs(score) < float("inf")), F.lit(False))
+
+
+def ipa(phones: Column, table: dict[str, str]) -> Column:
+    """Phone tokens as IPA; an unknown token is an error (FOR-17)."""
+    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.array_join(F.transform(phones, lambda p: F.coalesce(pairs[p], F.raise_error(F.concat(F.lit("unknown phone: "), p)).cast("string"))), "")
+
+
+def _nuclear(phones: list[str]) -> bool:
+    return any(p[:1] in VOWEL_PHONES for p in phones)
+
+
+def repaired(spans: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
+    """Doubled consonant letters with one phone are two spans, the second silent (FOR-9)."""
+    out: list[tuple[str, list[str]]] = []
+    for spelling, phones in spans:
+        if len(spelling) == 2 and spelling[0] == spelling[1] and len(phones) == 1 and not _nuclear(phones):
+            out += [(spelling[0], phones), (spelling[1], [])]
+        else:
+            out.append((spelling, list(phones)))
+    return out
+
+
+def projected(word: str, spans: list[tuple[str, list[str]]]) -> tuple[list[int], bool]:
+    """Written points between spoken nuclei, and whether every gap found one (FOR-10, FOR-11)."""
+    pieces, at, places = repaired(spans), 0, []
+    for spelling, phones in pieces:
+        places.append((at, at + len(spelling), _nuclear(phones)))
+        at += len(spelling)
+    if at != len(word):
+        return [], False
+    nuclei = [i for i, p in enumerate(places) if p[2]]
+    points, complete = [], True
+    for a, b in zip(nuclei, nuclei[1:], strict=False):
+        between = places[a + 1 : b]
+        if not between:
+            point = places[b][0]
+        elif len(between) == 1:
+            point = between[0][0]
+        else:
+            point = between[1][0]
+        if 0 < point < len(word):
+            points.append(point)
+        else:
+            complete = False
+    return sorted(set(points)), complete
+
+
+def refined(points: list[int], seams: list[int], nuclei: list[int]) -> list[int]:
+    """Within each gap between nuclei a single morphological seam takes the place of the rule's point (FOR-12, FOR-13)."""
+    out = set(points)
+    for a, b in zip(nuclei, nuclei[1:], strict=False):
+        own = [s for s in seams if a < s <= b]
+        if len(own) == 1:
+            out -= {p for p in points if a < p <= b}
+            out.add(own[0])
+    return sorted(out)
+
+
+@F.udf(T.StructType([T.StructField("points", T.ArrayType(T.IntegerType())), T.StructField("complete", T.BooleanType())]), useArrow=True)
+def projected_udf(word, spans):
+    if word is None or spans is None:
+        return None
+    return projected(word, [(s["spelling"], list(s["phones"] or [])) for s in spans])
