@@ -18,6 +18,7 @@ import json
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from wordloom.llm.common import ship, small_batches
 from wordloom.llm.pretokens import END_OF_TEXT, Ids, encode_texts, spread, stash
@@ -109,7 +110,7 @@ def encode_frame(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """keep columns and ids(array<int>) of docs(text): the operator's plain form."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         bpe, ids = codec(path)

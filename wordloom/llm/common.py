@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.session import ship  # noqa: F401
+
 #: Characters that end a word, for ``translate`` and for Java regular expressions.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[ \\t-\\r]+"
@@ -36,14 +38,6 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package from the checkout."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, and so a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -63,3 +57,8 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of frames that no longer exist; they would stay until the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The given columns, and the whole row as _row: names that an operator adds cannot clash with the row's own."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import SPACES, saved
+from wordloom.llm.common import SPACES, packed, saved
 
 #: Words in a block, slots in an output shard (about), documents in a bucket (about), rounds of a permutation.
 BLOCK, SHARD_SLOTS, BUCKET_DOCS, ROUNDS = 64, 16_384, 4_096, 20
@@ -106,6 +106,6 @@ def mix(docs: DataFrame, *keep: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, to the nearest whole number (0, 1 or 2; half rounds up)."""
-    out = mix(docs, *docs.columns)
+    out = mix(packed(docs, "doc_id", "text", "source"), "_row")
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
-    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("_row.*")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import SPACES
+from wordloom.llm.common import SPACES, packed
 
 #: Labelled rows that a list is learned from (about; chosen by hash), cuts per statistic, conditions per rule, rules.
 SAMPLE_ROWS, CUTS, CONDITIONS, RULES = 20_000, 24, 3, 12
@@ -208,4 +208,4 @@ def judge(docs: DataFrame, rules: DecisionList, *keep: str) -> DataFrame:
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, learned from those of docs that labels cover."""
-    return judge(docs, learn(docs, labels), *docs.columns).filter("kept").select(*docs.columns)
+    return judge(packed(docs, "text"), learn(docs, labels), "_row").filter("kept").select("_row.*")

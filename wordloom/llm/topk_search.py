@@ -31,9 +31,10 @@ BANDS = (8, 4, 2, 1)
 
 def _units(embedding: Column, scale: int) -> Column:
     """Whole units of each component, or null where the vector takes no part."""
-    value = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**31)
-    return F.when((F.size(value) > 0) & F.forall(value, lambda x: F.coalesce(fine(x), F.lit(False))), F.transform(value, lambda x: x.cast("int")))
+    value = F.transform(embedding, lambda x: x.cast("double") * scale)
+    # NaN counts as larger than any number here
+    fine = F.forall(value, lambda x: F.coalesce(F.abs(x) < 2.0**31, F.lit(False)))
+    return F.when((F.size(value) > 0) & fine, F.transform(value, lambda x: F.floor(x).cast("int")))
 
 
 def _pack(rows: DataFrame, block: Column, name: str) -> DataFrame:

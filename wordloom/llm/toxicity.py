@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import ship, small_batches
+from wordloom.llm.common import packed, ship, small_batches
 
 #: Labelled rows learned from (about; chosen by hash), insults kept at most, contexts an insult needs, its least share of toxic contexts.
 SAMPLE_ROWS, INSULTS, CONTEXTS, SHARE = 20_000, 500, 8, 0.85
@@ -227,4 +227,4 @@ def score(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     """The rows of docs that score below limit, learned from those of docs that labels cover."""
-    return score(docs, learn(docs, labels), *docs.columns).filter(F.col("score") < limit).select(*docs.columns)
+    return score(packed(docs, "text"), learn(docs, labels), "_row").filter(F.col("score") < limit).select("_row.*")
