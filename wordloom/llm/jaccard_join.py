@@ -15,7 +15,7 @@ of equal sets:
    multiple of the members, they are made in one step.
 
 Before sets are fetched for a comparison, counts of shingles in SLOTS hash classes bound the distance from below: the distances
-to SLOTS fixed disjoint pivots. Rounds take 1, 4, 16, ... pivots of a region, so their number is logarithmic in the largest
+to SLOTS fixed disjoint pivots. Rounds take 1, 8, 64, ... pivots of a region, so their number is logarithmic in the largest
 region. Nothing is capped: every pair that shares a region is compared, or proven superfluous (same component, sizes too
 different, outside a window, or too far by its counts).
 
@@ -41,7 +41,7 @@ U64 = np.uint64
 #: Ids of up to so many documents are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Documents sampled to find common shingles, how often one must occur among them, and how many are listed at most.
-SAMPLE_DOCS, COMMON_IN_SAMPLE, COMMON_MOST = 8_000, 3, 65_536
+SAMPLE_DOCS, COMMON_IN_SAMPLE, COMMON_MOST = 16_000, 3, 65_536
 #: Hash classes whose counts bound a distance.
 SLOTS = 256
 
@@ -66,7 +66,7 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> Iterator[np.
 
 def _needed(n):
     """Anchors that a set of n shingles must share with another to be near it."""
-    return 1 + n // 32
+    return 1 + n // 8
 
 
 def class_key(s: np.ndarray) -> tuple[int, int]:
@@ -194,7 +194,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     meet = lambda rows: rows.groupBy("anchor").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("anchor")
     members = saved(spread.join(meet(spread), "anchor").distinct(), "members")
     # a partner has at least t n shingles, and so shares at least _needed(t n) anchors
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 32)
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 8)
     able = members.groupBy("cid", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("cid")
     members = saved(members.join(able, "cid"), "members")
     members = members.join(meet(members), "anchor")
@@ -262,7 +262,7 @@ def _link(members: DataFrame, sets: DataFrame, reach: float, percent: int) -> Da
     roots = components(links)
     distance = found.select("p", "x", (1 - F.col("inter") / F.col("uni")).alias("d"))
     region = region.join(distance, ["p", "x"], "left").select(F.col("p").alias("region"), F.col("x").alias("cid"), F.col("nx").alias("n"), "d")
-    pivots = 4
+    pivots = 8
     while True:
         named = saved(region.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "named")
         mixed = named.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
@@ -270,7 +270,7 @@ def _link(members: DataFrame, sets: DataFrame, reach: float, percent: int) -> Da
         left = mixed.agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0] or 0
         if not left:
             return roots
-        last = left <= 8 * every
+        last = left <= 32 * every
         region = saved(named.join(mixed.select("region"), "region"), "regions")
         bucket = F.lit(0) if last else F.pmod(F.xxhash64("cid", "region"), F.lit(pivots))
         heads = region
@@ -288,7 +288,7 @@ def _link(members: DataFrame, sets: DataFrame, reach: float, percent: int) -> Da
         if last:
             return roots
         region = region.join(heads.select("region", F.col("p").alias("cid")), ["region", "cid"], "left_anti").select("region", "cid", "n", "d")
-        pivots *= 4
+        pivots *= 8
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
