@@ -460,7 +460,7 @@ def phrase_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with b as (select item_id, list_distinct({TOKENS}) t from benchmark), p as (select x.item_id a, y.item_id b, len(list_intersect(x.t, y.t)) shared, len(list_distinct(list_concat(x.t, y.t))) every from b x join b y on x.item_id < y.item_id)
-    select a, b, round(shared / every, 6) similarity from p where every > 0 and shared / every >= 0.2""")
+    select a, b, round(shared / every, 6) similarity from p where every > 0 and shared / every >= 0.03""")
 def item_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Similar benchmark items by their words (AUD-2); candidates share a word."""
     rows = _table(spark, d, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("t"))
@@ -468,7 +468,7 @@ def item_overlap(spark: SparkSession, d: str) -> DataFrame:
     left, right = (by.select(F.col("item_id").alias(k), F.col("n").alias(f"n{k}"), "w") for k in "ab")
     both = left.join(right, "w").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
     share = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return both.filter(share >= 0.2).select("a", "b", F.round(share, 6).alias("similarity"))
+    return both.filter(share >= 0.03).select("a", "b", F.round(share, 6).alias("similarity"))
 
 
 @query("select doc_id, (k - 1) // 40 + 1 batch_id, (k - 1) % 40 + 1 as position from (select doc_id, row_number() over (order by doc_id) k from documents where lang = 'fr')")
