@@ -14,7 +14,6 @@ from wordloom.session import ship  # noqa: F401
 
 #: Characters that end a word, for ``translate`` and for Java regular expressions.
 SPACES = " \t\n\x0b\f\r"
-SPACE_RUN = "[ \\t-\\r]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +47,6 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def words(text: Column) -> Column:
-    """The maximal runs without space, tab, LF, VT, FF and CR; an empty array for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of frames that no longer exist; they would stay until the driver collects its garbage."""
     gc.collect()

@@ -11,21 +11,17 @@ from wordloom.llm.common import saved
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, root): root is the smallest node reachable.
 
-    Every round points each node at the smallest root of its neighbourhood and halves the paths by following that root's
-    own pointer; each round is written to the shared folder, so lineage stays short. A node's links are only ever
-    pre-aggregated minima, so a node with very many links is no hot spot.
+    Every round gives each node the smallest root of its neighbourhood and then that root's own root, which doubles the reach
+    of a chain; each round is written to the shared folder, so lineage stays short. Roots only fall, so an unchanged sum means
+    that none has changed. A node's links are only ever pre-aggregated minima, so a node with very many links is no hot spot.
     """
     both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
     now = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "roots")
+    total = None
     while True:
+        before, total = total, now.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
+        if before == total:
+            return now
         around = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        hooked = now.join(around, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("low"))
-        # the old root learns the lower value as well, then every node follows its pointer once
-        told = hooked.select(F.col("node").alias("n"), F.col("low").alias("l")).union(hooked.select(F.col("root").alias("n"), F.col("low").alias("l")))
-        told = told.groupBy("n").agg(F.min("l").alias("l"))
-        jump = told.select(F.col("n").alias("j"), F.col("l").alias("far"))
-        after = told.join(jump, F.col("l") == F.col("j"), "left").select(F.col("n").alias("node"), F.coalesce(F.least("far", "l"), "l").alias("root"))
-        after = saved(after, "roots")
-        if not after.join(now.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count():
-            return after
-        now = after
+        low = now.join(around, F.col("node") == F.col("a")).select("node", F.least("root", "near").alias("low"))
+        now = saved(low.join(now.select(F.col("node").alias("at"), F.col("root").alias("far")), F.col("low") == F.col("at"), "left").select("node", F.coalesce(F.least("far", "low"), "low").alias("root")), "roots")

@@ -265,17 +265,20 @@ def _link(members: DataFrame, sets: DataFrame, reach: float, percent: int) -> Da
     pivots = 8
     while True:
         named = saved(region.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "named")
-        mixed = named.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
-        mixed = saved(mixed, "mixed")
-        left = mixed.agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0] or 0
+        groups = named.groupBy("region", "root").agg(F.count("*").alias("k"))
+        mixed = groups.groupBy("region").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"), F.max(F.struct("k", "root")).alias("largest"))
+        mixed = saved(mixed.filter(F.col("own") < F.col("k") * F.col("k")).select("region", F.expr("(k * k - own) div 2").alias("pairs"), F.col("largest.root").alias("largest")), "mixed")
+        left = mixed.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             return roots
         last = left <= 32 * every
-        region = saved(named.join(mixed.select("region"), "region"), "regions")
-        bucket = F.lit(0) if last else F.pmod(F.xxhash64("cid", "region"), F.lit(pivots))
-        heads = region
-        if not last:
+        region = saved(named.join(mixed.select("region", "largest"), "region"), "regions")
+        if last:
+            # all pairs across components: each has a side outside its region's largest component
+            heads = region.filter("root <> largest")
+        else:
             # the smallest class of each hash bucket: pivots from every part of a region, and no region is sorted in one task
+            bucket = F.pmod(F.xxhash64("cid", "region"), F.lit(pivots))
             low = region.groupBy("region", bucket.alias("bucket")).agg(F.min(F.struct("cid", "n", "d", "root")).alias("head"))
             heads = saved(low.select("region", "head.*"), "heads")
         heads = heads.select("region", F.col("cid").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("root").alias("rp"))
