@@ -98,8 +98,9 @@ def mix(docs: DataFrame, *keep: str) -> DataFrame:
     first, end = F.floor(F.col("at") / BLOCK), F.col("at") + F.col("size")
     pieces = placed.withColumn("block", F.explode(F.sequence(first, F.floor((end - 1) / BLOCK))))
     pieces = pieces.select("row", "number", "block", (F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest("at", F.col("block") * BLOCK)).alias("words"))
-    used = slots(sources).groupBy("number", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(used, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # both come out of explode, whose rows Spark does not foresee: without the hints it would broadcast them
+    used = slots(sources).groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")
+    taken = pieces.join(used, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken")).hint("merge")
     out = rows.join(taken, "row", "left").join(sources.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
     return out.select(*keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
