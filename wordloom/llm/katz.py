@@ -32,7 +32,9 @@ from wordloom.llm.common import release, saved, ship, small_batches
 U64 = np.uint64
 K, HOT = 5, 256
 #: Tokens in a bucket (about), tokens and documents after which a task sends what it has gathered.
-BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 5_000_000, 3_000_000, 60_000
+BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 5_000_000, 1_200_000, 60_000
+#: A bucket is worked off in 2 ** SLICE_BITS slices of its words, so that one slice's arrays are in memory at a time.
+SLICE_BITS = 3
 END, START = (vt.splitmix(np.array([x]))[0] for x in (424242, 434343))
 
 
@@ -83,7 +85,7 @@ def _unigrams(docs: DataFrame) -> DataFrame:
                 words.append(w)
                 counts.append(c)
                 waiting += len(w)
-            if waiting > 3_000_000:
+            if waiting > 1_500_000:
                 yield rows()
                 words, counts, waiting = [], [], 0
         if words:
@@ -210,19 +212,38 @@ class Unigrams:
         return np.log10((c + 1) / (self.n + self.types + 1))
 
 
+def _slice(raw, k: int) -> tuple[np.ndarray, ...]:
+    """Word, history, document, count and fold flag of a part's entries whose words fall in slice k."""
+    word, per_word, h, per_pair, d, c, flags, place = _arrays(raw, *PAIRS)
+    a, b = (int(np.searchsorted(word, U64(x << (64 - SLICE_BITS)))) if x < 1 << SLICE_BITS else len(word) for x in (k, k + 1))
+    p0 = int(per_word[:a].sum(dtype=np.int64))
+    p1 = p0 + int(per_word[a:b].sum(dtype=np.int64))
+    e0 = int(per_pair[:p0].sum(dtype=np.int64))
+    e1 = e0 + int(per_pair[p0:p1].sum(dtype=np.int64))
+    sizes = per_pair[p0:p1]
+    # a pair in 65,536 documents or more would wrap to a smaller number; SEND_DOCS lies below that
+    return np.repeat(np.repeat(word[a:b], per_word[a:b]), sizes), np.repeat(h[p0:p1], sizes), d[e0:e1].astype(np.int64) + place[0], c[e0:e1], flags[d[e0:e1]]
+
+
 def _bucket(parts: list, uni: Unigrams, hot: np.ndarray, hot_counts: np.ndarray, groups: int):
     """kind, group, part: what one bucket of words knows of documents, histories and unseen pairs."""
-    ws, hs, ds, cs, fs = [], [], [], [], []
-    for raw in parts:
-        word, per_word, h, per_pair, d, c, flags, place = _arrays(raw, *PAIRS)
-        # a pair in 65,536 documents or more wraps to a smaller number; SEND_DOCS lies below that
-        pair = np.repeat(np.arange(len(h)), per_pair)
-        ws.append(np.repeat(word, per_word)[pair])
-        hs.append(h[pair])
-        ds.append(d.astype(np.int64) + place[0])
-        cs.append(c)
-        fs.append(flags[d])
-    w, h, d, c, f = (np.concatenate(x) for x in (ws, hs, ds, cs, fs))
+    sums = []
+    for k in range(1 << SLICE_BITS):
+        columns = [np.concatenate(x) for x in zip(*(_slice(raw, k) for raw in parts), strict=True)]
+        if len(columns[0]):
+            yield from _worked_off(columns, uni, hot, hot_counts, groups, sums)
+    doc, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
+    doc, base, known_part, known, *by_class = _summed(doc, *values)
+    group = (vt.splitmix(doc) % U64(groups)).astype(np.int64)
+    for g in np.unique(group):
+        own = group == g
+        yield DOC, int(g), _bytes(doc[own], base[own], known_part[own], known[own].astype("<u4"), np.concatenate([x[own] for x in by_class]).astype("<u4"))
+
+
+def _worked_off(columns: list[np.ndarray], uni: Unigrams, hot: np.ndarray, hot_counts: np.ndarray, groups: int, sums: list):
+    """The rows of one slice; its documents' sums are added to sums."""
+    w, h, d, c, f = columns
+    columns.clear()
     order = np.lexsort((h, w))
     w, h, d, c, f = w[order], h[order], d[order], c[order].astype(np.int64), f[order]
     learned = np.where(f == 0, c, 0)
@@ -243,11 +264,7 @@ def _bucket(parts: list, uni: Unigrams, hot: np.ndarray, hot_counts: np.ndarray,
     # every word is a history once for each of its occurrences; the end is none
     part = part - np.where((count_w > 0) & (w != END), np.log10(count_w + 1.0), 0.0)
     classes = [np.where(count_p == r, c, 0) for r in range(1, K + 1)]
-    doc, base, known_part, known, *by_class = _summed(d.astype(U64), uni.base(count_w) * c, part * c, np.where(count_w > 0, c, 0), *classes)
-    group = (vt.splitmix(doc) % U64(groups)).astype(np.int64)
-    for g in np.unique(group):
-        own = group == g
-        yield DOC, int(g), _bytes(doc[own], base[own], known_part[own], known[own].astype("<u4"), np.concatenate([x[own] for x in by_class]).astype("<u4"))
+    sums.append(_summed(d.astype(U64), uni.base(count_w) * c, part * c, np.where(count_w > 0, c, 0), *classes))
     # histories: pairs by class, tokens above the classes, mass of p
     pair_h, pair_c, pair_p = h[pair_at], c_pair, p_word[pair_at]
     own = pair_c > 0
