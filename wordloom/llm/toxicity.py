@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import packed, ship, small_batches
 
 #: Labelled rows learned from (about; chosen by hash), insults kept at most, contexts an insult needs, its least share of toxic contexts.
-SAMPLE_ROWS, INSULTS, CONTEXTS, SHARE = 20_000, 500, 8, 0.85
+SAMPLE_ROWS, INSULTS, CONTEXTS, SHARE = 6_000, 500, 8, 0.85
 #: Letters of a stem, and the different words that must begin with it.
 STEM, STEM_WORDS = range(4, 9), 6
 #: Fixed words of the grammar's other classes, in English, French, German and Spanish.
