@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = os.environ.setdefault("WORDLOOM_SHARED", tempfile.mkdtemp(prefix="wordloom-"))
+        found = tempfile.mkdtemp(prefix="wordloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
