@@ -206,6 +206,24 @@ def test_mixing(spark, sf, odd, nothing):
     assert out.columns == odd.columns and out.count() > 0
 
 
+def test_mixed_documents_meet_targets(spark):
+    """Long documents too: each goes out taken / size times, rounded either way, and a source's words stay near its target."""
+    rows = [(1000 * k + i, "w " * n, s) for k, s in enumerate(("a", "b", "c", "d", "e", "f")) for i in range(400) for n in [65 + 37 * i % 1500]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed_documents(docs)
+    copies = Counter(r.doc_id for r in out.select("doc_id").collect())
+    assert copies == Counter(r.doc_id for r in mixing.mixed_documents(docs.repartition(7)).select("doc_id").collect())
+    emitted, spread, target = Counter(), Counter(), {}
+    for r in mixing.mix(docs, "doc_id", "source").collect():
+        rest = r.taken % r["size"]
+        assert copies[r.doc_id] in {r.taken // r["size"], r.taken // r["size"] + (rest > 0)}
+        emitted[r.source] += copies[r.doc_id] * r["size"]
+        spread[r.source] += rest * (r["size"] - rest)
+        target[r.source] = r.target
+    for s, t in target.items():
+        assert abs(emitted[s] - t) <= 2 * mixing.BLOCK + 4 * math.sqrt(spread[s]) < 0.15 * t
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 64, 1000):
         image = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("x")).collect()

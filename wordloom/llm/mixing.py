@@ -87,8 +87,8 @@ def slots(sources: DataFrame) -> DataFrame:
     return slot.select("number", "shard", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("number"), F.floor(F.col("slot") / F.col("blocks"))).alias("block"))
 
 
-def mix(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep columns of docs(doc_id, text, source), size, source_size, target, taken."""
+def _mixed(docs: DataFrame, *keep: str) -> DataFrame:
+    """mix() with number, at: a row's source and place in its source's stream, null where size is 0."""
     columns = list(dict.fromkeys(["doc_id", "source", *keep]))
     rows = saved(docs.select(*columns, n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row")), "mix")
     sources = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
@@ -97,16 +97,25 @@ def mix(docs: DataFrame, *keep: str) -> DataFrame:
     placed = _offsets(named, rows.count()).select("row", "number", "at", "size")
     first, end = F.floor(F.col("at") / BLOCK), F.col("at") + F.col("size")
     pieces = placed.withColumn("block", F.explode(F.sequence(first, F.floor((end - 1) / BLOCK))))
-    pieces = pieces.select("row", "number", "block", (F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest("at", F.col("block") * BLOCK)).alias("words"))
+    pieces = pieces.select("row", "number", "block", "at", (F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest("at", F.col("block") * BLOCK)).alias("words"))
     # both come out of explode, whose rows Spark does not foresee: without the hints it would broadcast them
     used = slots(sources).groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")
-    taken = pieces.join(used, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken")).hint("merge")
-    out = rows.join(taken, "row", "left").join(sources.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
-    return out.select(*keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.join(used, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("at").alias("at")).hint("merge")
+    out = rows.join(taken, "row", "left").join(sources.select(F.col("source").alias("s"), "number", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
+    return out.select(*keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "number", "at")
+
+
+def mix(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep columns of docs(doc_id, text, source), size, source_size, target, taken."""
+    return _mixed(docs, *keep).drop("number", "at")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, to the nearest whole number (0, 1 or 2; half rounds up)."""
-    out = mix(packed(docs, "doc_id", "text", "source"), "_row")
-    copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
+    """The rows of docs, each taken / size times (0, 1 or 2): rounded down, and up with the fraction as probability.
+
+    A hash of the row's place in its source's stream decides, so sources meet their targets on average, whatever their documents' sizes.
+    """
+    out = _mixed(packed(docs, "doc_id", "text", "source"), "_row")
+    more = F.pmod(F.xxhash64(F.lit(SEED), "number", "at"), F.col("size")) < F.col("taken") % F.col("size")
+    copies = F.when(F.col("taken") > 0, F.floor(F.col("taken") / F.col("size")) + more.cast("int")).otherwise(0)
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("_row.*")
