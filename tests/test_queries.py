@@ -40,3 +40,15 @@ def test_runs(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_member_discovery_has_no_cuts(spark, tmp_path):
+    """Long forms, short, long and rare members, and any language."""
+    long = "donaudampfschifffahrt"
+    rows = [("de", f"{long} {long}skapitän {long}en {long}er ü"), ("fr", "eau eaux beau seau"), (None, "ok oko")]
+    spark.createDataFrame(rows, "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    forms = {w for _, t in rows for w in t.split()}
+    inside = {m: {(f, f[:i]) for f in forms for i in range(len(f)) if f.startswith(m, i) and len(m) < len(f)} for m in forms}
+    want = {(m, len({f for f, _ in x}), len({c for _, c in x})) for m, x in inside.items() if len({f for f, _ in x}) >= plans.SUPPORT}
+    assert {m for m, _, _ in want} == {long, "eau"}
+    assert {(r.member, r.forms, r.contexts) for r in plans.QUERIES["member_discovery_whole"](spark, str(tmp_path)).collect()} == want

@@ -22,11 +22,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def members_inside(forms: DataFrame, members: DataFrame, shortest: int = 3) -> DataFrame:
     """form, member, at: dictionary members inside forms, by an equality join on their substrings (JN-10)."""
-    longest = members.agg(F.coalesce(F.max(F.length("member")), F.lit(shortest))).first()[0]
+    members = members.select("member").distinct()
+    sizes = members.filter(F.length("member") >= shortest).groupBy(F.left("member", F.lit(1)).alias("initial")).agg(F.collect_set(F.length("member")).alias("sizes"))
+    text = F.lower("form")
     rows = forms.select("form", F.explode(F.sequence(F.lit(0), F.greatest(F.length("form") - shortest, F.lit(0)))).alias("at"))
-    sizes = F.when(F.length("form") - F.col("at") >= shortest, F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length("form") - F.col("at"))))
-    cut = rows.select("form", "at", F.explode(F.transform(sizes, lambda n: F.substring(F.lower("form"), F.col("at") + 1, n))).alias("member"))
-    return cut.join(members.select("member").distinct(), "member").filter(F.length("member") < F.length("form")).select("form", "member", "at")
+    rows = rows.withColumn("initial", F.substring(text, F.col("at") + 1, F.lit(1))).join(sizes, "initial")  # only lengths that a member of this initial has
+    fits = F.filter("sizes", lambda n: (n <= F.length(text) - F.col("at")) & (n < F.length("form")))
+    cut = rows.select("form", "at", F.explode(F.transform(fits, lambda n: F.substring(text, F.col("at") + 1, n))).alias("member"))
+    return cut.join(members, "member").select("form", "member", "at")
 
 
 def discovered(inside: DataFrame, most_examples: int = 5) -> DataFrame:

@@ -446,6 +446,20 @@ def member_discovery(spark: SparkSession, d: str) -> DataFrame:
     return found.select("member", "forms", "contexts", F.round("score", 6).alias("score"))
 
 
+#: Forms a member must lie in, the reference's DEFAULT_MIN_SUPPORTED_FORMS.
+SUPPORT = 3
+
+
+@query(f"""with f as (select distinct word form from ({TYPES})), c as (select form, i - 1 as place, substr(form, i, n) member from (select form, i, unnest(range(1, length(form) - i + 2)) n from (select form, unnest(range(1, length(form) + 1)) i from f)) where n < length(form)),
+    g as (select member, count(distinct c.form) forms, count(distinct substr(c.form, 1, place)) contexts from c join f on c.member = f.form group by member)
+    select member, forms, contexts, round(2 * forms * contexts / (forms + contexts), 6) score from g where forms >= {SUPPORT}""")
+def member_discovery_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Members of any length inside forms of any length, all languages; only support bounds them (AUD-8, JN-10)."""
+    forms = _types(spark, d).select(F.col("word").alias("form")).distinct()
+    found = discovery.discovered(discovery.members_inside(forms, forms.select(F.col("form").alias("member")), 1))
+    return found.filter(F.col("forms") >= SUPPORT).select("member", "forms", "contexts", F.round("score", 6).alias("score"))
+
+
 @query(f"""with w as (select distinct word from ({TYPES})) select affix, count(*) n from (select word, unnest(list_filter(['an', 'be', 'ge', 'ver', 'über', 'inter'], lambda a: starts_with(word, a) and length(word) > length(a))) affix from w) group by affix""")
 def affix_counts(spark: SparkSession, d: str) -> DataFrame:
     """Types by listed prefix (JN-14)."""
