@@ -105,10 +105,23 @@ def diverse_sample(forms: list[str], count: int, seed: str) -> list[tuple[str, i
     return taken
 
 
+#: Ranges that batches() numbers on their own.
+RANGES = 64
+
+
 def batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
-    """batch_id and position of rows in a total order (WN-8)."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("_n", n).withColumn("batch_id", F.floor(F.col("_n") / size) + 1).withColumn("position", F.col("_n") % size + 1).drop("_n")
+    """batch_id and position of rows in a total order (WN-8): numbers inside ranges, after the counts of the ranges before."""
+    key = F.struct(*order)
+    # bounds are the keys of least hash, so every evaluation finds the same ones
+    some = rows.select(key.alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(RANGES - 1)
+    bounds = some.agg(F.collect_list("_key").alias("_bounds"))
+    cut = rows.join(F.broadcast(bounds), how="cross").withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")  # one row
+    counts = cut.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_count"))
+    ahead = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("_r", F.coalesce(F.sum("_count").over(ahead), F.lit(0)).alias("_ahead"))  # at most RANGES rows
+    n = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_ahead")
+    numbered = cut.join(F.broadcast(ahead), F.col("_range") == F.col("_r")).withColumn("_n", n)
+    return numbered.withColumn("batch_id", F.floor(F.col("_n") / size) + 1).withColumn("position", F.col("_n") % size + 1).drop("_n", "_range", "_r", "_ahead")
 
 
 def submission_problems(items: DataFrame, answers: DataFrame) -> DataFrame:

@@ -492,6 +492,13 @@ def batch_positions(spark: SparkSession, d: str) -> DataFrame:
     return discovery.batches(rows, 40, "doc_id").select("doc_id", F.col("batch_id").cast("long").alias("batch_id"), F.col("position").cast("long").alias("position"))
 
 
+@query("select doc_id, (k - 1) // 40 + 1 batch_id, (k - 1) % 40 + 1 as position from (select doc_id, row_number() over (order by doc_id nulls first) k from documents)")
+def batch_positions_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Batches and positions of all documents (WN-7, WN-8, AUD-3)."""
+    rows = _table(spark, d, "documents").select("doc_id")
+    return discovery.batches(rows, 40, "doc_id").select("doc_id", F.col("batch_id").cast("long").alias("batch_id"), F.col("position").cast("long").alias("position"))
+
+
 @query("select doc_id from (select doc_id, row_number() over (order by doc_id) k from labels) where (k - 1) % 25 = 0 order by doc_id limit 20")
 def systematic_sample(spark: SparkSession, d: str) -> DataFrame:
     """Every n-th row, at most so many (SO-5)."""
@@ -527,6 +534,18 @@ def three_voices(spark: SparkSession, d: str) -> DataFrame:
     return review.reconcile(manual, blind, engine).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+@query("""with m as (select doc_id, lang v from documents where lang is not null), b as (select doc_id, case when quality = 1 then 'en' else 'de' end v from labels where quality is not null), e as (select doc_id, case when n_chars % 2 = 0 then 'en' else 'fr' end v from documents),
+    r as (select m.v m, b.v b, e.v e from m full join b on m.doc_id = b.doc_id left join e on e.doc_id = coalesce(m.doc_id, b.doc_id))
+    select case when m is null then case when b = e then 'blind_engine' else 'blind_only' end when b is null then case when m = e then 'manual_engine' else 'manual_only' end when m = b and b = e then 'all_agree' when m = b then 'engine_differs' when m = e then 'blind_differs' when b = e then 'manual_differs' else 'all_differ' end bucket, count(*) n from r group by bucket""")
+def three_voices_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Voices of all documents; one is missing only where its label is (REV-8, JN-9, FLT-5)."""
+    docs, labels = _table(spark, d, "documents"), _table(spark, d, "labels")
+    manual = docs.filter("lang is not null").select(F.col("doc_id").alias("form"), F.col("lang").alias("division"))
+    blind = labels.filter("quality is not null").select(F.col("doc_id").alias("form"), F.when(F.col("quality") == 1, "en").otherwise("de").alias("division"))
+    engine = docs.select(F.col("doc_id").alias("form"), F.when(F.col("n_chars") % 2 == 0, "en").otherwise("fr").alias("division"))
+    return review.reconcile(manual, blind, engine).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all")
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling windows, an extra beside the reference's scope (STR-5)."""
