@@ -160,3 +160,15 @@ def test_folds_and_samples(spark):
     assert tuple(review.statistics(rows).first()) == (2, 1, 1, 0)
     assert [r.w for r in texts.first_seen(frame(spark, "w string, n int", ("A", 2), ("a", 1)), F.lower("w"), "n").collect()] == ["a"]
     assert texts.exclusions(frame(spark, "form string", ("A",)), None, frame(spark, "form string", ("a",))).count() == 1
+
+
+def test_request_cache_is_immutable(spark):
+    empty = frame(spark, "request_hash string, request string, response string, state string")
+    answer = "request string, response string, state string, seq int"
+    one = review.cache_put(empty, frame(spark, answer, ("{1}", "b", "s", 2), ("{1}", "a", "s", 1)), "seq")
+    two = review.cache_put(one, frame(spark, answer, ("{1}", "c", "t", 0), ("{2}", "d", "s", 3)), "seq")
+    found = review.cached(frame(spark, "request string", ("{1}",), ("{2}",), ("{3}",)), two)
+    assert {tuple(r) for r in found.collect()} == {("{1}", "a", "s"), ("{2}", "d", "s"), ("{3}", None, None)}
+    bad = two.withColumn("request", F.lit("{9}"))
+    with pytest.raises(Exception, match="cache request mismatch"):
+        review.cached(frame(spark, "request string", ("{1}",)), bad).collect()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import phonology as P
 from wordloom.functions import prosody
 from wordloom.functions import text as X
-from wordloom.operators import alignment, grammar, liang
+from wordloom.operators import alignment, grammar, liang, ngrams
 from wordloom.sources import tex
 
 
@@ -26,6 +26,18 @@ def test_syllables(word, expected):
     assert (error is None) == (expected is not None)
 
 
+@pytest.mark.parametrize("word, expected", [("rvať", "rvať"), ("Rmútiť", "Rmú·tiť"), ("rdieť", "rdieť"), ("lstivý", "lsti·vý"), ("lživý", "lži·vý"), ("lhať", "lhať"), ("ľnie", "ľnie"), ("lnie", "lnie"), ("ržať", "r·žať")])
+def test_initial_r_and_l_without_syllable(word, expected):
+    assert "·".join(prosody.syllables(word)[0]) == expected
+
+
+def test_reviewed_language(spark):
+    words = spark.createDataFrame([("Boucherova\u0301",), ("boucher",), ("bouchers",), ("a‐b",), (None,)], "word string")
+    labels = spark.createDataFrame([("boucherová", "french"), ("boucher", "french"), ("a-b", "english")], "form string, language string")
+    found = {r.word: r.language for r in ngrams.reviewed_language(words, labels).collect()}
+    assert found == {"Boucherova\u0301": "french", "boucher": "french", "bouchers": None, "a‐b": "english", None: None}
+
+
 def test_division_levels():
     assert prosody.division("matka") == ([3], [], [], None)
     assert prosody.division("mesto") == ([3], [], [], None)

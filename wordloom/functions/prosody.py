@@ -18,6 +18,7 @@ from wordloom.functions import phonology as P
 # The clusters that may open a syllable.
 ONSETS = frozenset("bl br bľ cl cm cn cr cv čl čm čn čr čv čľ dl dm dn dr dv dň fj fl fr fľ fň gl gn gr hl hm hml hn hr hv hľ chl chm chr chv chľ chň kl km kn kr kv kľ kň ml mr mľ pl pn pr pľ pň sl sm smr sn sr sv sľ sň šl šm šn šv šľ tl tm tr tv tľ zj zl zm zml zmr zn zr zv zľ žl žm žn žr žv žľ".split())
 STOPS = frozenset("ptkbdg") | {"ť", "ď"}
+NONSYLLABIC = ("rdie", "rmuc", "rmút", "rv", "lst", "lž", "ln", "lh")
 # End of fixed values.
 
 _PHONEME = re.compile(P.PHONEME.replace("(?s).", "."), re.S)
@@ -28,7 +29,7 @@ _TWINS = str.maketrans(P.FOREIGN_CONSONANTS)
 
 @dataclass(frozen=True)
 class Layout:
-    """Phonemes of a word, where each starts, and which are nuclei (D4, SYL-9)."""
+    """Phonemes of a word, where each starts, and which are nuclei (D4, SYL-4, SYL-9)."""
 
     sounds: list[str]
     offsets: list[int]
@@ -45,6 +46,8 @@ def layout(word: str) -> Layout:
         for i, x in enumerate(sounds)
         if like[i] or x in ("ŕ", "ĺ") or (x in ("r", "l") and i < last and not like[i + 1] and (i == 0 or not like[i - 1]))
     ]
+    if nuclei[:1] == [0] and word.lower().startswith(NONSYLLABIC):
+        nuclei = nuclei[1:]  # an initial r or l of these roots carries no syllable (SYL-4)
     return Layout(sounds, offsets, nuclei)
 
 

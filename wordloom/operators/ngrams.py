@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions import text as X
 
@@ -111,3 +114,14 @@ def readings(words: DataFrame, stems: DataFrame, endings: DataFrame) -> DataFram
     cut = cut.select("word", F.explode(F.sequence(F.lit(3), F.length("word") - 1)).alias("at"))
     cut = cut.select("word", F.substring(F.lower("word"), F.lit(1), F.col("at")).alias("stem"), F.substring(F.lower("word"), F.col("at") + 1, F.length("word")).alias("ending"))
     return whole.union(cut.join(F.broadcast(endings), "ending").join(F.broadcast(stems.filter("inflects")), "stem").select("word", "stem", "ending", "language"))
+
+
+@F.udf(T.StringType(), useArrow=True)
+def language_key(word):
+    return None if word is None else unicodedata.normalize("NFC", word).lower().replace("‐", "-")
+
+
+def reviewed_language(words: DataFrame, labels: DataFrame) -> DataFrame:
+    """words with language, the label of exactly this form in labels(form, language), else null (LNG-7); labels' forms are keys, each once."""
+    labels = labels.select(F.col("form").alias("_form"), "language")
+    return words.join(labels, language_key("word") == F.col("_form"), "left").drop("_form")

@@ -163,3 +163,22 @@ def statistics(items: DataFrame) -> DataFrame:
     """Counts over representatives (AG-8)."""
     own = items.filter(F.col("form") == F.col("representative"))
     return own.agg(F.count("*").alias("forms"), F.count_if("reviewed").alias("reviewed"), F.count_if(F.col("reviewed") & (F.col("action") == "confirm")).alias("confirmed"), F.count_if(F.col("reviewed") & (F.col("action") == "correct")).alias("corrected"))
+
+
+def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """requests(request) with response, state of cache(request_hash, request, response, state), null where it holds none (AI-4).
+
+    Requests are canonical JSON; a hash that stands for another request is an error.
+    """
+    held = cache.select("request_hash", F.col("request").alias("_held"), "response", "state")
+    rows = requests.join(held, F.sha2("request", 256) == F.col("request_hash"), "left")
+    checked = lambda c: F.when(F.col("_held") == F.col("request"), F.col(c)).when(F.col("_held").isNotNull(), F.raise_error(F.lit("cache request mismatch")))
+    return rows.select(*[F.col(c) for c in requests.columns], checked("response").alias("response"), checked("state").alias("state"))
+
+
+def cache_put(cache: DataFrame, answers: DataFrame, order: str) -> DataFrame:
+    """cache with answers(request, response, state, order) added; what it holds stays, and the first answer of a request counts (AI-4)."""
+    new = answers.withColumn("request_hash", F.sha2("request", 256)).join(cache.select("request_hash"), "request_hash", "left_anti")
+    row = F.struct("request", "response", "state")
+    first = new.groupBy("request_hash").agg(F.min_by(row, order).alias("r"))
+    return cache.select("request_hash", "request", "response", "state").union(first.select("request_hash", "r.*"))
