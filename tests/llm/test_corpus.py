@@ -33,24 +33,44 @@ def test_top_k_equals_brute_force(spark, sf, monkeypatch):
 
 
 def test_top_k_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, []), (8, [1.0]), (1, [1.0, 0.0]), (20, [1e300, 0.0])]
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.5]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [inf, 0.0]), (None, [1.0, 1.0]), (7, []), (8, [1.0]), (1, [1.0, 0.0]), (9, [1e10, 0.0]), (40, [0.0]), (40, [0.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, units string")
-    found = topk_search.top_k(df, F.col("vec_id") % 20 == 0, 20).orderBy("rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in found] == [(0, 1, 1, 4096), (0, 2, 2, 4096)]
+    found = topk_search.top_k(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()
+    # rows that share an id are rows of their own: only the query's own row is no candidate
+    first = [(0, 1, 9, 64 * 64 * 10**10), (0, 2, 1, 4096), (0, 3, 1, 4096), (0, 4, 2, 4096)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in found if r.query_id == 0] == first
+    assert Counter((r.rank, r.vec_id, r.score) for r in found if r.query_id == 40) == Counter([(1, 8, 0), (2, 40, 0)] * 2)
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk_search.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_search_stops_only_on_proof():
+@pytest.mark.parametrize("spread,dims", [(1, 16), (5, 16), (40, 64), (3000, 16), (10**6, 4), (2**31, 3), (2**56, 3)])
+def test_search_stops_only_on_proof(spread, dims):
     r = np.random.default_rng(3)
-    for spread in (1, 5, 40):
-        units = r.integers(-spread, spread + 1, (300, 16))
-        index = topk_search.Index(np.arange(300), units)
-        q, v, s = index.search(units[:30], np.arange(30), 7)
-        full = units[:30] @ units.T
-        for i in range(30):
-            other = np.delete(np.arange(300), i)
-            order = other[np.lexsort((other, -full[i][other]))][:7]
-            assert v[q == i].tolist() == order.tolist() and s[q == i].tolist() == full[i][order].tolist()
+    units = (spread * r.standard_normal((400, dims))).astype(np.int64)
+    ids = r.permutation(400) // 2
+    index = topk_search.Index(np.arange(400) * 3, ids, units)
+    q, v, s = index.search(units[:150], np.arange(150) * 3, 7)
+    for i in range(0, 150, 7):
+        full = [min(max(int(x), -(2**63)), 2**63 - 1) for x in (units[i].astype(object) * units.astype(object)).sum(axis=1)]
+        want = sorted((-full[j], ids[j]) for j in range(400) if j != i)[:7]
+        assert [(-int(a), b) for a, b in zip(s[q == i], ids[v[q == i]], strict=True)] == want
+
+
+def test_search_skips_segments():
+    """Few large components and many small ones: the proof comes before the small segments are taken."""
+    r = np.random.default_rng(4)
+    units = r.integers(-1, 2, (3000, 200))
+    units[np.arange(3000), r.integers(0, 5, 3000)] = r.integers(2000, 9000, 3000)
+    index = topk_search.Index(np.arange(3000), np.arange(3000), units)
+    assert index.bands[-1][2] == 0 and sum(len(x[2]) for x in index.bands[0][0]) <= 3000
+    q, v, s = index.search(units[:40], np.arange(40), 5)
+    full = units[:40] @ units.T
+    for i in range(40):
+        other = np.delete(np.arange(3000), i)
+        assert v[q == i].tolist() == other[np.lexsort((other, -full[i][other]))][:5].tolist()
 
 
 def test_token_files(spark, sf, odd, nothing):

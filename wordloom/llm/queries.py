@@ -79,5 +79,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_VECTORS = """select row_number() over () as place, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as units from embeddings
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)"""
+TOP_K_SQL = f"""with v as materialized ({_VECTORS}),
+    scores as (select q.place, q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.units, v.units), lambda z: z[1] * z[2])) as score
+        from v q join v on q.place <> v.place and len(q.units) = len(v.units) where q.vec_id % 20 = 0),
+    ranked as (select *, row_number() over (partition by place order by score desc, vec_id) as n from scores)
+    select query_id, cast(n as integer) as rank, vec_id, cast(score as bigint) as score from ranked where n <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk_search": TOP_K_SQL}
