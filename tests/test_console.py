@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom.functions import prosody
 from wordloom.operators import console, foreign, review
 
 
@@ -12,24 +13,43 @@ def frame(spark, schema, *rows):
     return spark.createDataFrame(list(rows), schema)
 
 
-def test_adapting_points():
-    assert foreign.adapt("katzen", "german", [3]).points == [2] and foreign.adapt("katzen", "german", [3]).changes == [(3, 2, "de_tz_single_affricate")]
-    assert foreign.adapt("atzen", "german", [2]).points == []
-    assert foreign.adapt("fenster", "german", [4]).points == [3]
-    assert foreign.adapt("fenster", "german", [4], [4]).points == [4]
-    assert foreign.adapt("citron", "french", [2]).points == [3] and foreign.adapt("retrouver", "french", [2]).points[0] == 2
-    assert foreign.adapt("théâtre", "french", []).points == [3]
-    assert foreign.adapt("x", "dutch", []).error == "BAD_LANGUAGE" and foreign.adapt("a1", "german", []).error == "UNSUPPORTED_SPELLING"
-    assert foreign.adapt("abc", "german", [], [3]).error == "BAD_MORPHEME_POINT" and foreign.adapt(None, "german", []).points == []
+def adapted(spark, *rows):
+    """The adapted division of each (word, language, raw points, seams)."""
+    df = frame(spark, "word string, language string, raw array<int>, seams array<int>", *[(*r, []) if len(r) == 3 else r for r in rows])
+    return [r.v for r in df.select(foreign.adapt(*map(F.col, df.columns)).alias("v")).collect()]
 
 
-def test_inflected_and_described():
-    assert foreign.inflected_german("stein", "ovi", []) == [4, 6]
-    assert foreign.inflected_german("hering", "om", [2]) == [2, 6]
-    assert foreign.inflected_german("berlin", "ska", [3]) == [3, 6]
+def test_adapting_points(spark):
+    given = [
+        (("katzen", "german", [3]), [2]), (("atzen", "german", [2]), []), (("fenster", "german", [4]), [3]), (("fenster", "german", [4], [4]), [4]),
+        (("citron", "french", [2]), [3]), (("théâtre", "french", []), [3]), (("poésie", "french", [3]), [2, 3]), (("secrète", "french", [2]), [3]),
+        (("reprendre", "french", [2]), [2]), (("afrique", "french", []), [2]), (("âpre", "french", []), []), (("sitzende", "german", [3, 6]), [2, 6]),
+        (("Fensterbank", "german", [4, 7]), [3, 7]), (("entziehen", "german", [3, 6]), [3, 6]), (("achromatique", "french", [1, 5]), [3, 5]), ((None, "german", []), []),
+    ]
+    found = adapted(spark, *[x for x, _ in given])
+    assert [r.points for r in found] == [p for _, p in given] and all(r.error is None for r in found)
+    assert [tuple(c) for c in found[0].changes] == [(3, 2, "de_tz_single_affricate")] and [tuple(c) for c in found[1].changes] == [(2, None, "de_tz_single_affricate")]
+    assert [tuple(c) for c in found[5].changes] == [(None, 3, "fr_hiatus")] and found[0].native == [3]
+    bad = adapted(spark, ("x", "dutch", []), ("a1", "german", []), ("abc", "german", [], [3]), ("abcd", "german", [], [2]))
+    assert [r.error for r in bad] == ["BAD_LANGUAGE", "UNSUPPORTED_SPELLING", "BAD_MORPHEME_POINT", None]
+    assert [tuple(c) for c in bad[3].changes] == [(None, 2, "verified_morpheme")]
+
+
+def test_inflected_and_described(spark):
+    df = frame(spark, "stem string, ending string, p array<int>", ("stein", "ovi", []), ("hering", "om", [2]), ("berlin", "ska", [3]), ("strauß", "e", []), ("schuh", "a", []))
+    assert [r[0] for r in df.select(foreign.inflected_german(*map(F.col, df.columns))).collect()] == [[4, 6], [2, 6], [3, 6], [5], []]
     wood = [[("w", "v"), ("oo", "u"), ("d", "d")]]
-    assert foreign.described_points("woodovi", wood, "ovi") == ([3, 5], [])
-    assert foreign.described_points("woodska", wood, "ska") == ([4], [])
+    two = [[("w", "v"), ("oo", "u"), ("d", "d")], [("s", "s"), ("t", "t"), ("o", "o"), ("ck", "k")]]
+    rows = [("woodovi", wood, "ovi"), ("woodska", wood, "ska"), ("wood", wood, ""), ("woodstockom", two, "om"), ("ada", [[("a", "a"), ("d", "d"), ("a", "a")]], "")]
+    df = frame(spark, "word string, parts array<array<struct<spelling:string,role:string>>>, ending string", *rows)
+    found = [(r.v.points, r.v.contextual) for r in df.select(foreign.described_points(*map(F.col, df.columns)).alias("v")).collect()]
+    assert found == [([3, 5], []), ([4], []), ([], []), ([4, 7], []), ([], [1])]
+
+
+def test_written_points_of_columns(spark):
+    words = ["mama", "sestra", "matka", "vlk", "vrstva", "jablko", "lživý", "lhota", "vŕba", "kaviareň", "prst", "mliečny", "obrstva", "trojuholník", "a", "x"]
+    found = frame(spark, "w string", *[(w,) for w in words]).select("w", prosody.written_points(F.col("w")).alias("p")).collect()
+    assert {r.w: r.p for r in found} == {w: prosody.written_breaks(w) for w in words}
 
 
 def test_routing(spark):
@@ -38,7 +58,7 @@ def test_routing(spark):
     assert [r.word for r in foreign.routed(candidates, evidence).collect()] == ["a"]
     m = foreign.routing_metrics(frame(spark, "language string, routed string", ("de", "de"), ("de", "fr"), ("de", None))).first()
     assert (m.words, m.right, m.wrong, m.unrouted, m.accuracy) == (3, 1, 1, 1, 0.5)
-    rows = frame(spark, "word string, raw array<int>", ("katzen", [3]), ("haus", [])).select(F.lit("german").alias("language"), foreign.adapt_udf("word", F.lit("german"), "raw", F.array().cast("array<int>")).alias("v"))
+    rows = frame(spark, "word string, raw array<int>", ("katzen", [3]), ("haus", [])).select(F.lit("german").alias("language"), foreign.adapt(F.col("word"), F.lit("german"), F.col("raw")).alias("v"))
     s = foreign.adapter_statistics(rows).first()
     assert (s.types, s.changed_words, s.added_points, s.removed_points) == (2, 1, 1, 1) and foreign.rule_histogram(rows).count() == 1
 

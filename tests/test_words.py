@@ -141,11 +141,22 @@ def test_numbers_and_learning(spark):
     assert liang.exceptions(found, "want", "points").count() < 30
 
 
-def test_alternations():
-    assert [grammar.alternated(*x) for x in (("žen", "≤"), ("noh", "≤"), ("stôl", "≥"), ("otec", "»«"), ("kráľ", "*"), ("krásk", "«o»"), ("dievč", "+at"), ("génius", "-us"), ("Turek", "k/c"))] == ["žien", "nôh", "stol", "otc", "kráľ"[:-1] + "l", "krások", "dievčat", "géni", "Turec"]
-    assert grammar.noun_cells("žen", "žena") == ["žena", "ženy", "žene", "ženu", "žene", "ženou", "ženy", "žien", "ženám", "ženy", "ženách", "ženami"]
-    assert grammar.cell_root("dievč", ("+ať+2367sg", "+at", "pl"), 1) == "dievčať" and grammar.cell_root("dievč", ("+ať+2367sg", "+at", "pl"), 6) == "dievčat"
-    assert grammar.without_soft_mark("oblasťi hosťia ňe") == "oblasti hostia ňe" and grammar.noun_cells("x", "none") is None
+def test_alternations(spark):
+    given = {
+        ("žen", "≤"): "žien", ("noh", "≤"): "nôh", ("srdc", "≤"): "sŕdc", ("svet", "x"): "svet", ("stôl", "≥"): "stol", ("viet", "≥"): "vet", ("práv", "≥"): "prav", ("otec", "»«"): "otc", ("pies", "»«"): "ps",
+        ("deň", "»«"): "dň", ("ab", "»«"): "ab", ("kráľ", "*"): "král", ("Čech", "*"): "Češ", ("krásk", "«o»"): "krások", ("oko", "«o»"): "oko", ("dievč", "+at"): "dievčat", ("génius", "-us"): "géni", ("géni", "-us"): "géni",
+        ("Turek", "k/c"): "Turec", ("Turek", "g/c"): "Turek", ("Turek", "ek/"): "Tur",
+    }
+    found = values(spark, list(given), "root string, code string", "root", "code", grammar.alternated(F.col("root"), F.col("code")))
+    assert {(r, c): x for r, c, x in found} == given
+    cells = grammar.codes_of_cells(("+ať+2367sg", "+at", "pl"))
+    assert cells[1] == ["+ať"] and cells[6] == ["+at"] and cells[0] == [] and grammar.codes_of_cells(("≤", "+2pl", "*"))[7] == ["≤", "*"]
+    assert [x for x, in values(spark, [("oblasťi hosťia ňe",)], "w string", grammar.without_soft_mark(F.col("w")))] == ["oblasti hostia ňe"]
+    roots = spark.createDataFrame([("žen", "žena"), ("x", "none"), (None, "žena")], "root string, pattern string")
+    forms = [r.form for r in grammar.paradigms(roots).orderBy(F.desc("number"), F.array_position(F.array(*map(F.lit, grammar.CASES)), F.col("case"))).collect()]
+    assert forms == ["žena", "ženy", "žene", "ženu", "žene", "ženou", "ženy", "žien", "ženám", "ženy", "ženách", "ženami"]
+    own = grammar.pattern_table(spark, {"hrdina": ("a|u|ovi|u|ovi|om|ovia|ov|om|ov|och|ami", ())})
+    assert {r.form for r in grammar.paradigms(spark.createDataFrame([("hrdin", "hrdina")], "root string, pattern string"), own).collect()} >= {"hrdina", "hrdinovia", "hrdinami"}
 
 
 def test_induction(spark):

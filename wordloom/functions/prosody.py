@@ -10,6 +10,7 @@ import math
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +80,21 @@ def written_breaks(unit: str) -> list[int]:
     return out
 
 
+def written_points(unit: Column) -> Column:
+    """The same points as a column expression (DIV-5): for each two neighbouring nuclei, by the sounds between them."""
+    sounds = P.phonemes(unit)
+    start = lambda k: F.length(F.array_join(F.slice(sounds, F.lit(1), k), ""))
+    found = P.nuclei(sounds)
+    silent = (F.get(found, F.lit(0)) == 0) & F.lower(unit).rlike(f"^(?:{'|'.join(NONSYLLABIC)})")
+    found = F.when(silent, F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found)
+
+    def cut(a: Column, b: Column) -> Column:
+        stop = F.get(sounds, a).isin("r", "l") & (b - a >= 4) & (F.get(sounds, a + 1) == "s") & F.get(sounds, a + 2).isin(*STOPS)
+        return start(F.when(stop, a + 3).when(b - a >= 3, a + 2).otherwise(a + 1))
+
+    return F.filter(F.transform(found, lambda b, i: F.when(i > 0, cut(F.get(found, i - 1), b))), lambda p: p.isNotNull())
+
+
 def syllables(word: str | None) -> tuple[list[str] | None, str | None]:
     """Syllables in the word's own casing, or an error code (SYL-1)."""
     if word is None:

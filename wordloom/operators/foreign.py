@@ -1,142 +1,146 @@
-"""Foreign words: routing, described readings, German and French pattern adaptation (FOR-2 .. FOR-7, FOR-14 .. FOR-18, AG-9, AG-10)."""
+"""Foreign words: routing, described readings, German and French pattern adaptation (FOR-2 .. FOR-6, FOR-14 .. FOR-18, AG-9, AG-10).
+
+Spelling rules are rows of a table: a rule holds at a place of a word when the letters on its left and on its right match, and
+then shifts the point there, or adds one. Everything is column expressions.
+"""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wordloom.functions import phonology as P
 from wordloom.functions import prosody
 
-# Letters and spelling rules of the two languages.
-VOWELS = "aeiouyäöüàâæéèêëîïôœùûÿ"
-LETTERS = {"german": frozenset("abcdefghijklmnopqrstuvwxyzäöüß'"), "french": frozenset("abcdefghijklmnopqrstuvwxyzàâäæçéèêëîïôöœùûüÿ'")}
-FRENCH_PREFIXES = {"re", "ré", "dé", "pré", "mé"}
-FRENCH_GROUP = r"(?:ch|ph|th|[bcdfgptv])[lr]"
-UNIT_PROXIES = {"tsch": "č", "dsch": "ž", "sch": "š", "ch": "h", "ck": "k", "tz": "c", "ph": "f", "th": "t", "ng": "n"}
+# Letters of the two languages, their spelling rules, and the units a Slovak ending meets at the end of a German base.
+VOWELS = "aeiouyäöüàâæéèêëîïôœùûüÿ"
+LETTERS = {"german": "abcdefghijklmnopqrstuvwxyzäöüß'", "french": "abcdefghijklmnopqrstuvwxyzàâäæçéèêëîïôöœùûüÿ'"}
+UNITS = "tsch|dsch|sch|ch|ck|tz|ph|th|ng|dz|dž"
+V = f"[{VOWELS}]"
+UNLESS_PREFIX = "^(?!(?:re|ré|dé|pré|mé)$)"
+
+
+class Rule(NamedTuple):
+    """Where these letters stand before and after a place, its point moves by shift letters, or a point is added."""
+
+    language: str
+    name: str
+    before: str
+    after: str
+    shift: int = 0
+
+
+MOVES = (
+    Rule("german", "de_tz_single_affricate", f"{V}t$", f"^z{V}", -1),
+    Rule("german", "de_three_consonants", f"{V}[lmnr]s$", f"^t{V}", -1),
+    Rule("french", "fr_two_consonants", f"{UNLESS_PREFIX}.*{V}$", f"^[bcdfgptv][lr]{V}", 1),
+    Rule("french", "fr_two_consonants", f"{UNLESS_PREFIX}.*{V}$", f"^[cpt]h[lr]{V}", 2),
+)
+ADDITIONS = (
+    Rule("french", "fr_hiatus", "é$", "^[aoâ]"),
+    Rule("french", "fr_hiatus", "[ao]$", "^é"),
+)
+#: The first vowel of such a French word has a point behind it that the patterns leave out.
+FRENCH_OPENING = f"^{V}[bcdfgptv][lr](?!e){V}"
 # End of fixed values.
 
-_V = f"[{VOWELS}]"
-_TZ = re.compile(f"(?<={_V})tz(?={_V})")
-_ST = re.compile(f"(?<={_V})[lmnr]st(?={_V})")
-_GROUP = re.compile(f"{FRENCH_GROUP}(?={_V})")
-_HIATUS = re.compile("é(?=[aoâ])|[ao](?=é)")
-_UNIT = re.compile("|".join(sorted(UNIT_PROXIES, key=len, reverse=True)) + "|.", re.S)
-
+CHANGE, INTS = "struct<before:int,after:int,rule:string>", "array<int>"
 
-@dataclass
-class Adapted:
-    """Points of the patterns, points after the language's spelling rules, and each change (before, after, rule)."""
 
-    native: list[int] = field(default_factory=list)
-    points: list[int] = field(default_factory=list)
-    changes: list[tuple[int | None, int | None, str]] = field(default_factory=list)
-    error: str | None = None
+def _either(rules: tuple[Rule, ...], language: Column, lower: Column, place: Column, value) -> Column:
+    """value(rule) of the first rule that holds at the place, else null."""
+    left, right = F.substring(lower, F.lit(1), place), F.substring(lower, place + 1, F.length(lower))
+    out = F.lit(None)
+    for rule in reversed(rules):
+        out = F.when((language == rule.language) & left.rlike(rule.before) & right.rlike(rule.after), value(rule)).otherwise(out)
+    return out
 
 
-def adapt(word: str | None, language: str, raw: list[int], seams: list[int] | None = None) -> Adapted:
-    """Pattern points (found with margins of 1) adapted by spelling rules; known seams are kept (FOR-4).
+def adapt(word: Column, language: Column, raw: Column, seams: Column | None = None) -> Column:
+    """struct(native, points, changes, error): pattern points (found with margins of 1) adapted by spelling rules (FOR-4).
 
-    A point that a rule moves beyond the margins of two letters goes without a replacement.
+    Known seams are kept. A point that a rule moves beyond the margins of two letters goes without a replacement. A null word
+    has no points and no error; points are sorted.
     """
-    if word is None:
-        return Adapted()
-    if language not in LETTERS:
-        return Adapted(error="BAD_LANGUAGE")
-    lower = word.lower().replace("’", "'")
-    if len(lower) != len(word) or not set(lower) <= LETTERS[language]:
-        return Adapted(error="UNSUPPORTED_SPELLING")
-    fixed = set(seams or [])
-    if any(not 0 < p < len(lower) for p in fixed):
-        return Adapted(error="BAD_MORPHEME_POINT")
-    inner = lambda p: 2 <= p <= len(lower) - 2
-    found = set(raw) | ({1} if language == "french" and re.match(f"{_V}{FRENCH_GROUP}[^e]", lower) and lower[3:4] in VOWELS else set())
-    points = found | fixed
-    out = Adapted(native=sorted(filter(inner, found)), changes=[(None, p, "verified_morpheme") for p in sorted(fixed - found) if inner(p)])
-    moves: list[tuple[int, int, str]] = []
-    if language == "german":
-        moves += [(m.start() + 1, m.start(), "de_tz_single_affricate") for m in _TZ.finditer(lower)]
-        moves += [(m.start() + 2, m.start() + 1, "de_three_consonants") for m in _ST.finditer(lower)]
-    else:
-        for p in sorted(found):
-            m = _GROUP.match(lower, p)
-            if m and p and lower[p - 1] in VOWELS and lower[:p] not in FRENCH_PREFIXES:
-                moves.append((p, m.end() - 1, "fr_two_consonants"))
-    for before, after, rule in moves:
-        if before in points - fixed:
-            points.discard(before)
-            if inner(after):
-                points.add(after)
-            out.changes.append((before, after if inner(after) else None, rule))
-    if language == "french":
-        for m in _HIATUS.finditer(lower):
-            if m.end() not in points and inner(m.end()):
-                points.add(m.end())
-                out.changes.append((None, m.end(), "fr_hiatus"))
-    out.points = sorted(filter(inner, points))
-    return out
+    lower = F.replace(F.lower(word), F.lit("’"), F.lit("'"))
+    none = F.array().cast(INTS)
+    fixed = none if seams is None else F.coalesce(seams.cast(INTS), none)
+    places = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
+    inner = lambda x: F.filter(x, lambda p: (p >= 2) & (p <= F.length(word) - 2))
+    opening = F.when((language == "french") & lower.rlike(FRENCH_OPENING), F.array(F.lit(1))).otherwise(none)
+    found = F.array_union(F.coalesce(raw.cast(INTS), none), opening)
+    seam_changes = F.transform(inner(F.array_sort(F.array_except(fixed, found))), lambda p: F.struct(F.lit(None).cast("int").alias("before"), p.alias("after"), F.lit("verified_morpheme").alias("rule")))
+    move = lambda p: _either(MOVES, language, lower, p, lambda r: F.struct(p.alias("before"), (p + r.shift).cast("int").alias("after"), F.lit(r.name).alias("rule")))
+    moved = F.filter(F.transform(F.array_sort(F.array_except(found, fixed)), move), lambda m: m.isNotNull())
+    reached = inner(F.transform(moved, lambda m: m["after"]))
+    kept = F.array_union(F.array_except(F.array_union(found, fixed), F.transform(moved, lambda m: m["before"])), reached)
+    add = lambda p: _either(ADDITIONS, language, lower, p, lambda r: F.struct(F.lit(None).cast("int").alias("before"), p.cast("int").alias("after"), F.lit(r.name).alias("rule")))
+    added = F.filter(F.transform(F.array_except(inner(places), kept), add), lambda m: m.isNotNull())
+    shown = F.transform(moved, lambda m: F.struct(m["before"].alias("before"), F.when((m["after"] >= 2) & (m["after"] <= F.length(word) - 2), m["after"]).alias("after"), m["rule"].alias("rule")))
+    error = F.when(~F.coalesce(language.isin(*LETTERS), F.lit(False)), "BAD_LANGUAGE")
+    for name, letters in LETTERS.items():
+        error = error.when((language == name) & ~lower.rlike(f"^[{letters}]*$"), "UNSUPPORTED_SPELLING")
+    error = error.when(F.exists(fixed, lambda p: (p <= 0) | (p >= F.length(word))), "BAD_MORPHEME_POINT")
+    fine = word.isNotNull() & error.isNull()
+    changes = F.concat(seam_changes.cast(f"array<{CHANGE}>"), shown.cast(f"array<{CHANGE}>"), added.cast(f"array<{CHANGE}>"))
+    return F.struct(
+        F.when(fine, F.array_sort(inner(found))).otherwise(none).alias("native"),
+        F.when(fine, F.array_sort(F.array_distinct(F.concat(inner(kept), F.transform(added, lambda m: m["after"]))))).otherwise(none).alias("points"),
+        F.when(fine, changes).otherwise(F.array().cast(f"array<{CHANGE}>")).alias("changes"),
+        F.when(word.isNotNull(), error).alias("error"),
+    )
 
 
-def inflected_german(stem: str, ending: str, stem_points: list[int]) -> list[int]:
-    """Points of a German base with a Slovak ending (FOR-6): only the stem's last consonants move to a vowel ending."""
-    seam, whole = len(stem), len(stem) + len(ending)
-    if ending[0] not in P.VOWEL_LIKE:
-        found = {*stem_points, seam, *(seam + p for p in prosody.written_breaks(ending))}
-        return sorted(p for p in found if 2 <= p <= whole - 2)
-    lower = stem.lower()
-    tail = re.search(f"[^{VOWELS}]*$", lower).start()
-    if lower[tail : tail + 1] == "h":
-        tail += 1  # a mark of length, no consonant
-    proxy, places = "a", [0, tail]
-    for m in _UNIT.finditer(lower, tail):
-        proxy += UNIT_PROXIES.get(m[0], m[0])
-        places.append(m.end())
-    places += range(seam + 1, whole + 1)
-    moved = {places[p] for p in prosody.written_breaks(proxy + ending)}
-    if lower.endswith("ng") and seam - 2 in moved:
-        moved = moved - {seam - 2} | {seam}
-    return sorted(p for p in {p for p in stem_points if p < tail} | moved if 2 <= p <= whole - 2)
-
-
-def described_points(word: str, parts: list[list[tuple[str, str]]], ending: str) -> tuple[list[int], list[int]]:
-    """Points and contextual points of a reading whose parts map spellings to sound roles (FOR-3)."""
-    if len(word.lower()) != len(word):
-        return [], []
-    found: set[int] = set()
-    at = 0
-    for n, part in enumerate(parts):
-        proxy, places = "", [at]
-        for spelling, role in part:
-            at += len(spelling)
-            proxy += role
-            places += [at] * len(role)
-        tail = ending if n == len(parts) - 1 else ""
-        joins = tail[:1] in P.VOWEL_LIKE and bool(tail)
-        if joins:
-            proxy += tail
-            places += range(at + 1, at + len(tail) + 1)
-        found |= {places[p] for p in prosody.written_breaks(proxy)}
-        if n < len(parts) - 1 or (tail and not joins):
-            found.add(at)
-        if tail and not joins:
-            found |= {at + p for p in prosody.written_breaks(tail)}
-    edge = {1} & found if word[:1].lower() in P.VOWEL_LIKE else set()
-    return sorted(found - edge - {len(word) - 1}), sorted(edge - {len(word) - 1})
-
-
-INTS = T.ArrayType(T.IntegerType())
-CHANGE = T.StructType([T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("rule", T.StringType())])
-ADAPTED = T.StructType([T.StructField("native", INTS), T.StructField("points", INTS), T.StructField("changes", T.ArrayType(CHANGE)), T.StructField("error", T.StringType())])
-
-
-@F.udf(ADAPTED, useArrow=True)
-def adapt_udf(word, language, raw, seams):
-    found = adapt(word, language, list(raw or []), list(seams or []))
-    return found.native, found.points, found.changes, found.error
+def _vowel_first(text: Column) -> Column:
+    return F.lower(text).rlike(f"^[{''.join(x for x in P.VOWEL_LIKE if len(x) == 1)}]")
+
+
+def inflected_german(stem: Column, ending: Column, stem_points: Column) -> Column:
+    """Points of a German base with a Slovak ending (FOR-6).
+
+    A consonant ending leaves the base alone. A vowel ending takes the base's last unit of consonants with it, or the later
+    ones where there are several; ng closes its syllable, and an h after the last vowel is only a mark of length.
+    """
+    lower, seam, whole = F.lower(stem), F.length(stem), F.length(stem) + F.length(ending)
+    last_vowel = F.length(F.regexp_extract(lower, f"^(?:.*{V})?", 0))
+    tail = last_vowel + F.when(F.substring(lower, last_vowel + 1, F.lit(1)) == "h", 1).otherwise(0)
+    units = F.regexp_extract_all(F.substring(lower, tail + 1, F.length(lower)), F.lit(f"{UNITS}|."), F.lit(0))
+    crossing = F.when(F.size(units) == 0, seam).when(F.size(units) == 1, tail).otherwise(tail + F.length(F.get(units, F.lit(0))))
+    crossing = F.when(lower.endswith("ng") & (crossing == seam - 2), seam).otherwise(crossing)
+    inside = F.transform(prosody.written_points(ending), lambda p: seam + p)
+    joined = F.concat(F.filter(stem_points, lambda p: p < tail), F.array(crossing), inside)
+    apart = F.concat(stem_points, F.array(seam), inside)
+    points = F.when(_vowel_first(ending), joined).otherwise(apart)
+    return F.array_sort(F.array_distinct(F.filter(points, lambda p: (p >= 2) & (p <= whole - 2))))
+
+
+def described_points(word: Column, parts: Column, ending: Column) -> Column:
+    """struct(points, contextual) of a reading whose parts map spellings to sound roles (FOR-3).
+
+    parts: array of parts, each an array of struct(spelling, role). Each part divides as its roles do, parts meet at seams,
+    and a vowel ending divides with the last part.
+    """
+    size = lambda part: F.aggregate(part, F.lit(0), lambda n, u: n + F.length(u["spelling"]))
+    vowel = (F.length(ending) > 0) & _vowel_first(ending)
+
+    def own(part: Column, n: Column) -> Column:
+        begin = F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda at, p: at + size(p))
+        after = lambda i: begin + size(F.slice(part, F.lit(1), i + 1))
+        places = F.concat(F.array(begin), F.flatten(F.transform(part, lambda u, i: F.array_repeat(after(i), F.length(u["role"])))))
+        end, last = begin + size(part), n == F.size(parts) - 1
+        spoken = F.array_join(F.transform(part, lambda u: u["role"]), "")
+        joins = last & vowel
+        places = F.when(joins, F.concat(places, F.transform(F.sequence(F.lit(1), F.greatest(F.length(ending), F.lit(1))), lambda k: end + k))).otherwise(places)
+        points = F.transform(prosody.written_points(F.when(joins, F.concat(spoken, ending)).otherwise(spoken)), lambda p: F.get(places, p))
+        apart = last & (F.length(ending) > 0) & ~vowel
+        points = F.when(~last | apart, F.concat(points, F.array(end))).otherwise(points)
+        return F.when(apart, F.concat(points, F.transform(prosody.written_points(ending), lambda p: end + p))).otherwise(points)
+
+    found = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(parts, own)), lambda p: p != F.length(word) - 1)))
+    edge = F.filter(found, lambda p: (p == 1) & _vowel_first(word))
+    return F.struct(F.array_except(found, edge).alias("points"), edge.alias("contextual"))
 
 
 def routed(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
