@@ -40,8 +40,9 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, and so a Python worker's memory."""
+    """Bound the rows and bytes of an Arrow batch, and so a Python worker's memory; a longer row makes a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def fold(doc_id: Column, modulus: int) -> Column:

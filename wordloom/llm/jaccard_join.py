@@ -1,23 +1,28 @@
 """N-gram Jaccard join: an exact metric-space join of documents on their word-shingle sets.
 
 Jaccard distance d = 1 - J is a metric; two documents link when d <= r (r = 0.2 in production). The join works on classes
-of equal sets:
-
-1. Anchors. Order all shingles once, the same way everywhere (a bounded list of shingles that are common in a sample goes
-   last, the rest follow their hash). Sets with J >= t share at least m shingles among the first n - ceil(t n) + m of each;
-   m grows with n, so texts that only share a passage drop out before their sets are read. Unrelated texts all lie at distance 1 from one another, where no pivot can tell them apart; the anchors therefore decide which
-   pivots a document can lie near at all. Any order is right; the list only keeps regions small.
-2. Regions. The smallest class at each anchor becomes a pivot; its region are all classes that share one of its anchors, so
-   linked classes always share a region. Every member's distance to the pivot is computed; members within r are linked.
-3. Windows and recursion. Members that are in one component need no comparison with one another. The rest stay, get new
-   pivots inside their region, and are compared with those whose distance to the old pivot lies within r of theirs (triangle
-   inequality), until every region is one component or exhausted. Once the comparisons left are no more than a small
-   multiple of the members, they are made in one step.
-
-Before sets are fetched for a comparison, counts of shingles in SLOTS hash classes bound the distance from below: the distances
-to SLOTS fixed disjoint pivots. Rounds take 1, 8, 64, ... pivots of a region, so their number is logarithmic in the largest
-region. Nothing is capped: every pair that shares a region is compared, or proven superfluous (same component, sizes too
-different, outside a window, or too far by its counts).
+of equal sets, in rounds over the classes that are still open:
+
+1. Sight. Order all shingles once, the same way everywhere (a bounded list of shingles common in a sample goes last, the rest
+   follow their hash). Sets nearer than r + c share a shingle among the first n - ceil((1 - r - c) n) + 1 of each, where c is
+   the cover radius, min(r, (1 - r) / 2). Unrelated texts all lie at distance 1, where no pivot tells them apart, so only
+   classes that share such an anchor see each other. Classes without a possible partner drop out before sets are fetched:
+   partners share at least m of their first n - ceil((1 - r) n) + m shingles, and m grows with n.
+2. Pivots and Voronoi regions. A class that is the smallest at all of its anchors is a pivot; no two pivots share an anchor,
+   so a group of near copies has about one. Every class that sees a pivot is measured against it, and those within the cover
+   radius of one go to the region of the nearest. Links to pivots give components.
+3. Windows. A region's own classes all link to its pivot, so they need no comparison with one another. A class at distance
+   d(x, p) <= r + c from the pivot of another region is replicated there if d(x, p) <= d(x, its own pivot) + r (triangle
+   inequality: of two linked classes one lies in the window of the other's region); classes without a region are guests of
+   every pivot that near. Guests of the pivot's component drop out; the rest meet the region's own classes where their
+   distances to the pivot differ by at most r.
+4. Recursion. Classes with a region have then met all their partners and leave; the others get new pivots, for as long as a
+   fifth of them finds a region. What is left lies in no ball: there the classes that share anchors with the same smallest
+   class form a region, and all pairs across components meet inside it.
+
+Inside a region classes meet in blocks of bounded number and bytes: a pair of blocks is compared at once, first by sizes, roots,
+distances to the pivot and counts of shingles in SLOTS hash classes (which bound the distance from below: SLOTS disjoint
+pivots), then exactly, so only links come out. Nothing is capped or sampled out; every possible pair is compared or excluded.
 
 Defined cases: null or wordless text has an empty set, n_shingles 0, and stands alone; fewer words than n make one shingle
 of the whole sequence; repeated rows are equal sets; rows with a null doc_id take part, but a component is named by its
@@ -42,8 +47,8 @@ U64 = np.uint64
 BROADCAST_IDS = 2_000_000
 #: Documents sampled to find common shingles, how often one must occur among them, and how many are listed at most.
 SAMPLE_DOCS, COMMON_IN_SAMPLE, COMMON_MOST = 16_000, 3, 65_536
-#: Hash classes whose counts bound a distance.
-SLOTS = 256
+#: Hash classes whose counts bound a distance; classes and bytes (about) in a block.
+SLOTS, BLOCK_CLASSES, BLOCK_BYTES = 256, 256, 1_000_000
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -66,7 +71,7 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> Iterator[np.
 
 def _needed(n):
     """Anchors that a set of n shingles must share with another to be near it."""
-    return 1 + n // 8
+    return 1 + n // 16
 
 
 def class_key(s: np.ndarray) -> tuple[int, int]:
@@ -106,11 +111,17 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
     return np.array([r.s for r in reversed(rows)], np.int64).view(U64)
 
 
-def _scan(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _ordered(s: np.ndarray, by_value: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order: listed shingles last, the most common at the end."""
+    if not len(by_value) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(by_value, s), len(by_value) - 1)
+    late = by_value[at] == s
+    return np.concatenate([s[~late], s[late][np.argsort(rank[at[late]], kind="stable")]]) if late.any() else s
+
+
+def _scan(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
     """doc_id, n, a, b (class key), anchors."""
-    common = _common(docs, width)
-    order = np.argsort(common)
-    held = docs.sparkSession.sparkContext.broadcast((common[order], order))  # at most COMMON_MOST values
 
     def scan(batches):
         by_value, rank = held.value
@@ -122,13 +133,7 @@ def _scan(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 a, b = class_key(s)
                 one.append(a)
                 two.append(b)
-                if n:
-                    if len(by_value):
-                        at = np.minimum(np.searchsorted(by_value, s), len(by_value) - 1)
-                        late = by_value[at] == s
-                        if late.any():
-                            s = np.concatenate([s[~late], s[late][np.argsort(-rank[at[late]], kind="stable")][::-1]])
-                    s = s[: n - (num * n + den - 1) // den + _needed(n)]
+                s = _ordered(s, by_value, rank)[: n - (percent * n + 99) // 100 + _needed(n)] if n else s
                 anchors.append(s)
                 lengths.append(lengths[-1] + len(s))
             flat = np.concatenate(anchors) if anchors else np.zeros(0, U64)
@@ -140,12 +145,13 @@ def _scan(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, a long, b long, anchors array<long>")
 
 
-def _set_table(docs: DataFrame, width: int) -> DataFrame:
-    """cid, its set as bytes, once for each class among docs."""
+def _set_table(docs: DataFrame, width: int, sight: int, held) -> DataFrame:
+    """cid, its set as bytes, its counts and the anchors within which it sees classes of similarity sight % and more."""
 
     def scan(batches):
+        by_value, rank = held.value
         for batch in batches:
-            one, two, size, sets, counts = [], [], [], [], []
+            one, two, size, sets, counts, anchors, lengths = [], [], [], [], [], [], [0]
             for _, s in _sets(batch, width):
                 a, b = class_key(s)
                 one.append(a)
@@ -153,10 +159,15 @@ def _set_table(docs: DataFrame, width: int) -> DataFrame:
                 size.append(len(s))
                 sets.append(s.tobytes())
                 counts.append(np.minimum(np.bincount((s >> U64(20)) % U64(SLOTS), minlength=SLOTS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(size, np.int64)), _signed(one), _signed(two), pa.array(sets, pa.binary()), pa.array(counts, pa.binary())], ["n", "a", "b", "shingles", "counts"])
+                s = _ordered(s, by_value, rank)[: len(s) - (sight * len(s) + 99) // 100 + 1] if len(s) else s
+                anchors.append(s)
+                lengths.append(lengths[-1] + len(s))
+            flat = np.concatenate(anchors) if anchors else np.zeros(0, U64)
+            seen = pa.ListArray.from_arrays(pa.array(np.array(lengths, np.int32)), _signed(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(size, np.int64)), _signed(one), _signed(two), pa.array(sets, pa.binary()), pa.array(counts, pa.binary()), seen], ["n", "a", "b", "shingles", "counts", "anchors"])
 
-    rows = docs.select("text").mapInArrow(scan, "n long, a long, b long, shingles binary, counts binary")
-    return rows.select(_cid().alias("cid"), "n", "shingles", "counts")
+    rows = docs.select("text").mapInArrow(scan, "n long, a long, b long, shingles binary, counts binary, anchors array<long>")
+    return rows.select(_cid().alias("cid"), "n", "shingles", "counts", "anchors")
 
 
 def _cid():
@@ -182,29 +193,36 @@ def _measure(pairs: DataFrame) -> DataFrame:
     return pairs.select("p", "x", "set_p", "set_x").mapInArrow(measure, "p long, x long, inter long, uni long")
 
 
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Anchors at which different classes meet."""
+    return rows.groupBy("anchor").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("anchor")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text); links need 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    reach = 1 - percent / 100
-    scan = saved(_scan(docs, width, percent, 100), "jaccard")
+    common = _common(docs, width)
+    order = np.argsort(common)
+    held = spark.sparkContext.broadcast((common[order], order))  # at most COMMON_MOST values
+    scan = saved(_scan(docs, width, percent, held), "jaccard")
     classes = scan.filter("n > 0").groupBy(_cid().alias("cid")).agg(F.min("doc_id").alias("first"))
     spread = scan.filter("n > 0").select(F.explode("anchors").alias("anchor"), _cid().alias("cid"), "n")
-    meet = lambda rows: rows.groupBy("anchor").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("anchor")
-    members = saved(spread.join(meet(spread), "anchor").distinct(), "members")
+    members = saved(spread.join(_meeting(spread), "anchor").distinct(), "members")
     # a partner has at least t n shingles, and so shares at least _needed(t n) anchors
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 8)
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 16)
     able = members.groupBy("cid", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("cid")
     members = saved(members.join(able, "cid"), "members")
-    members = members.join(meet(members), "anchor")
-    members = saved(members.select("anchor", "cid", "n"), "members")
-    wanted = members.select("cid").distinct()
+    members = members.join(_meeting(members), "anchor")
+    able = members.groupBy("cid", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("cid")
+    wanted = saved(able, "wanted")
     ids = saved(wanted.join(classes, "cid").select(F.col("first")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     again = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    sets = saved(_set_table(again, width).join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    roots = _link(members, sets, reach, percent)
+    cover = min(100 - percent, percent // 2)
+    sets = _set_table(again, width, percent - cover, held).join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
+    roots = _link(saved(sets, "sets"), percent, cover)
 
     named = classes
     if roots is not None:
@@ -216,6 +234,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles in which sets differ at least, by their counts."""
+    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+
+
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
     """p, x of pairs(p, x, np, nx, counts_p, counts_x) that their counts do not rule out."""
 
@@ -223,75 +246,151 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16) for k in ("counts_p", "counts_x"))
-            apart = np.abs(a - b).sum(axis=1, dtype=np.int64)
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in ("counts_p", "counts_x"))
+            apart = _apart(a, b)
             both = np.asarray(batch.column("np")) + np.asarray(batch.column("nx"))
-            # the sets differ in at least `apart` shingles
             yield batch.select(["p", "x"]).filter(pa.array(100 * (both - apart) >= percent * (both + apart)))
 
     return pairs.select("p", "x", "np", "nx", "counts_p", "counts_x").mapInArrow(run, "p long, x long")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """p, x, inter, uni for those pairs(p, x, np, nx) that may be near. Joins are written out on their own, so skewed sides can be split."""
+    """p, x, inter, uni for those pairs(p, x) that may be near. Joins are written out on their own, so skewed sides can be split."""
     side = lambda k, *columns: sets.select(F.col("cid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
-    held = saved(pairs.join(side("x", "counts"), "x"), "pairs").join(side("p", "counts"), "p")
-    near = saved(_near(held, percent), "near")
+    held = pairs.join(side("x", "n", "counts"), "x").join(side("p", "n", "counts"), "p").withColumnsRenamed({"n_p": "np", "n_x": "nx"})
+    near = _near(held.filter(_alike(percent)), percent)
     held = near.join(side("x", "shingles"), "x").join(side("p", "shingles"), "p")
     return saved(_measure(held.withColumnsRenamed({"shingles_x": "set_x", "shingles_p": "set_p"})), "measured")
 
 
-def _linked(found: DataFrame, percent: int) -> DataFrame:
-    return found.filter(F.col("inter") * 100 >= F.col("uni") * percent).select(F.col("p").alias("a"), F.col("x").alias("b"))
-
-
 def _alike(percent: int):
     return F.least("np", "nx") * 100 >= F.greatest("np", "nx") * percent
 
 
-def _link(members: DataFrame, sets: DataFrame, reach: float, percent: int) -> DataFrame | None:
-    """Component roots of the classes in members(anchor, cid, n); None if there are none."""
-    every = sets.count()
-    if not every:
-        return None
-    heads = members.groupBy("anchor").agg(F.min(F.struct("cid", "n")).alias("head")).select("anchor", F.col("head.cid").alias("p"), F.col("head.n").alias("np"))
-    near = saved(members.join(heads, "anchor").filter("cid <> p").select("p", "np", F.col("cid").alias("x"), F.col("n").alias("nx")), "near")
-    region = saved(near.distinct(), "regions")
-    found = _compared(region.filter(_alike(percent)), sets, percent)
-    links = _linked(found, percent)
-    roots = components(links)
-    distance = found.select("p", "x", (1 - F.col("inter") / F.col("uni")).alias("d"))
-    region = region.join(distance, ["p", "x"], "left").select(F.col("p").alias("region"), F.col("x").alias("cid"), F.col("nx").alias("n"), "d")
-    pivots = 8
+def _blocks(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """p, block, name: a region's members(p, cid, root, d) with their sets, in blocks of bounded number and bytes."""
+    sized = members.join(sets.select("cid", "n", "counts", "shingles"), "cid")
+    total = members.join(sets.select("cid", "n"), "cid").groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
+    # a region's blocks are built by different tasks
+    dealt = sized.join(total, "p").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(name)), F.col("blocks"))).repartition("p", "block")
+    row = F.struct("cid", "root", "n", "d", "counts", "shingles")
+    return dealt.groupBy("p", "block").agg(F.sort_array(F.collect_list(row)).alias(name))
+
+
+class _Block:
+    """The classes of one block as arrays."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.cid, self.root, self.n, self.d = (np.asarray(rows.field(k)) for k in ("cid", "root", "n", "d"))
+        self.counts = np.frombuffer(b"".join(rows.field("counts").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        self.sets = [np.frombuffer(x.as_buffer(), U64) for x in rows.field("shingles")]
+
+
+def _met(one: _Block, two: _Block, reach: float, percent: int, same: bool) -> list[tuple[int, int]]:
+    """Links across the components of two blocks, as few as say the same: a link joins its ends' components for the rest."""
+    out = []
+    left = one.root.copy()
+    right = left if same else two.root.copy()
+    for i in range(len(one.cid)):
+        fits = (right != left[i]) & (np.abs(two.d - one.d[i]) <= reach + 1e-9)
+        fits &= np.minimum(two.n, one.n[i]) * 100 >= np.maximum(two.n, one.n[i]) * percent
+        if same:
+            fits[: i + 1] = False
+        at = np.flatnonzero(fits)
+        if len(at):
+            apart, both = _apart(two.counts[at], one.counts[i]), two.n[at] + one.n[i]
+            near = 100 * (both - apart) >= percent * (both + apart)
+            at = at[near][np.argsort(apart[near], kind="stable")]
+        for j in at:
+            if right[j] == left[i]:
+                continue
+            s, t = one.sets[i], two.sets[j]
+            if len(s) > len(t):
+                s, t = t, s
+            inter = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+            if 100 * inter >= percent * (len(s) + len(t) - inter):
+                out.append((one.cid[i], two.cid[j]))
+                old, new = right[j], left[i]
+                left[left == old] = new
+                right[right == old] = new
+    return out
+
+
+def _joined(own: DataFrame, guests: DataFrame | None, sets: DataFrame, reach: float, percent: int) -> DataFrame:
+    """a, b: links within regions, of own(p, cid, root, d) with guests, or of own with own where guests is None."""
+    one = _blocks(own, sets, "own")
+    two = (one if guests is None else _blocks(guests, sets, "guests")).toDF("p", "other", "guests")
+    pairs = one.join(two, "p")
+    if guests is None:
+        pairs = pairs.filter("block <= other")
+    same = F.col("block") == F.col("other") if guests is None else F.lit(False)
+
+    def run(batches):
+        last, held = None, None
+        for batch in batches:
+            for p, block, same, own, guests in zip(*(batch.column(k) for k in range(5)), strict=True):
+                if (p.as_py(), block.as_py()) != last:
+                    last, held = (p.as_py(), block.as_py()), _Block(own.values)
+                found = _met(held, held if same.as_py() else _Block(guests.values), reach, percent, same.as_py())
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+    return saved(pairs.select("p", "block", same.alias("same"), "own", "guests").mapInArrow(run, "a long, b long"), "links")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """node, root: a node that is linked with it, directly or over others; nodes of one root are in one component.
+
+    Two steps towards the smallest node reachable: enough to know most pairs that need no comparison.
+    """
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    first = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("root"))
+    over = both.join(first.select(F.col("a").alias("b"), F.col("root").alias("far")), "b").groupBy("a").agg(F.min("far").alias("far"))
+    return saved(first.join(over, "a").select(F.col("a").alias("node"), F.least("root", "far").alias("root")), "roots")
+
+
+def _link(sets: DataFrame, percent: int, cover: int) -> DataFrame | None:
+    """Component roots of the classes in sets(cid, n, shingles, counts, anchors); None if there are none."""
+    reach, cover, tiny = 1 - percent / 100, cover / 100, 1e-9
+    sight = percent - round(100 * cover)
+    rows = sets.select("cid", "n", F.explode("anchors").alias("anchor"))
+    # partners share at least so many anchors; one that shares fewer with all classes has none
+    least = F.ceil(F.col("n") * percent / 100) - F.ceil(F.col("n") * sight / 100) + 1
+    able = rows.join(_meeting(rows), "anchor").groupBy("cid", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("cid")
+    rows = rows.join(able, "cid", "left_semi").select("cid", "anchor")
+    links = roots = None
+    more = True
     while True:
-        named = saved(region.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "named")
-        groups = named.groupBy("region", "root").agg(F.count("*").alias("k"))
-        mixed = groups.groupBy("region").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"), F.max(F.struct("k", "root")).alias("largest"))
-        mixed = saved(mixed.filter(F.col("own") < F.col("k") * F.col("k")).select("region", F.expr("(k * k - own) div 2").alias("pairs"), F.col("largest.root").alias("largest")), "mixed")
-        left = mixed.agg(F.sum("pairs")).first()[0] or 0
+        rows = saved(rows.join(_meeting(rows), "anchor"), "open")
+        led = rows.join(rows.groupBy("anchor").agg(F.min("cid").alias("p")), "anchor").select("p", "cid").distinct()
+        led = saved(led, "led")
+        left = rows.select("cid").distinct().count()
         if not left:
-            return roots
-        last = left <= 32 * every
-        region = saved(named.join(mixed.select("region", "largest"), "region"), "regions")
-        if last:
-            # all pairs across components: each has a side outside its region's largest component
-            heads = region.filter("root <> largest")
-        else:
-            # the smallest class of each hash bucket: pivots from every part of a region, and no region is sorted in one task
-            bucket = F.pmod(F.xxhash64("cid", "region"), F.lit(pivots))
-            low = region.groupBy("region", bucket.alias("bucket")).agg(F.min(F.struct("cid", "n", "d", "root")).alias("head"))
-            heads = saved(low.select("region", "head.*"), "heads")
-        heads = heads.select("region", F.col("cid").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("root").alias("rp"))
-        near = region.select("region", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("root").alias("rx")).join(heads, "region")
-        near = near.filter((F.col("rx") != F.col("rp")) & _alike(percent))
-        near = near.filter(F.col("dp").isNull() | F.col("dx").isNull() | (F.abs(F.col("dp") - F.col("dx")) <= reach + 1e-9))
-        near = saved(near.select(F.least("p", "x").alias("p"), F.when(F.col("p") < F.col("x"), F.col("np")).otherwise(F.col("nx")).alias("np"), F.greatest("p", "x").alias("x"), F.when(F.col("p") < F.col("x"), F.col("nx")).otherwise(F.col("np")).alias("nx")), "near")
-        links = links.union(_linked(_compared(near.distinct(), sets, percent), percent))
-        roots = components(links)
-        if last:
-            return roots
-        region = region.join(heads.select("region", F.col("p").alias("cid")), ["region", "cid"], "left_anti").select("region", "cid", "n", "d")
-        pivots *= 8
+            break
+        if not more:
+            named = led if roots is None else led.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+            named = named.select("p", "cid", (F.lit(None).cast("long") if roots is None else F.col("root")).alias("root"), F.lit(0.0).alias("d")).withColumn("root", F.coalesce("root", "cid"))
+            mixed = named.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("p")
+            links = _joined(named.join(mixed, "p", "left_semi"), None, sets, reach, percent).union(links)
+            break
+        pivots = led.groupBy("cid").agg(F.min("p").alias("p"), F.max("p").alias("high")).filter("cid = p and p = high").select("p")
+        found = _compared(led.join(pivots, "p", "left_semi").filter("p <> cid").select("p", F.col("cid").alias("x")), sets, sight)
+        near = found.filter(F.col("inter") * 100 >= F.col("uni") * percent).select(F.col("p").alias("a"), F.col("x").alias("b"))
+        links = near if links is None else links.union(near)
+        roots = _roots(links)
+        distance = found.select("p", F.col("x").alias("cid"), (1 - F.col("inter") / F.col("uni")).alias("d"))
+        close = distance.filter(F.col("d") <= cover + tiny).groupBy("cid").agg(F.min(F.struct("d", "p")).alias("home")).select("cid", F.col("home.p").alias("home"), F.col("home.d").alias("dh"))
+        close = saved(close, "homes")
+        guests = distance.filter(F.col("d") <= reach + cover + tiny).join(close, "cid", "left").filter("home is null or home <> p").filter(F.col("home").isNull() | (F.col("d") <= F.col("dh") + reach + tiny))
+        of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+        guests = guests.join(of("cid"), "cid", "left").join(of("p"), "p", "left")
+        guests = guests.select("p", "cid", F.coalesce("root_cid", "cid").alias("root"), F.coalesce("root_p", "p").alias("root_p"), "d").filter("root <> root_p").drop("root_p")
+        guests = saved(guests, "guests")
+        own = close.select(F.col("home").alias("p"), "cid", F.col("dh").alias("d")).join(roots.withColumnRenamed("node", "cid"), "cid").select("p", "cid", "root", "d").join(guests.select("p").distinct(), "p", "left_semi")
+        links = links.union(_joined(own, guests, sets, reach, percent))
+        more = close.count() * 5 >= left
+        rows = rows.join(close.select("cid").union(pivots).distinct(), "cid", "left_anti")
+    return None if links is None else components(links)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
