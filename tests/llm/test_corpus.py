@@ -122,9 +122,13 @@ def katz_by_hand(rows):
 
 
 def test_katz(spark, sf, odd, nothing, monkeypatch):
+    """Also with a hot pair, a hot history with many rare followers, and more tokens than a task sends at once."""
     monkeypatch.setattr(katz, "BUCKET_TOKENS", 20_000)
+    monkeypatch.setattr(katz, "SEND_TOKENS", 7_000)
     held = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    for docs in (spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), odd):
+    r = np.random.default_rng(6)
+    hot = spark.createDataFrame([(i, " ".join(x for k in range(40) for x in ("of", "the", f"w{r.integers(3000)}", "the"))) for i in range(300)] + [(i, "the " * 300 + "of") for i in range(300, 320)], "doc_id long, text string")
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), odd, hot):
         want = katz_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()])
         found = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in katz.score(docs, held()).collect())
         near = lambda c: sorted((str(k[0]), *k[1:5], round(k[5], 3), round(k[6], 3)) for k in c.elements())
@@ -251,6 +255,18 @@ def test_permutation(spark):
     assert [r.x for r in image] != list(range(1000))
 
 
+def test_slots_by_hand(spark, monkeypatch):
+    """Every source's slots, over all shards, take each of its blocks as often as any other, but for the last pass."""
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 30)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
+    given = [(0, 64 * 100, 9000.0), (1, 64 * 7, 64 * 14.0), (2, 10, 20.0), (3, 6400, 0.0), (4, 0, 0.0)]
+    found = mixing.slots(spark.createDataFrame(given, "number int, source_size long, target double")).collect()
+    used = {n: Counter(r.block for r in found if r.number == n) for n, _, _ in given}
+    assert sum(used[0].values()) == round(9000 / 64) and set(used[0]) == set(range(100)) and set(used[0].values()) == {1, 2}
+    assert used[1] == Counter({b: 2 for b in range(7)}) and used[2] == Counter({0: 2}) and not used[3] and not used[4]
+    assert 2 <= len({r.shard for r in found}) <= 4
+
+
 def test_pipeline_stages_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     sizes = [docs.count()]

@@ -6,8 +6,9 @@ given the totals (so totals stay exact); slot j of a source is mapped to a block
 numbers, a new one for every pass over them; slots and blocks join by that number. Everything is DataFrame functions, seeded
 by hashes alone, so reruns agree however rows are dealt out.
 
-Stream offsets are sums over hashed buckets of a source, then over its buckets, so a source with a third of all rows is
-never sorted in one task. No block is used more than twice, so no document exceeds twice its size.
+Stream offsets are sums over hashed buckets of a source, as many as its documents need, then over its buckets, so a source
+with a third of all rows is never sorted in one task. Balls are drawn and slots made from short stretches dealt over as many
+tasks as their number needs. No block is used more than twice, so no document exceeds twice its size.
 
 Defined cases: null or wordless text has size 0 and takes 0; null is a source of its own, last; sources without words have
 target 0; rows with null or repeated ids count as separate documents; an empty table gives no rows; further columns do not matter.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import SPACES, packed, saved
 
-#: Words in a block, slots in an output shard (about), documents in a bucket (about), rounds of a permutation.
-BLOCK, SHARD_SLOTS, BUCKET_DOCS, ROUNDS = 64, 16_384, 4_096, 20
+#: Words in a block, slots in an output shard (about), documents in a bucket (about), rounds of a permutation, slots made by a task (about).
+BLOCK, SHARD_SLOTS, BUCKET_DOCS, ROUNDS, TASK_SLOTS = 64, 4_096, 1_024, 20, 50_000
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 SEED = 20
 
@@ -47,11 +48,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     named = named.withColumn("level", level).withColumn("order", F.struct((F.col("cap") / F.col("weight")).alias("at"), "number", "level"))
     named = named.withColumn("level", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("order"))).over(everything)["level"])
     named = named.withColumn("full", F.coalesce(F.col("cap") <= F.col("level") * F.col("weight"), F.lit(True)))
-    return named.select("source", "source_size", "number", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    return named.select(*sizes.columns, "number", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
 def permuted(x: Column, n: Column, *seed: Column) -> Column:
-    """x's image under a pseudorandom permutation of 0..n-1 (swap-or-not: each round pairs x with k - x and a hash decides)."""
+    """x's image under a pseudorandom permutation of 0..n-1 (swap-or-not: each round pairs x with k - x and a hash decides).
+
+    Rounds are one fold: as projections, one on another, they would have the optimiser expand every earlier round.
+    """
 
     def step(at: Column, r: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), r, *seed), n) - at, n)
@@ -60,10 +64,9 @@ def permuted(x: Column, n: Column, *seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), step)
 
 
-def _offsets(rows: DataFrame, total: int) -> DataFrame:
-    """rows(row, number, size, tie...) with at: words of the same source before the row."""
-    buckets = max(1, total // BUCKET_DOCS)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
+def _offsets(rows: DataFrame) -> DataFrame:
+    """rows(row, number, size, tie, docs...) with at: words of the same source before the row; docs: rows of the source."""
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.ceil(F.col("docs") / BUCKET_DOCS)))
     inside = Window.partitionBy("number", "bucket").orderBy("doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = rows.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
@@ -74,16 +77,20 @@ def _offsets(rows: DataFrame, total: int) -> DataFrame:
 
 def slots(sources: DataFrame) -> DataFrame:
     """number, shard, block for every slot of every source(number, source_size, target)."""
-    own = sources.filter("source_size > 0").select("number", F.ceil(F.col("source_size") / BLOCK).alias("blocks"), F.least(F.round(F.col("target") * F.ceil(F.col("source_size") / BLOCK) / F.col("source_size")), MOST * F.ceil(F.col("source_size") / BLOCK)).cast("long").alias("fill")).filter("fill > 0")
-    shards = own.agg(F.ceil(F.sum("fill") / SHARD_SLOTS).alias("shards"))
-    own = own.join(F.broadcast(shards), how="left")  # one row
-    step = F.lit(4096)
-    balls = own.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fill") - 1, step.cast("long"))))
-    balls = balls.withColumn("ball", F.explode(F.sequence("first", F.least(F.col("first") + 4095, F.col("fill") - 1))))
-    drawn = balls.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "number", "ball"), F.col("shards"))).groupBy("number", "blocks", "shard").agg(F.count("*").alias("count"))
+    blocks = F.ceil(F.col("source_size") / BLOCK)
+    fill = F.least(F.round(F.col("target") * blocks / F.col("source_size")), MOST * blocks).cast("long")
+    own = sources.filter("source_size > 0").select("number", blocks.alias("blocks"), fill.alias("fill")).filter("fill > 0")
+    total = own.agg(F.sum("fill")).first()[0] or 0
+    shards, tasks = max(1, -(-total // SHARD_SLOTS)), max(1, -(-total // TASK_SLOTS))
+    step = 4096
+    # stretches of balls are dealt over the tasks before they are thrown
+    balls = own.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fill") - 1, F.lit(step).cast("long")))).repartition(tasks, "number", "first")
+    balls = balls.withColumn("ball", F.explode(F.sequence("first", F.least(F.col("first") + step - 1, F.col("fill") - 1))))
+    drawn = balls.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "number", "ball"), F.lit(shards))).groupBy("number", "blocks", "shard").agg(F.count("*").alias("count"))
     before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    slot = drawn.withColumn("slot", F.explode(F.sequence("before", F.col("before") + F.col("count") - 1)))
+    drawn = saved(drawn.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long")), "shards")
+    # a source that fills most of a shard holds no more than about SHARD_SLOTS of its slots
+    slot = drawn.repartition(tasks, "number", "shard").withColumn("slot", F.explode(F.sequence("before", F.col("before") + F.col("count") - 1)))
     return slot.select("number", "shard", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("number"), F.floor(F.col("slot") / F.col("blocks"))).alias("block"))
 
 
@@ -91,10 +98,11 @@ def _mixed(docs: DataFrame, *keep: str) -> DataFrame:
     """mix() with number, at: a row's source and place in its source's stream, null where size is 0."""
     columns = list(dict.fromkeys(["doc_id", "source", *keep]))
     rows = saved(docs.select(*columns, n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row")), "mix")
-    sources = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    counted = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    sources = saved(targets(counted), "targets")
     bare = rows.select("row", "doc_id", "source", "size", "tie").filter("size > 0")
-    named = bare.join(sources.select(F.col("source").alias("s"), "number"), F.col("source").eqNullSafe(F.col("s"))).select("row", "doc_id", "size", "tie", "number")
-    placed = _offsets(named, rows.count()).select("row", "number", "at", "size")
+    named = bare.join(sources.select(F.col("source").alias("s"), "number", "docs"), F.col("source").eqNullSafe(F.col("s"))).select("row", "doc_id", "size", "tie", "number", "docs")
+    placed = _offsets(named).select("row", "number", "at", "size")
     first, end = F.floor(F.col("at") / BLOCK), F.col("at") + F.col("size")
     pieces = placed.withColumn("block", F.explode(F.sequence(first, F.floor((end - 1) / BLOCK))))
     pieces = pieces.select("row", "number", "block", "at", (F.least(end, (F.col("block") + 1) * BLOCK) - F.greatest("at", F.col("block") * BLOCK)).alias("words"))
