@@ -8,8 +8,11 @@ history's distribution sum to one exactly.
 Counts live in hash-partitioned tables. Words are 64-bit hashes. Each task sends, for every bucket of words, one packed array of
 its distinct words, the histories of each, and the documents and counts of each pair; a bucket then knows c(w), c(h w) and every
 document's occurrences, and returns per document only sums, per history its classes of counts and mass of p, and the held-out
-pairs it has not seen. Histories meet in buckets of their own for alpha. A word with more than one in HOT of all tokens
-(there are fewer than HOT of those) is spread by its histories; its count comes from the unigram table.
+pairs it has not seen. Histories meet in buckets of their own for alpha.
+
+Hot keys: words with more than one in HOT of all tokens are hot (fewer than HOT of them), and so is the start of a text. A hot
+word is spread by its histories. Pairs of a hot word after a hot history, at most HOT * HOT of them, are counted beforehand and
+scored where their text is read. Unseen pairs of a hot history go by document, and its alpha, one number, is handed to them.
 
 Defined cases: null or empty text is the single end token; a null doc_id is neither held out nor learned from; words are split
 by bytes, of any length; repeated rows count and are scored each; without training rows every score is 0 tokens times
@@ -32,7 +35,9 @@ from wordloom.llm.common import release, saved, ship, small_batches
 U64 = np.uint64
 K, HOT = 5, 256
 #: Tokens in a bucket (about), tokens and documents after which a task sends what it has gathered.
-BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 5_000_000, 1_200_000, 60_000
+BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 4_000_000, 600_000, 60_000
+#: Bytes of text split at once, bytes (about) of a batch that a worker returns.
+TEXT_BYTES, BATCH_BYTES = 500_000, 2_000_000
 #: A bucket is worked off in 2 ** SLICE_BITS slices of its words, so that one slice's arrays are in memory at a time.
 SLICE_BITS = 3
 END, START = (vt.splitmix(np.array([x]))[0] for x in (424242, 434343))
@@ -56,7 +61,7 @@ def discounts(n: list[int]) -> list[float]:
 
 def _tokens(batch_text):
     """For each chunk: first text, hashes of all tokens with an end after each text, and where texts begin."""
-    for i, j, data, offsets in vt.texts(batch_text):
+    for i, j, data, offsets in vt.texts(batch_text, TEXT_BYTES):
         words, first = vt.word_hashes(data, offsets)
         n = j - i
         begin = first + np.arange(n + 1)
@@ -85,7 +90,7 @@ def _unigrams(docs: DataFrame) -> DataFrame:
                 words.append(w)
                 counts.append(c)
                 waiting += len(w)
-            if waiting > 1_500_000:
+            if waiting > 500_000:
                 yield rows()
                 words, counts, waiting = [], [], 0
         if words:
@@ -106,37 +111,122 @@ def _arrays(raw, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-PAIRS = ("<u8", "<u4", "<u8", "<u2", "<u2", "<u1", "<u1", "<i8")
+PAIRS = ("<u8", "<u4", "<u8", "<u4", "<u2", "<u1", "<u1", "<i8")
+#: Kinds of packed rows.
+DOC, HISTORY, UNSEEN, TYPES, META, PART, HOT_HISTORY, HOT_UNSEEN = range(8)
+DOC_KINDS = ("<u8", "<f8", "<f8", "<u4", "<u4")
+HISTORY_KINDS = ("<u8", "<u4", "<f8", "<f8")
+UNSEEN_KINDS = ("<u8", "<u8", "<u4")
+ROWS = "kind int, group long, part binary"
+
+
+def _batches(rows):
+    """Record batches of about BATCH_BYTES of (kind, group, part) rows."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size > BATCH_BYTES:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds, groups, parts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(groups, pa.int64()), pa.array(parts, pa.binary())], ["kind", "group", "part"])
 
 
-def _pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """bucket, part: the packed (word, history, document) counts of a stretch of documents; bucket -1: the documents themselves."""
+def _histories(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    history = np.append(START, tokens[:-1])
+    history[begin[:-1]] = START
+    return history
+
+
+def _pair_key(w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return vt.splitmix(w ^ (h * U64(3)))
+
+
+def _hot_pairs(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """w, h, c of pairs of a hot word after a hot history or the start of a text, of docs(text): at most HOT * HOT rows."""
+    histories = np.sort(np.append(hot, START))
+
+    def run(batches):
+        count = np.zeros(len(hot) * len(histories), np.int64)
+        for batch in batches:
+            for _, tokens, begin in _tokens(batch.column("text")):
+                history = _histories(tokens, begin)
+                i, j = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1), np.minimum(np.searchsorted(histories, history), len(histories) - 1)
+                own = (hot[i] == tokens) & (histories[j] == history)
+                count += np.bincount(i[own] * len(histories) + j[own], minlength=len(count))
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(hot[at // len(histories)].view(np.int64)), pa.array(histories[at % len(histories)].view(np.int64)), pa.array(count[at])], ["w", "h", "c"])
+
+    return docs.select("text").mapInArrow(run, "w long, h long, c long").groupBy("w", "h").agg(F.sum("c").alias("c"))
+
+
+class Hot:
+    """Hot words with their counts, and counts of the pairs of a hot word after a hot history."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, histories: np.ndarray, pair_counts: np.ndarray):
+        self.words, self.counts, self.histories = words, counts, np.sort(np.append(words, START))
+        key = _pair_key(pairs, histories)
+        order = np.argsort(key)
+        self.key, self.pair_counts, self.pair_words, self.pair_histories = key[order], pair_counts[order], pairs[order], histories[order]
+
+    def word_counts(self, w: np.ndarray) -> np.ndarray:
+        return self.counts[np.searchsorted(self.words, w)] if len(self.words) else np.zeros(len(w), np.int64)
+
+    def of_pairs(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(w), np.int64)
+        key = _pair_key(w, h)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.pair_counts[at], 0)
+
+
+def _pairs(docs: DataFrame, buckets: int, uni: Unigrams, hot: Hot) -> DataFrame:
+    """kind, group, part: packed (word, history, document) counts of a stretch of documents by bucket of words, the documents
+    themselves, and what pairs of hot words and hot histories say of them."""
 
     def run(batches):
         base, docs_done = TaskContext.get().partitionId() << 33, 0
-        words, before, owner, held, ids, tokens_held = [], [], [], [], [], 0
+        words, before, owner, held, ids, sizes, tokens_held = [], [], [], [], [], [], 0
 
         def send():
-            n = len(held)
-            uid = base + docs_done
+            n, uid = len(held), base + docs_done
+            flags = np.array(held, "<u1")
+            at_home = int(vt.splitmix(np.array([uid]))[0] % U64(buckets))
+            yield META, at_home, _bytes(np.array(ids, "<i8"), flags, np.array(sizes, "<i8"), np.array([uid], "<i8"))
             w, h, d = (np.concatenate(x) for x in (words, before, owner))
+            for x in (words, before, owner):
+                x.clear()
             order = np.lexsort((d, h, w))
             w, h, d = w[order], h[order], d[order]
-            new = np.append(True, (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1])) if len(w) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
+            at = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(w) else np.zeros(0, np.int64)
             count = np.diff(np.append(at, len(w)))
+            w, h, d = w[at], h[at], d[at]
+            is_hot = np.isin(w, hot.words)
+            both = is_hot & np.isin(h, hot.histories)
+            if both.any():
+                w1, h1, d1, c1 = w[both], h[both], d[both] + uid, count[both]
+                count_p = hot.of_pairs(w1, h1)
+                doc, *sums = _document_sums(w1, d1, c1, hot.word_counts(w1), count_p, uni)
+                yield DOC, at_home, _bytes(doc, sums[0], sums[1], sums[2].astype("<u4"), np.concatenate(sums[3:]).astype("<u4"))
+                miss = count_p == 0
+                if miss.any():
+                    yield HOT_UNSEEN, at_home, _bytes(h1[miss], d1[miss].astype(U64), c1[miss].astype("<u4"))
+                w, h, d, count, is_hot = w[~both], h[~both], d[~both], count[~both], is_hot[~both]
             # counts over 255 become several entries
             times = (count + 254) // 255
-            part = np.repeat(at, times)
-            last = np.cumsum(times) - 1
+            part = np.repeat(np.arange(len(w)), times)
             small = np.full(len(part), 255, np.int64)
-            small[last] = count - 255 * (times - 1)
-            w, h, d = w[part], h[part], d[part].astype("<u2")
-            key = np.where(np.isin(w, hot), vt.splitmix(w ^ (h * U64(3))), w) % U64(buckets)
-            flags = np.array(held, "<u1")
+            small[np.cumsum(times) - 1] = count - 255 * (times - 1)
+            w, h, d, is_hot = w[part], h[part], d[part].astype("<u2"), is_hot[part]
+            key = (np.where(is_hot, _pair_key(w, h), w) % U64(buckets)).astype(np.int64)
             by_bucket = np.argsort(key, kind="stable")
-            edges = np.searchsorted(key[by_bucket], np.arange(buckets + 1, dtype=U64))
-            out_b, out = [-1], [_bytes(np.array(ids, "<i8"), flags, np.array(sizes, "<i8"), np.array([uid], "<i8"))]
+            edges = np.searchsorted(key[by_bucket], np.arange(buckets + 1))
             for b in range(buckets):
                 own = by_bucket[edges[b] : edges[b + 1]]
                 if not len(own):
@@ -146,22 +236,17 @@ def _pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 word = np.append(True, w1[1:] != w1[:-1])
                 pair_at, word_at = np.flatnonzero(pair), np.flatnonzero(word)
                 per_word = np.diff(np.append(np.searchsorted(pair_at, word_at), len(pair_at))).astype("<u4")
-                per_pair = np.diff(np.append(pair_at, len(w1)))
-                out_b.append(b)
-                out.append(_bytes(w1[word_at], per_word, h1[pair_at], (per_pair & 0xFFFF).astype("<u2"), d[own], small[own].astype("<u1"), flags, np.array([uid, n], "<i8")))
-            return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out, pa.binary())], ["bucket", "part"])
+                per_pair = np.diff(np.append(pair_at, len(w1))).astype("<u4")
+                yield PART, b, _bytes(w1[word_at], per_word, h1[pair_at], per_pair, d[own], small[own].astype("<u1"), flags, np.array([uid, n], "<i8"))
 
-        sizes: list[int] = []
         for batch in batches:
             flag = batch.column("held").to_pylist()
             doc = batch.column("doc_id").fill_null(0).to_pylist()
             null = batch.column("doc_id").is_null().to_pylist()
             for i, tokens, begin in _tokens(batch.column("text")):
                 n = len(begin) - 1
-                history = np.append(START, tokens[:-1])
-                history[begin[:-1]] = START
                 words.append(tokens)
-                before.append(history)
+                before.append(_histories(tokens, begin))
                 owner.append(np.repeat(np.arange(n) + len(held), np.diff(begin)))
                 # 0: training, 1: held out, 2: neither (no id)
                 held += [2 if null[i + k] else int(flag[i + k]) for k in range(n)]
@@ -169,13 +254,13 @@ def _pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 sizes += np.diff(begin).tolist()
                 tokens_held += len(tokens)
                 if tokens_held >= SEND_TOKENS or len(held) >= SEND_DOCS:
-                    yield send()
+                    yield from _batches(send())
                     docs_done += len(held)
-                    words, before, owner, held, ids, sizes, tokens_held = [], [], [], [], [], [], 0
+                    held, ids, sizes, tokens_held = [], [], [], 0
         if held:
-            yield send()
+            yield from _batches(send())
 
-    return docs.select("doc_id", "text", "held").mapInArrow(run, "bucket long, part binary")
+    return docs.select("doc_id", "text", "held").mapInArrow(run, ROWS)
 
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -188,12 +273,6 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[at], *(np.add.reduceat(v[order], at) for v in values))
 
 
-DOC, HISTORY, UNSEEN, TYPES = 0, 1, 2, 3
-DOC_KINDS = ("<u8", "<f8", "<f8", "<u4", "<u4")
-HISTORY_KINDS = ("<u8", "<u4", "<f8", "<f8")
-UNSEEN_KINDS = ("<u8", "<u8", "<u4")
-
-
 class Unigrams:
     """p(w) and the base probability from a word's count."""
 
@@ -221,26 +300,41 @@ def _slice(raw, k: int) -> tuple[np.ndarray, ...]:
     e0 = int(per_pair[:p0].sum(dtype=np.int64))
     e1 = e0 + int(per_pair[p0:p1].sum(dtype=np.int64))
     sizes = per_pair[p0:p1]
-    # a pair in 65,536 documents or more would wrap to a smaller number; SEND_DOCS lies below that
     return np.repeat(np.repeat(word[a:b], per_word[a:b]), sizes), np.repeat(h[p0:p1], sizes), d[e0:e1].astype(np.int64) + place[0], c[e0:e1], flags[d[e0:e1]]
 
 
-def _bucket(parts: list, uni: Unigrams, hot: np.ndarray, hot_counts: np.ndarray, groups: int):
+def _document_sums(w, doc, c, count_w, count_p, uni: Unigrams) -> tuple[np.ndarray, ...]:
+    """Documents and their sums: base score, the part of the model's score known here, known tokens, tokens by class of pair count."""
+    part = np.where(count_p > 0, np.where(count_p > K, np.log10(np.maximum(count_p, 1)), 0.0), np.log10(uni.p(count_w)))
+    # every word is a history once for each of its occurrences; the end is none
+    part = part - np.where((count_w > 0) & (w != END), np.log10(count_w + 1.0), 0.0)
+    classes = [np.where(count_p == r, c, 0) for r in range(1, K + 1)]
+    return _summed(doc.astype(U64), uni.base(count_w) * c, part * c, np.where(count_w > 0, c, 0), *classes)
+
+
+def _bucket(parts: list, uni: Unigrams, hot: Hot, groups: int):
     """kind, group, part: what one bucket of words knows of documents, histories and unseen pairs."""
     sums = []
     for k in range(1 << SLICE_BITS):
         columns = [np.concatenate(x) for x in zip(*(_slice(raw, k) for raw in parts), strict=True)]
         if len(columns[0]):
-            yield from _worked_off(columns, uni, hot, hot_counts, groups, sums)
+            yield from _worked_off(columns, uni, hot, groups, sums)
     doc, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
     doc, base, known_part, known, *by_class = _summed(doc, *values)
     group = (vt.splitmix(doc) % U64(groups)).astype(np.int64)
-    for g in np.unique(group):
-        own = group == g
-        yield DOC, int(g), _bytes(doc[own], base[own], known_part[own], known[own].astype("<u4"), np.concatenate([x[own] for x in by_class]).astype("<u4"))
+    for g, own in _by_group(group):
+        yield DOC, g, _bytes(doc[own], base[own], known_part[own], known[own].astype("<u4"), np.concatenate([x[own] for x in by_class]).astype("<u4"))
+
 
+def _by_group(group: np.ndarray):
+    """Each group with the places of its members."""
+    order = np.argsort(group, kind="stable")
+    at = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(group) else []
+    for a, b in zip(at, [*at[1:], len(group)], strict=False):
+        yield int(group[order[a]]), order[a:b]
 
-def _worked_off(columns: list[np.ndarray], uni: Unigrams, hot: np.ndarray, hot_counts: np.ndarray, groups: int, sums: list):
+
+def _worked_off(columns: list[np.ndarray], uni: Unigrams, hot: Hot, groups: int, sums: list):
     """The rows of one slice; its documents' sums are added to sums."""
     w, h, d, c, f = columns
     columns.clear()
@@ -251,39 +345,39 @@ def _worked_off(columns: list[np.ndarray], uni: Unigrams, hot: np.ndarray, hot_c
     new_pair = new_word | np.append(True, h[1:] != h[:-1])
     word_at, pair_at = np.flatnonzero(new_word), np.flatnonzero(new_pair)
     c_word = np.add.reduceat(learned, word_at)
-    is_hot = np.isin(w[word_at], hot)
+    is_hot = np.isin(w[word_at], hot.words)
     if is_hot.any():
-        c_word[is_hot] = hot_counts[np.searchsorted(hot, w[word_at][is_hot])]
+        c_word[is_hot] = hot.word_counts(w[word_at][is_hot])
     c_pair = np.add.reduceat(learned, pair_at)
     count_w = np.repeat(c_word, np.diff(np.append(word_at, len(w))))
     count_p = np.repeat(c_pair, np.diff(np.append(pair_at, len(w))))
-    # documents: base score, the part of the model's score known here, known tokens, tokens by class of pair count
-    seen = count_p > 0
-    p_word = uni.p(count_w)
-    part = np.where(seen, np.where(count_p > K, np.log10(np.maximum(count_p, 1)), 0.0), np.log10(p_word))
-    # every word is a history once for each of its occurrences; the end is none
-    part = part - np.where((count_w > 0) & (w != END), np.log10(count_w + 1.0), 0.0)
-    classes = [np.where(count_p == r, c, 0) for r in range(1, K + 1)]
-    sums.append(_summed(d.astype(U64), uni.base(count_w) * c, part * c, np.where(count_w > 0, c, 0), *classes))
+    sums.append(_document_sums(w, d, c, count_w, count_p, uni))
     # histories: pairs by class, tokens above the classes, mass of p
-    pair_h, pair_c, pair_p = h[pair_at], c_pair, p_word[pair_at]
-    own = pair_c > 0
-    pair_h, pair_c, pair_p = pair_h[own], pair_c[own], pair_p[own]
+    own = c_pair > 0
+    pair_h, pair_c, pair_p = h[pair_at][own], c_pair[own], uni.p(count_w[pair_at])[own]
     classes = [(pair_c == r).astype(np.int64) for r in range(1, K + 1)]
     hist, above, mass, *by_class = _summed(pair_h, np.where(pair_c > K, pair_c, 0).astype(float), pair_p, *classes)
-    group = (vt.splitmix(hist) % U64(groups)).astype(np.int64)
-    for g in np.unique(group):
-        at = group == g
-        yield HISTORY, int(g), _bytes(hist[at], np.concatenate([x[at] for x in by_class]).astype("<u4"), above[at], mass[at])
-    missing = ~seen
-    if missing.any():
-        group = (vt.splitmix(h[missing]) % U64(groups)).astype(np.int64)
-        for g in np.unique(group):
-            at = np.flatnonzero(missing)[group == g]
-            order = np.argsort(h[at], kind="stable")
-            yield UNSEEN, int(g), _bytes(h[at][order], d[at][order].astype(U64), c[at][order].astype("<u4"))
-    types = np.bincount(np.minimum(pair_c, K + 2), minlength=K + 3)[1 : K + 2]
-    yield TYPES, 0, types.astype("<i8").tobytes()
+    hot_history = np.isin(hist, hot.histories)
+    group = np.where(hot_history, -1, (vt.splitmix(hist) % U64(groups)).astype(np.int64))
+    for g, at in _by_group(group):
+        yield HISTORY if g >= 0 else HOT_HISTORY, max(g, 0), _bytes(hist[at], np.concatenate([x[at] for x in by_class]).astype("<u4"), above[at], mass[at])
+    missing = np.flatnonzero(count_p == 0)
+    if len(missing):
+        h, d, c = h[missing], d[missing].astype(U64), c[missing].astype("<u4")
+        hot_history = np.isin(h, hot.histories)
+        for kind, of, key in ((UNSEEN, ~hot_history, h), (HOT_UNSEEN, hot_history, d)):
+            places = np.flatnonzero(of)
+            for g, at in _by_group((vt.splitmix(key[places]) % U64(groups)).astype(np.int64)):
+                yield kind, g, _bytes(h[places[at]], d[places[at]], c[places[at]])
+    yield TYPES, 0, np.bincount(np.minimum(pair_c, K + 2), minlength=K + 3)[1 : K + 2].astype("<i8").tobytes()
+
+
+def _factors(d: np.ndarray, classes: list[np.ndarray], above: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """log10 of (c(h) + 1) alpha(h), which undoes the denominator that every token was given."""
+    weights = np.arange(1, K + 1)
+    count = sum(r * x for r, x in zip(weights, classes, strict=True)) + above
+    taken = sum(f * r * x for f, r, x in zip(d, weights, classes, strict=True)) + above
+    return np.log10((count + 1 - taken) / np.maximum(1 - mass, 1e-300))
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -305,80 +399,80 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     hot, hot_counts = hot[order], np.array([r["c"] for r in frequent], np.int64)[order]
     train_docs = table.filter(F.col("w") == int(np.array([END]).view(np.int64)[0])).agg(F.sum("c")).first()[0] or 0
     buckets = max(1, round(n / BUCKET_TOKENS))
+    known = _hot_pairs(train, hot).collect() if len(hot) else []  # at most HOT * HOT rows
+    hot = Hot(hot, hot_counts, *(np.array([r[k] for r in known], np.int64).view(U64) for k in ("w", "h")), np.array([r["c"] for r in known], np.int64))
 
-    pairs = _pairs(rows, buckets, hot).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    pairs = _pairs(rows, buckets, uni, hot).repartitionById(buckets, F.col("group").cast("int"))
 
     def by_word(batches):
-        at, parts = None, []
-
-        def done():
-            out = list(_bucket(parts, uni, hot, hot_counts, buckets))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["kind", "group", "part"])
-
+        parts = []  # a partition holds one bucket
         for batch in batches:
-            for b, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = part.as_buffer()
-                if b < 0:
-                    ids, flags, sizes, uid = _arrays(raw, "<i8", "<u1", "<i8", "<i8")
-                    keys = (uid[0] + np.arange(len(ids))).astype(U64)
-                    group = (vt.splitmix(keys) % U64(buckets)).astype(np.int64)
-                    found = [(4, int(g), _bytes(keys[group == g], ids[group == g], flags[group == g], sizes[group == g])) for g in np.unique(group)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], ["kind", "group", "part"])
-                    continue
-                if b != at and parts:
-                    yield done()
-                    parts = []
-                at = b
-                parts.append(raw)
+            for kind, g, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if kind == PART:
+                    parts.append(part.as_buffer())
+                else:
+                    yield _batch([(kind, g, part.as_buffer().to_pybytes())])
         if parts:
-            yield done()
+            yield from _batches(_bucket(parts, uni, hot, buckets))
 
-    small_batches(spark, 8)
-    found = saved(pairs.mapInArrow(by_word, "kind int, group long, part binary"), "katz")
+    found = saved(pairs.mapInArrow(by_word, ROWS), "katz")
     del pairs
     release(spark)
     types = np.zeros(K + 1, np.int64)
-    for r in found.filter(F.col("kind") == TYPES).select("part").collect():  # one short row a bucket
-        types += np.frombuffer(r["part"], "<i8")
+
+    def counted(batches):
+        for batch in batches:
+            found = np.array([np.frombuffer(part.as_buffer(), "<i8") for part in batch.column(0)]).reshape(-1, K + 1).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in found], [f"x{i}" for i in range(K + 1)])
+
+    names = [f"x{i}" for i in range(K + 1)]
+    r = found.filter(F.col("kind") == TYPES).select("part").mapInArrow(counted, ", ".join(f"{x} long" for x in names)).agg(*[F.sum(x).alias(x) for x in names]).first()
+    types += np.array([r[x] or 0 for x in names])
+    types += np.bincount(np.minimum(hot.pair_counts, K + 2), minlength=K + 3)[1 : K + 2]
     d = np.array(discounts(types.tolist()))
 
-    def by_history(batches):
-        at, held, waiting = None, [[], [], []], []
-
-        def done(kinds):
-            hist, classes, above, mass = (np.concatenate(x) if x else np.zeros(0) for x in zip(*kinds[0], strict=True)) if kinds[0] else (np.zeros(0, U64), np.zeros((K, 0)), np.zeros(0), np.zeros(0))
-            if kinds[0]:
-                classes = np.concatenate([x[1].reshape(K, -1) for x in kinds[0]], axis=1).astype(np.int64)
-            hist, above, mass, *classes = _summed(hist.astype(U64), above, mass, *classes)
-            weights = np.arange(1, K + 1)
-            count = sum(r * x for r, x in zip(weights, classes, strict=True)) + above
-            taken = sum(f * r * x for f, r, x in zip(d, weights, classes, strict=True)) + above
-            # (c(h) + 1) alpha(h): undoes the denominator that every token was given
-            factor = np.log10((count + 1 - taken) / np.maximum(1 - mass, 1e-300))
-            h, doc, c = (np.concatenate(x) for x in zip(*kinds[1], strict=True))
-            i = np.minimum(np.searchsorted(hist, h), max(len(hist) - 1, 0))
-            known = hist[i] == h if len(hist) else np.zeros(len(h), bool)
-            fix = np.where(known, factor[i] if len(hist) else 0.0, 0.0) * c
-            return _summed(doc, fix)
-
-        def flush():
-            if not held[1]:
-                return None
-            doc, fix = done(held)
-            return pa.RecordBatch.from_arrays([pa.array(doc.view(np.int64)), pa.array(fix)], ["uid", "fix"])
+    def unpacked(batches):
+        for batch in batches:
+            for part in batch.column(0):
+                hist, classes, above, mass = _arrays(part.as_buffer(), *HISTORY_KINDS)
+                yield pa.RecordBatch.from_arrays([pa.array(hist.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in classes.reshape(K, -1)), pa.array(above), pa.array(mass)], ["h", *(f"c{r}" for r in range(1, K + 1)), "above", "mass"])
+
+    summed = [*(f"c{r}" for r in range(1, K + 1)), "above", "mass"]
+    few = found.filter(F.col("kind") == HOT_HISTORY).select("part").mapInArrow(unpacked, "h long, " + ", ".join(f"c{r} long" for r in range(1, K + 1)) + ", above double, mass double")
+    few = few.groupBy("h").agg(*[F.sum(c).alias(c) for c in summed]).collect()  # at most HOT rows
+    hot_pair_p = uni.p(hot.word_counts(hot.pair_words))
+    hist = np.concatenate([np.array([r["h"] for r in few], np.int64).view(U64), hot.pair_histories])
+    parts = [np.concatenate([np.array([r[c] for r in few], float), x]) for c, x in zip(summed, [*((hot.pair_counts == r).astype(float) for r in range(1, K + 1)), np.where(hot.pair_counts > K, hot.pair_counts, 0).astype(float), hot_pair_p], strict=True)]
+    hist, *parts = _summed(hist, *parts)
+    hot_known, hot_factor = hist, _factors(d, parts[:K], parts[K], parts[K + 1]) if len(hist) else np.zeros(0)
+
+    def fixed(hist, factor, h, doc, c) -> pa.RecordBatch:
+        i = np.minimum(np.searchsorted(hist, h), max(len(hist) - 1, 0))
+        doc, fix = _summed(doc, np.where(hist[i] == h, factor[i], 0.0) * c if len(hist) else np.zeros(len(h)))
+        return pa.RecordBatch.from_arrays([pa.array(doc.view(np.int64)), pa.array(fix)], ["uid", "fix"])
 
+    def by_history(batches):
+        # a partition holds one group
+        held = {HISTORY: [], UNSEEN: []}
         for batch in batches:
-            for kind, g, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if g != at:
-                    if (out := flush()) is not None:
-                        yield out
-                    at, held = g, [[], [], []]
-                raw = part.as_buffer()
-                held[kind - HISTORY].append(_arrays(raw, *(HISTORY_KINDS if kind == HISTORY else UNSEEN_KINDS)))
-        if (out := flush()) is not None:
-            yield out
+            for kind, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                held[kind].append(_arrays(part.as_buffer(), *(HISTORY_KINDS if kind == HISTORY else UNSEEN_KINDS)))
+        hist, factor = np.zeros(0, U64), np.zeros(0)
+        if held[HISTORY]:
+            hist, above, mass = (np.concatenate([x[k] for x in held[HISTORY]]) for k in (0, 2, 3))
+            classes = np.concatenate([x[1].reshape(K, -1) for x in held[HISTORY]], axis=1).astype(np.int64)
+            hist, above, mass, *classes = _summed(hist, above, mass, *classes)
+            factor = _factors(d, classes, above, mass)
+        for part in held[UNSEEN]:
+            yield fixed(hist, factor, *part)
+
+    def by_hot_history(batches):
+        for batch in batches:
+            for part in batch.column(0):
+                yield fixed(hot_known, hot_factor, *_arrays(part.as_buffer(), *UNSEEN_KINDS))
 
-    fixes = found.filter(F.col("kind").isin(HISTORY, UNSEEN)).repartition(buckets, "group").sortWithinPartitions("group").mapInArrow(by_history, "uid long, fix double")
+    fixes = found.filter(F.col("kind").isin(HISTORY, UNSEEN)).repartitionById(buckets, F.col("group").cast("int")).mapInArrow(by_history, "uid long, fix double")
+    fixes = fixes.union(found.filter(F.col("kind") == HOT_UNSEEN).select("part").mapInArrow(by_hot_history, "uid long, fix double"))
     start = -math.log10(train_docs + 1) if train_docs else 0.0
     log_d = np.log10(d * np.arange(1, K + 1))
 
@@ -386,17 +480,17 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         for batch in batches:
             for kind, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = part.as_buffer()
-                if kind == 4:
-                    uid, ids, flags, sizes = _arrays(raw, "<u8", "<i8", "<u1", "<i8")
-                    none = np.zeros(len(uid))
-                    yield pa.RecordBatch.from_arrays([pa.array(uid.view(np.int64)), pa.array(ids, mask=flags == 2), pa.array(flags.astype(np.int64)), pa.array(sizes), pa.array(np.zeros(len(uid), np.int64)), pa.array(none), pa.array(none + start)], ["uid", "doc_id", "flag", "n", "known", "base", "part"])
+                if kind == META:
+                    ids, flags, sizes, uid = _arrays(raw, "<i8", "<u1", "<i8", "<i8")
+                    none = np.zeros(len(ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[0] + np.arange(len(ids))), pa.array(ids, mask=flags == 2), pa.array(flags.astype(np.int64)), pa.array(sizes), pa.array(none.astype(np.int64)), pa.array(none), pa.array(none + start)], ["uid", "doc_id", "flag", "n", "known", "base", "part"])
                 else:
                     uid, base, known_part, known, classes = _arrays(raw, *DOC_KINDS)
                     part = known_part + log_d @ classes.reshape(K, -1)
                     null = pa.nulls(len(uid), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(uid.view(np.int64)), null, null, null, pa.array(known.astype(np.int64)), pa.array(base), pa.array(part)], ["uid", "doc_id", "flag", "n", "known", "base", "part"])
 
-    sums = found.filter(F.col("kind").isin(DOC, 4)).select("kind", "part").mapInArrow(by_document, "uid long, doc_id long, flag long, n long, known long, base double, part double")
+    sums = found.filter(F.col("kind").isin(DOC, META)).select("kind", "part").mapInArrow(by_document, "uid long, doc_id long, flag long, n long, known long, base double, part double")
     none = F.lit(None).cast("long")
     sums = sums.union(fixes.select("uid", none, none, none, F.lit(0).cast("long"), F.lit(0.0), F.col("fix")))
     out = sums.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("flag").alias("flag"), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("part").alias("score"))
