@@ -134,14 +134,45 @@ def test_toxicity(spark, odd, nothing, labels):
 
 
 def test_toxic_grammar_weighs_clauses():
-    g = toxicity.Grammar({"idiot$": 3.0, "achlich": 2.0})
+    g = toxicity.Grammar({"idiot$": 3.0, "achlich": 2.0}, threats=frozenset(["stomp$"]))
     m = g.machine()
     plain, aimed, negated, told = (g.evidence(x, m) for x in ("an idiot here", "you are an idiot", "this is not an idiot", "he said an idiot"))
     assert aimed > plain > negated and told < aimed
     assert g.evidence("idiotic idiots", m) == 0 and g.evidence("Achlichung!", m) == 2.0
     assert g.evidence("kill", m) == 0 and g.evidence("you will be killed", m) == 0 and g.evidence("you kill", m) > 0
+    assert all(g.evidence(x, m) > 0 for x in ("he kills you", "ich werde dich töten", "je vais te tuer", "te voy a matar", "stomp on you", "you stomp"))
+    assert g.evidence("kill the process. you wait", m) == 0 and g.evidence("kill one two three four you", m) == 0 and g.evidence("stomp", m) == 0
     assert g.evidence(None, m) == 0 and g.evidence("x " * 100_000 + "idiot", m) == 3.0
     assert g.evidence("idiot. " * 3, m) == 9.0
+    # a modifier counts from anywhere in its clause
+    assert abs(g.evidence("you " + "word " * 500 + "idiot", m) - 3.7) < 1e-9 and g.evidence("you. " + "word " * 500 + "idiot", m) == 3.0
+
+
+def test_composed_machine_equals_all_paths():
+    """The composition against the transducers run one after another, over every path."""
+    cascade = (toxicity._threats(), toxicity.transducer(0, (0,), [(0, "threat", "threat", toxicity.THREAT_WEIGHT, 0)]), toxicity._modified("target", toxicity.TARGET_WEIGHT), toxicity._negations(), toxicity._modified("report", toxicity.REPORTED_WEIGHT))
+    g = toxicity.Grammar({"idiot$": 1.2, "scum$": 3.0})
+
+    def paths(symbols, rest):
+        """Every (weight, output) of the transducers in rest over the symbols."""
+        if not rest:
+            return [0.0]
+        found = [(0.0, rest[0].start, [])]
+        for x in symbols:
+            found = [(w + v, then, [*out, y]) for w, state, out in found for y, v, then in rest[0].arcs[state][x]]
+        return [w + v for w, _, out in found for v in paths(out, rest[1:])]
+
+    def by_hand(clause):
+        readings = [[]]
+        for word in clause.split():
+            readings = [[*r, x] for r in readings for x in g.readings(word)]
+        return max(sum(w for _, w in r) + v for r in readings for v in paths([x for x, _ in r], cascade))
+
+    r = random.Random(8)
+    for _ in range(400):
+        clause = " ".join(r.choice(["idiot", "scum", "kill", "you", "not", "said", "and", "so"]) for _ in range(r.randint(0, 7)))
+        assert abs(g.walk(clause) - by_hand(clause)) < 1e-9, clause
+    assert len(toxicity.MACHINE.arcs) > 20
 
 
 def test_bpe_equals_the_library():

@@ -1,14 +1,23 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer maps words to classes (insult, threat, target, negation, report). A clause machine composed with it
-walks a clause's classes and holds whether a target, a negation or reported speech stands before an insult or threat; each
-arc emits a weight, and a clause's weight is its path's sum. The same insult weighs more with a target beside it and less
-when negated or reported. A text's evidence is the sum over matched clauses; its score is the share of toxic training rows at
-that much evidence, smoothed and never falling.
+Five transducers are composed by one generic composition. Their symbols are word classes (insult, threat, target, negation,
+report, other); every arc has an input, an output, a weight and a next state:
 
-The insult class is learned: words, and stems that many words of toxic training rows begin with, that stand in many different
-contexts there (copies of one text share contexts and count once) and hardly ever in clean rows, with their log-odds as
-weight. Texts are searched whole by one Aho-Corasick pass; only clauses around a hit are walked.
+* the threat transducer lets a threat pass only after a target or an insult, or turns it into one when a target follows within
+  reach; a threat at nobody becomes an other word;
+* the insult transducer gives insults and threats their weight (an insult's own comes from the lexicon);
+* the target transducer adds weight to what follows a target in its clause;
+* the negation transducer takes weight from what follows a negation within REACH words;
+* the reported-speech transducer takes weight from what follows a word of saying.
+
+The lexical transducer maps words to symbols. It reads an insult or threat as such or as an other word, so a clause has
+several paths; its weight is that of the best path, from the clause's true start to its end. A text's evidence is the sum
+over matched clauses; its score is the share of toxic training rows at that much evidence, smoothed and never falling.
+
+Insults are learned: words, and stems that many words of toxic training rows begin with, that stand in many different contexts
+there (copies of one text share contexts and count once) and hardly ever in clean rows, with their log-odds as weight. Threats
+are learned the same way, from words with a target within REACH words before them, where they are no insults. Texts are
+searched whole by one Aho-Corasick pass; only clauses around a hit are walked.
 
 Defined cases: null or empty text has no evidence and the lowest score; labels other than 0 and 1 are not used; rows with a
 null id are scored and never learned from; without training rows the fixed words alone decide; words repeat and tie freely;
@@ -20,79 +29,138 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import packed, ship, small_batches
+from wordloom.llm.common import packed, saved, ship, small_batches
 
-#: Labelled rows learned from (about; chosen by hash), insults kept at most, contexts an insult needs, its least share of toxic contexts.
-SAMPLE_ROWS, INSULTS, CONTEXTS, SHARE = 6_000, 500, 8, 0.85
+#: Labelled rows learned from (about; chosen by hash), contexts an insult or threat needs, its least share of toxic contexts.
+SAMPLE_ROWS, CONTEXTS, SHARE = 20_000, 8, 0.85
 #: Letters of a stem, and the different words that must begin with it.
 STEM, STEM_WORDS = range(4, 9), 6
-#: Fixed words of the grammar's other classes, in English, French, German and Spanish.
+#: Fixed words of the grammar's classes, in English, French, German and Spanish.
 TARGETS = {"you", "your", "youre", "yourself", "they", "them", "he", "she", "him", "her", "these", "those", "people", "tu", "toi", "vous", "ils", "elles", "du", "dich", "dir", "ihr", "euch", "sie", "te", "ti", "usted", "ustedes", "ellos"}
 NEGATIONS = {"not", "no", "never", "isnt", "arent", "nobody", "ne", "pas", "jamais", "nicht", "kein", "keine", "nie", "nunca", "jamas"}
 REPORTS = {"said", "says", "say", "called", "calls", "quoted", "wrote", "claimed", "dit", "disait", "sagte", "sagt", "nannte", "dijo", "dice"}
-THREATS = {"kill", "murder", "strangle", "stab", "slaughter", "exterminate"}
+THREATS = {"kill", "kills", "killing", "murder", "murders", "strangle", "strangles", "stab", "stabs", "slaughter", "slaughters", "exterminate", "exterminates", "tuer", "tuerai", "assassiner", "étrangler", "égorger", "töten", "umbringen", "ermorden", "erwürgen", "erstechen", "matar", "mataré", "asesinar", "estrangular", "degollar"}
 INSULT_SEEDS = {"idiot", "moron", "scum", "stupid", "loser", "imbecile"}
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
-#: A clause longer than this many characters on either side of a hit is cut there; only words near a hit modify it.
-REACH = 120
 SEED_WEIGHT, TARGET_WEIGHT, NEGATED_WEIGHT, REPORTED_WEIGHT, THREAT_WEIGHT = 3.0, 0.7, -1.5, -1.0, 2.0
+#: Words that a negation or an announced threat reaches.
+REACH = 3
+SYMBOLS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = ("other", "insult", "threat", "target", "negation", "report")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """arcs: state -> input -> (output, weight, next state), several for one input where paths part; every state may end."""
+
+    start: object
+    arcs: dict[object, dict[str, tuple[tuple[str, float, object], ...]]]
+
+
+def transducer(start: object, states: Iterable[object], arcs: Iterable[tuple[object, str, str, float, object]], rest=lambda state, symbol: state) -> Transducer:
+    """A transducer of the arcs (state, input, output, weight, next); symbols without an arc pass, to the state that rest gives."""
+    table: dict[object, dict[str, tuple]] = {s: {} for s in states}
+    for state, given, out, weight, then in arcs:
+        table[state][given] = (*table[state].get(given, ()), (out, weight, then))
+    for state, known in table.items():
+        for symbol in SYMBOLS:
+            known.setdefault(symbol, ((symbol, 0.0, rest(state, symbol)),))
+    return Transducer(start, table)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that reads what first reads and writes what second writes of first's output."""
+    start, arcs = (first.start, second.start), {}
+    waiting = deque([start])
+    while waiting:
+        state = waiting.popleft()
+        if state in arcs:
+            continue
+        arcs[state] = {
+            symbol: tuple((out, w1 + w2, (then1, then2)) for middle, w1, then1 in found for out, w2, then2 in second.arcs[state[1]][middle])
+            for symbol, found in first.arcs[state[0]].items()
+        }
+        waiting.extend(then for found in arcs[state].values() for _, _, then in found)
+    return Transducer(start, arcs)
+
+
+def _threats() -> Transducer:
+    quiet, aimed, said = "quiet", "aimed", tuple(range(1, REACH + 1))
+    arcs = [(quiet, THREAT, OTHER, 0.0, REACH), (quiet, TARGET, TARGET, 0.0, aimed), (quiet, INSULT, INSULT, 0.0, aimed)]
+    for k in said:
+        arcs += [(k, TARGET, THREAT, 0.0, aimed), (k, THREAT, OTHER, 0.0, REACH), (k, INSULT, INSULT, 0.0, aimed)]
+    return transducer(quiet, (quiet, aimed, *said), arcs, lambda state, _: (state - 1 or quiet) if state in said else state)
+
+
+def _modified(mark: str, weight: float) -> Transducer:
+    """Insults and threats after the mark weigh more or less, up to the clause's end."""
+    return transducer(0, (0, 1), [(0, mark, mark, 0.0, 1), (1, INSULT, INSULT, weight, 1), (1, THREAT, THREAT, weight, 1)])
+
+
+def _negations() -> Transducer:
+    """A negation reaches the next REACH words, but no more than one insult or threat."""
+    near = range(1, REACH + 1)
+    arcs = [(k, NEGATION, NEGATION, 0.0, REACH) for k in range(REACH + 1)]
+    arcs += [(k, x, x, NEGATED_WEIGHT, 0) for k in near for x in (INSULT, THREAT)]
+    return transducer(0, range(REACH + 1), arcs, lambda state, _: max(0, state - 1))
+
+
+def grammar_transducer() -> Transducer:
+    insults = transducer(0, (0,), [(0, THREAT, THREAT, THREAT_WEIGHT, 0)])
+    return reduce(compose, (_threats(), insults, _modified(TARGET, TARGET_WEIGHT), _negations(), _modified(REPORT, REPORTED_WEIGHT)))
+
+
+MACHINE = grammar_transducer()
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """Insult weights (of whole words, written with a closing $, and of stems) and the score of each amount of evidence."""
+    """Insult weights and learned threats (whole words, written with a closing $, and stems), and the score of each amount of evidence."""
 
     insults: dict[str, float]
     steps: tuple[float, ...] = (0.5,)
     scores: tuple[float, ...] = (0.05, 0.9)
+    threats: frozenset[str] = frozenset()
 
-    def classes(self, word: str) -> tuple[str, float] | None:
-        """The lexical transducer: class and weight of a word."""
+    def readings(self, word: str) -> tuple[tuple[str, float], ...]:
+        """The lexical transducer: a word's symbols and their weights."""
         for unit in _units(word):
             if unit in self.insults:
-                return "insult", self.insults[unit]
-        if word in THREATS:
-            return "threat", THREAT_WEIGHT
-        for name, words, weight in (("target", TARGETS, TARGET_WEIGHT), ("negation", NEGATIONS, NEGATED_WEIGHT), ("report", REPORTS, REPORTED_WEIGHT)):
+                return (INSULT, self.insults[unit]), (OTHER, 0.0)
+        if word in THREATS or any(unit in self.threats for unit in _units(word)):
+            return (THREAT, 0.0), (OTHER, 0.0)
+        for name, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             if word in words:
-                return name, weight
-        return None
+                return ((name, 0.0),)
+        return ((OTHER, 0.0),)
 
     def walk(self, clause: str) -> float:
-        """Weight of the clause's path; states are (negated, reported, weight of the insult or threat awaiting a target)."""
-        negated = reported = targeted = False
-        total, near = 0.0, 99
+        """Weight of the clause's best path."""
+        best = {MACHINE.start: 0.0}
         for word in WORD.findall(clause):
-            near += 1
-            found = self.classes(word)
-            if not found:
-                continue
-            kind, weight = found
-            if kind == "negation":
-                negated, near = True, 0
-            elif kind == "report":
-                reported = True
-            elif kind == "target":
-                targeted = True
-            elif kind == "insult":
-                # a negation reaches the next three words only
-                total += max(0.0, weight + TARGET_WEIGHT * targeted + NEGATED_WEIGHT * (negated and near <= 3) + REPORTED_WEIGHT * reported)
-                negated = False
-            elif targeted or total:
-                total += max(0.0, weight + NEGATED_WEIGHT * (negated and near <= 3) + REPORTED_WEIGHT * reported)
-        return total
+            after: dict[object, float] = {}
+            for symbol, own in self.readings(word):
+                for state, weight in best.items():
+                    for _, arc, then in MACHINE.arcs[state][symbol]:
+                        total = weight + own + arc
+                        if total > after.get(then, -math.inf):
+                            after[then] = total
+            best = after
+        return max(best.values())
 
     def machine(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
-        for unit in sorted({*self.insults, *(f"{w}$" for w in THREATS)}, reverse=True):  # a stem after the word it equals
+        for unit in sorted({*self.insults, *self.threats, *(f"{w}$" for w in THREATS)}, reverse=True):  # a stem after the word it equals
             word = unit.removesuffix("$")
             found.add_word(word, (len(word), unit != word))
         found.make_automaton()
@@ -103,18 +171,18 @@ class Grammar:
         if not text:
             return 0.0
         lower = text.lower()
-        done, total = -1, 0.0
+        done, total = 0, 0.0
         for end, (size, whole) in machine.iter(lower):
             start = end - size + 1
             if start < done or (start and lower[start - 1].isalpha()) or (whole and end + 1 < len(lower) and lower[end + 1].isalpha()):
                 continue
-            begin = max(start - REACH, done, 0)
-            cuts = [m.end() for m in CLAUSE_END.finditer(lower, begin, start)]
-            stop = CLAUSE_END.search(lower, end, end + REACH)
-            done = stop.start() if stop else min(len(lower), end + REACH)
-            while done < len(lower) and lower[done].isalpha():
-                done += 1
-            total += self.walk(lower[cuts[-1] if cuts else begin : done])
+            # every character is looked at once: clauses before this one hold no hit
+            begin = done
+            for cut in CLAUSE_END.finditer(lower, done, start):
+                begin = cut.end()
+            stop = CLAUSE_END.search(lower, end)
+            done = stop.start() if stop else len(lower)
+            total += self.walk(lower[begin:done])
         return total
 
     def score(self, evidence: float) -> float:
@@ -130,8 +198,16 @@ def _units(word: str) -> list[str]:
     return [word[:n] for n in STEM if n <= len(word)] + [f"{word}$"]
 
 
-def _contexts(rows: DataFrame, only: set[str] | None) -> DataFrame:
-    """unit, contexts, words: different neighbourhoods and words of each; only: these units, or all where None."""
+def _aimed(words: list[str], i: int) -> bool:
+    return any(w in TARGETS for w in words[max(0, i - REACH) : i])
+
+
+def _contexts(rows: DataFrame, only: dict[str, int] | None) -> DataFrame:
+    """unit, contexts, words: different neighbourhoods and words of each unit of rows(text), those with a closing @ beside a target.
+
+    only: the units wanted, by number, which then stands for the unit; all units where None. Rows cross the shuffle as numbers,
+    once for each context and batch.
+    """
 
     def run(batches):
         for batch in batches:
@@ -139,15 +215,18 @@ def _contexts(rows: DataFrame, only: set[str] | None) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 found = _words(text or "")
                 for i, w in enumerate(found):
-                    if 3 <= len(w) <= 40:
-                        units = [u for u in _units(w) if only is None or u in only]
-                        if units:
-                            at = (found[i - 1] if i else "", w, found[i + 1] if i + 1 < len(found) else "")
-                            seen.update((u, *at) for u in units)
-            columns = [pa.array([x[0] for x in seen], pa.string()), pa.array([f"{x[1]} {x[3]}" for x in seen], pa.string()), pa.array([x[2] for x in seen], pa.string())]
+                    units = _units(w)
+                    if _aimed(found, i):
+                        units.append(f"{w}@")
+                    if only is not None:
+                        units = [only[u] for u in units if u in only]
+                    if units:
+                        at = (found[i - 1] if i else "", w, found[i + 1] if i + 1 < len(found) else "")
+                        seen.update((u, *at) for u in units)
+            columns = [pa.array([x[0] for x in seen], pa.string() if only is None else pa.int64()), pa.array([f"{x[1]} {x[3]}" for x in seen], pa.string()), pa.array([x[2] for x in seen], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["unit", "context", "word"])
 
-    rows = rows.select("text").mapInArrow(run, "unit string, context string, word string")
+    rows = rows.select("text").mapInArrow(run, f"unit {'string' if only is None else 'long'}, context string, word string")
     rows = rows.select("unit", F.xxhash64("context", "word").alias("context"), F.xxhash64("word").alias("word")).distinct()
     return rows.groupBy("unit", "word").count().groupBy("unit").agg(F.sum("count").alias("contexts"), F.count("*").alias("words"))
 
@@ -159,20 +238,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     parts = max(1, round(usable.count() / SAMPLE_ROWS))
     chosen = lambda df: df.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(parts)) == 0)
-    rows = chosen(docs.select("doc_id", "text")).join(F.broadcast(chosen(usable)), "doc_id")  # about SAMPLE_ROWS ids
+    rows = saved(chosen(docs.select("doc_id", "text")).join(F.broadcast(chosen(usable)), "doc_id").select("text", "toxic"), "labelled")  # about SAMPLE_ROWS
     bad = _contexts(rows.filter("toxic = 1"), None).filter(F.col("contexts") >= CONTEXTS)
-    bad = bad.filter(F.col("unit").endswith("$") | (F.col("words") >= STEM_WORDS))
-    # the most frequent units of a language are no insults, so many candidates are needed
-    most = {r["unit"]: r["contexts"] for r in bad.orderBy(F.desc("contexts"), "unit").limit(40 * INSULTS).collect()}
+    bad = bad.filter(F.endswith("unit", F.lit("$")) | F.endswith("unit", F.lit("@")) | (F.col("words") >= STEM_WORDS))
+    most = {r["unit"]: r["contexts"] for r in bad.select("unit", "contexts").collect()}  # units of the sample
     good: dict[str, int] = {}
     if most:
-        good = {r["unit"]: r["contexts"] for r in _contexts(rows.filter("toxic = 0"), set(most)).collect()}
+        named = sorted(most)
+        found = _contexts(rows.filter("toxic = 0"), {u: i for i, u in enumerate(named)}).collect()
+        good = {named[r["unit"]]: r["contexts"] for r in found}
     found = {u: c for u, c in most.items() if c >= SHARE * (c + good.get(u, 0))}
     # a unit under a shorter stem says no more than that stem
-    found = {u: c for u, c in found.items() if not any(u != v and v in found for v in _units(u.removesuffix("$"))[:-1])}
-    insults = {u: math.log((c + 0.5) / (good.get(u, 0) + 0.5)) for u, c in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:INSULTS]}
+    covered = lambda word, own: any(u != own and u in found for u in _units(word))
+    insults = {u: math.log((c + 0.5) / (good.get(u, 0) + 0.5)) for u, c in sorted(found.items()) if u[-1] != "@" and not any(u != v and v in found for v in _units(u.removesuffix("$"))[:-1])}
     insults |= {f"{w}$": SEED_WEIGHT for w in INSULT_SEEDS if not any(u in insults for u in _units(w))}
-    grammar = Grammar(insults)
+    threats = frozenset(f"{u[:-1]}$" for u in found if u[-1] == "@" and not covered(u[:-1], u) and u[:-1] not in TARGETS | NEGATIONS | REPORTS)
+    grammar = Grammar(insults, threats=threats)
     counted = _evidence(rows, grammar, "toxic").groupBy("toxic", F.least(F.floor(F.col("evidence") * 2) / 2, F.lit(40.0)).alias("evidence")).count().collect()
     return calibrated(grammar, [(r["evidence"], r["toxic"], r["count"]) for r in counted])
 
@@ -196,7 +277,7 @@ def calibrated(grammar: Grammar, counts: list[tuple[float, int, int]]) -> Gramma
     if pools[0][0] > 0:
         pools.insert(0, [0.0, 1.0, 0.0])
     scores = tuple(t / (c + t) for _, c, t in pools)
-    return Grammar(grammar.insults, tuple(p[0] for p in pools[1:]), scores)
+    return Grammar(grammar.insults, tuple(p[0] for p in pools[1:]), scores, grammar.threats)
 
 
 def _evidence(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
