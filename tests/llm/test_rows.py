@@ -72,6 +72,29 @@ def test_html_parts_and_odd_pages(spark):
     assert Counter((r.page_id, r.text, r.n_chars) for r in out) == Counter([(1, "", 0), (None, "x", 1), (1, "", 0)])
 
 
+def test_html_keeps_what_stands_beside():
+    body = "".join(f"<p>Sentence {i}, with commas, and a good number of words in it to be scored.</p>" for i in range(12))
+    text = " ".join(f"Sentence {i}, with commas, and a good number of words in it to be scored." for i in range(12))
+    # a short closing paragraph beside the container, a headline and a byline above it
+    assert html_text.main_text(f"<body><div><div>{body}</div><p>Short closing paragraph.</p></div></body>") == f"{text} Short closing paragraph."
+    assert html_text.main_text(f"<article><h1>Head</h1><p>By me</p><div class=body>{body}</div></article>") == f"Head By me {text}"
+    page = f"<body><nav><a href=x>menu</a></nav><div><a href=1>one</a> <a href=2>two</a></div><div id=c><h1>Head</h1>{body}</div><div class=sidebar>{body}</div><div><a href=1>link, link, link, link</a></div></body>"
+    assert html_text.main_text(page) == f"Head {text}"
+    assert html_text.main_text("<div>a</i></b></section>b</div>") == "ab" and html_text.main_text("<p title='a > b'>x</p><p title=\"y>z</p>") == "x z"
+    assert html_text.main_text("a < b and 3<4, <5") == "a < b and 3<4, <5" and html_text.main_text("<p>x</p><!-- y") == "x"
+
+
+def test_html_is_linear():
+    import time
+
+    begin = time.process_time()
+    for unit in ('<a "', "<a ", "<div>x", "<p>", "<b>x</u>", "<li>a", '<a b="x>', "<h2>x", "<div></b>", "<a \"'", "<b>"):
+        assert isinstance(html_text.main_text(unit * 100_000), str)
+    html_text.main_text("<b>" * 200_000 + "</i>" * 200_000)
+    html_text.main_text("<u><div>" + "<b>" * 100_000 + "</u>" * 100_000)
+    assert time.process_time() - begin < 60
+
+
 def test_html_finds_the_article(spark, sf):
     import html
     import re
@@ -106,19 +129,36 @@ def test_forward_sums_all_segmentations():
     model = language_id.Model(["x"], pieces, np.array(probabilities)[:, None])
     value = {}
     for size, known in enumerate(pieces):
-        for i, k in enumerate(known):
-            value[int(k).to_bytes(size, "little")] = probabilities[model.first[size] + i]
+        value |= {(size, int(k)): probabilities[model.first[size] + i] for i, k in enumerate(known)}
+
+    def of(piece):
+        number = int.from_bytes(piece, "little")
+        if len(piece) > 8:
+            number = 0
+            for byte in piece:
+                number = (number * int(language_id._BASE) + byte + 1) % 2**64
+        return value.get((len(piece), number), 0.0)
 
     def total(w):
-        return 1.0 if not w else sum(value.get(w[:k], 0.0) * total(w[k:]) for k in range(1, min(6, len(w)) + 1))
+        sums = [1.0] + [0.0] * len(w)
+        for t in range(1, len(w) + 1):
+            sums[t] = sum(sums[k] * of(w[k:t]) for k in range(t))
+        return sums[-1]
 
-    given = [b" the", b" international", b" x", "été".encode()]
+    given = [b" the", b" international", b" x", "été".encode(), b" internationalisation", b" responsibilities" * 3]
+    assert sum(len(k) for k in pieces[7:]) > 1000 and len(pieces[1]) == 256
     assert np.allclose(model.word_scores(given)[:, 0], [np.log(total(w)) for w in given])
     # expected counts weigh every segmentation by its share: their bytes add up to the word's
     for at, lattice in language_id.lattices(given, pieces, model.first):
         counts = lattice.expected(model.p, np.ones(len(at)), n)
         sizes = np.concatenate([[size] * len(k) for size, k in enumerate(pieces)])
         assert np.isclose((counts * sizes).sum(), sum(len(given[i]) for i in at))
+    # words of any length: the log of the sum grows with the word, and counts are not lost
+    long = [b" the" * 25, b" the" * 300]
+    scores = model.word_scores(long)[:, 0]
+    assert np.isfinite(scores).all() and scores[1] < scores[0] < 0
+    for at, lattice in language_id.lattices(long, pieces, model.first):
+        assert np.isclose((lattice.expected(model.p, np.ones(len(at)), n) * sizes).sum(), sum(len(long[i]) for i in at))
 
 
 def test_toxicity(spark, odd, nothing, labels):

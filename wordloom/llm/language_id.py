@@ -1,10 +1,10 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has a probability for every piece of a fixed public vocabulary (its byte strings of up to PIECE bytes; all single
-bytes are among them, so every word can be segmented). A word's probability is the sum over all its segmentations, found by a
-forward pass over many words at once; the probabilities come from expectation maximisation, whose expected piece counts use
-the forward and backward sums. A text's score for a language is the sum of its words' log probabilities; the answer is the
-best language and its posterior under equal priors.
+Each language has a probability for every piece of a fixed public vocabulary, pieces of every length (all single bytes are
+among them, so every word can be segmented). A word's probability is the sum over all its segmentations, found by a forward
+pass over many words at once; the probabilities come from expectation maximisation, whose expected piece counts use the
+forward and backward sums. Sums are scaled or kept as logarithms, so words of any length count. A text's score for a language
+is the sum of its words' log probabilities; the answer is the best language and its posterior under equal priors.
 
 Words are the text's runs between white space, with A-Z lower-cased and a space before each. Training uses a sample bounded per
 language. Distinct words are scored once and held in a bounded cache.
@@ -29,93 +29,131 @@ from wordloom.llm import vectext as vt
 from wordloom.llm.common import saved, ship, small_batches
 
 U64 = np.uint64
-#: Longest piece in bytes, training documents per language (about; by hash), passes of expectation maximisation, weight of unseen pieces.
-PIECE, SAMPLE_DOCS, PASSES, FLOOR = 6, 250, 2, 0.02
+#: Training documents per language (about; by hash), passes of expectation maximisation, weight of unseen pieces.
+SAMPLE_DOCS, PASSES, FLOOR = 250, 2, 0.02
+#: Pieces of up to so many bytes are looked for at every place, longer ones listed where they occur; places between two rescalings.
+PIECE, RESCALE = 6, 16
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 CACHE = 1_000_000
 
 
+_BASE = U64(0x9E3779B97F4A7C15)
+
+
 def vocabulary(path: str) -> list[np.ndarray]:
-    """Pieces of a public rank file by length: their bytes as one little-endian number, sorted."""
-    found: list[set[int]] = [set() for _ in range(PIECE + 1)]
+    """Pieces of a public rank file by length, as sorted numbers: their bytes, little-endian, or a hash of more than eight."""
+    found: dict[int, set[int]] = {1: set(range(256))}
     with open(path, "rb") as f:
         for line in f:
             if line.strip():
                 piece = base64.b64decode(line.split()[0])
-                if len(piece) <= PIECE:
-                    found[len(piece)].add(int.from_bytes(piece, "little"))
-    found[1] |= set(range(256))
-    return [np.array(sorted(x), U64) for x in found]
+                if len(piece) <= 8:
+                    value = int.from_bytes(piece, "little")
+                else:
+                    value = 0
+                    for byte in piece:
+                        value = (value * int(_BASE) + byte + 1) % 2**64
+                found.setdefault(len(piece), set()).add(value)
+    return [np.array(sorted(found.get(n, ())), U64) for n in range(max(found) + 1)]
 
 
 class Lattice:
-    """Words of one length bucket as a byte matrix, with the piece number of every place and length (-1: none)."""
+    """Words of one length bucket as a byte matrix, with the piece number of every place and length.
+
+    Pieces of up to PIECE bytes have a matrix of numbers by the place where they begin (-1: none); longer ones are lists of
+    (length, words, numbers) by the place where they end.
+    """
 
     def __init__(self, words: list[bytes], pieces: list[np.ndarray], first: np.ndarray):
         self.size = np.array([len(w) for w in words])
-        top = int(self.size.max())
-        text = np.zeros((len(words), top + PIECE), U64)
+        top = self.top = int(self.size.max())
+        text = np.zeros((len(words), top + 8), U64)
         for i, w in enumerate(words):
             text[i, : len(w)] = np.frombuffer(w, np.uint8)
-        self.top, self.piece = top, [None]
+        self.piece: list[np.ndarray | None] = [None]
+        self.long: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(top + 1)]
+        place = np.arange(top)[None, :]
         key = np.zeros((len(words), top), U64)
-        for n in range(1, PIECE + 1):
-            key = key | (text[:, n - 1 : n - 1 + top] << U64(8 * (n - 1)))
+        sums = None
+        for n in range(1, min(len(pieces) - 1, max(top, PIECE)) + 1):
             known = pieces[n]
+            if n <= 8:
+                key = key | (text[:, n - 1 : n - 1 + top] << U64(8 * (n - 1)))
+                value = key
+            elif len(known):
+                if sums is None:
+                    sums = np.zeros((len(words), top + 1), U64)
+                    for t in range(top):
+                        sums[:, t + 1] = sums[:, t] * _BASE + text[:, t] + U64(1)
+                factor = U64(pow(int(_BASE), n, 2**64))
+                value = np.zeros((len(words), top), U64)
+                value[:, : top - n + 1] = sums[:, n:] - sums[:, : top - n + 1] * factor
             if not len(known):
-                self.piece.append(np.full(key.shape, -1, np.int64))
+                if n <= PIECE:
+                    self.piece.append(np.full(key.shape, -1, np.int64))
                 continue
-            i = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            fits = (known[i] == key) & (np.arange(top)[None, :] + n <= self.size[:, None])
-            self.piece.append(np.where(fits, first[n] + i, -1))
+            i = np.minimum(np.searchsorted(known, value), len(known) - 1)
+            fits = (known[i] == value) & (place + n <= self.size[:, None])
+            if n <= PIECE:
+                self.piece.append(np.where(fits, first[n] + i, -1))
+                continue
+            at, rows = np.nonzero(fits.T)
+            if len(at):
+                cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
+                    t = int(at[a])
+                    self.long[t + n].append((n, rows[a:b], first[n] + i[rows[a:b], t]))
 
-    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over the segmentations of every prefix, scaled, and the log scales; p: piece probabilities by language, 0 last."""
-        n = len(self.size)
+    def log_probability(self, p: np.ndarray) -> np.ndarray:
+        """Log of the sum over all segmentations, by word and language; p: piece probabilities by language, 0 last."""
+        n, longest = len(self.size), max([PIECE, *(k for ends in self.long for k, _, _ in ends)])
         alpha = np.zeros((self.top + 1, n, p.shape[1]))
-        scale = np.zeros((self.top + 1, n, p.shape[1]))
         alpha[0] = 1.0
         log = np.zeros((n, p.shape[1]))
         for t in range(1, self.top + 1):
-            total = np.zeros((n, p.shape[1]))
+            total = alpha[t]
             for k in range(1, min(t, PIECE) + 1):
                 total += alpha[t - k] * p[self.piece[k][:, t - k]]
-            live = (self.size >= t)[:, None]
-            top = np.where(live & (total > 0), total, 1.0)
-            # all earlier sums that later ones still need share the new scale
-            alpha[t] = np.where(live, total / top, 0.0)
-            for k in range(1, min(t, PIECE - 1) + 1):
-                alpha[t - k] /= top
-            log += np.log(top)
-            scale[t] = log
-        return alpha, scale
-
-    def log_probability(self, p: np.ndarray) -> np.ndarray:
-        return self.forward(p)[1][self.size, np.arange(len(self.size))]
+            for k, rows, ids in self.long[t]:
+                total[rows] += alpha[t - k, rows] * p[ids]
+            if t % RESCALE == 0:
+                # the sums that later ones still need share the new scale; those of words that have ended stay
+                top = np.where((self.size >= t)[:, None] & (total > 0), total, 1.0)
+                alpha[max(0, t - longest + 1) : t + 1] /= top
+                log += np.log(top)
+        with np.errstate(divide="ignore"):
+            return np.log(alpha[self.size, np.arange(n)]) + log
 
     def expected(self, p: np.ndarray, weight: np.ndarray, pieces: int) -> np.ndarray:
-        """Expected piece counts for one language (p with one column)."""
+        """Expected piece counts for one language (p with one column), from the logs of forward and backward sums."""
         n = len(self.size)
-        prefix = np.zeros((self.top + 1, n))
-        prefix[0] = 1.0
+        with np.errstate(divide="ignore"):
+            logs = np.log(p[:, 0])
+        ahead = np.full((self.top + 1, n), -np.inf)
+        ahead[0] = 0.0
         for t in range(1, self.top + 1):
             for k in range(1, min(t, PIECE) + 1):
-                prefix[t] += prefix[t - k] * p[self.piece[k][:, t - k], 0]
-        suffix = np.zeros((self.top + PIECE + 1, n))
-        suffix[self.size, np.arange(n)] = 1.0
+                ahead[t] = np.logaddexp(ahead[t], ahead[t - k] + logs[self.piece[k][:, t - k]])
+            for k, rows, ids in self.long[t]:
+                ahead[t, rows] = np.logaddexp(ahead[t, rows], ahead[t - k, rows] + logs[ids])
+        behind = np.full((self.top + 1, n), -np.inf)
+        behind[self.size, np.arange(n)] = 0.0
+        for t in range(self.top, 0, -1):
+            # what ends at t is complete: later ends have been handed back
+            for k in range(1, min(t, PIECE) + 1):
+                behind[t - k] = np.logaddexp(behind[t - k], behind[t] + logs[self.piece[k][:, t - k]])
+            for k, rows, ids in self.long[t]:
+                behind[t - k, rows] = np.logaddexp(behind[t - k, rows], behind[t, rows] + logs[ids])
+        whole = ahead[self.size, np.arange(n)]
         out = np.zeros(pieces + 1)
-        for t in range(self.top - 1, -1, -1):
-            inner = self.size > t
-            for k in range(1, PIECE + 1):
-                if t + k <= self.top:
-                    suffix[t] += np.where(inner, suffix[t + k] * p[self.piece[k][:, t], 0], 0.0)
-        whole = np.where(suffix[0] > 0, weight / np.maximum(suffix[0], 1e-300), 0.0)
-        for t in range(self.top):
-            for k in range(1, PIECE + 1):
-                if t + k <= self.top:
-                    at = self.piece[k][:, t]
-                    out += np.bincount(np.where(at < 0, pieces, at), prefix[t] * p[at, 0] * suffix[t + k] * whole, minlength=pieces + 1)
+        share = lambda start, end, rows, ids: np.exp(ahead[start, rows] + logs[ids] + behind[end, rows] - whole[rows]) * weight[rows]
+        every = np.arange(n)
+        for t in range(1, self.top + 1):
+            for k, rows, ids in [*((k, every, self.piece[k][:, t - k]) for k in range(1, min(t, PIECE) + 1)), *self.long[t]]:
+                fine = np.flatnonzero((ids >= 0) & np.isfinite(behind[t, rows]) & np.isfinite(whole[rows]))
+                if len(fine):
+                    out += np.bincount(ids[fine], share(t - k, t, rows[fine], ids[fine]), minlength=pieces + 1)
         return out[:pieces]
 
 
@@ -194,8 +232,6 @@ def learn(docs: DataFrame, path: str) -> Model:
                 langs, found, counts = (batch.column(i).to_pylist() for i in range(3))
                 for lang in set(langs):
                     own = [i for i, x in enumerate(langs) if x == lang]
-                    # words of more than 64 bytes are junk: rare, and no help in learning
-                    own = [i for i in own if len(found[i]) <= 64]
                     weight = np.array([counts[i] for i in own], float)
                     for at, lattice in lattices([found[i] for i in own], pieces, first) if own else ():
                         total[:, number[lang]] += lattice.expected(p[:, [number[lang]]], weight[at], n)
