@@ -202,52 +202,78 @@ def _aimed(words: list[str], i: int) -> bool:
     return any(w in TARGETS for w in words[max(0, i - REACH) : i])
 
 
-def _contexts(rows: DataFrame, only: dict[str, int] | None) -> DataFrame:
-    """unit, contexts, words: different neighbourhoods and words of each unit of rows(text), those with a closing @ beside a target.
+def _found(texts: list[str | None], only: dict[str, int] | None):
+    """(unit, the word before, the word, the word after) of all units of the texts, or of those in only, by number."""
+    known: dict[str, list] = {}
+    for text in texts:
+        words = _words(text or "")
+        for i, w in enumerate(words):
+            if w not in known:
+                known[w] = [u if only is None else only[u] for u in (*_units(w), f"{w}@") if only is None or u in only]
+                at = f"{w}@" if only is None else only.get(f"{w}@")
+                known[w] = [u for u in known[w] if u != at], at
+            units, at = known[w]
+            if at is not None and _aimed(words, i):
+                units = [*units, at]
+            for u in units:
+                yield u, words[i - 1] if i else "", w, words[i + 1] if i + 1 < len(words) else ""
+
+
+def _bounds(rows: DataFrame, only: dict[str, int] | None) -> DataFrame:
+    """unit, most, least: bounds of the number of its different contexts in rows(text), from those of every batch."""
+    kind = "string" if only is None else "long"
+
+    def run(batches):
+        for batch in batches:
+            count: dict = {}
+            for u, *_ in set(_found(batch.column(0).to_pylist(), only)):
+                count[u] = count.get(u, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string() if only is None else pa.int64()), pa.array(list(count.values()), pa.int64())], ["unit", "n"])
+
+    return rows.select("text").mapInArrow(run, f"unit {kind}, n long").groupBy("unit").agg(F.sum("n").alias("most"), F.max("n").alias("least"))
 
-    only: the units wanted, by number, which then stands for the unit; all units where None. Rows cross the shuffle as numbers,
-    once for each context and batch.
-    """
+
+def _contexts(rows: DataFrame, only: dict[str, int]) -> DataFrame:
+    """unit (by number), toxic, contexts, words: different neighbourhoods and words of each unit of rows(text, toxic)."""
 
     def run(batches):
         for batch in batches:
-            seen = set()
-            for text in batch.column(0).to_pylist():
-                found = _words(text or "")
-                for i, w in enumerate(found):
-                    units = _units(w)
-                    if _aimed(found, i):
-                        units.append(f"{w}@")
-                    if only is not None:
-                        units = [only[u] for u in units if u in only]
-                    if units:
-                        at = (found[i - 1] if i else "", w, found[i + 1] if i + 1 < len(found) else "")
-                        seen.update((u, *at) for u in units)
-            columns = [pa.array([x[0] for x in seen], pa.string() if only is None else pa.int64()), pa.array([f"{x[1]} {x[3]}" for x in seen], pa.string()), pa.array([x[2] for x in seen], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["unit", "context", "word"])
-
-    rows = rows.select("text").mapInArrow(run, f"unit {'string' if only is None else 'long'}, context string, word string")
-    rows = rows.select("unit", F.xxhash64("context", "word").alias("context"), F.xxhash64("word").alias("word")).distinct()
-    return rows.groupBy("unit", "word").count().groupBy("unit").agg(F.sum("count").alias("contexts"), F.count("*").alias("words"))
+            labels = batch.column(1).to_pylist()
+            seen = {(label, *x) for label in (0, 1) for x in _found([t for t, y in zip(batch.column(0).to_pylist(), labels, strict=True) if y == label], only)}
+            columns = [pa.array([x[0] for x in seen], pa.int32()), pa.array([x[1] for x in seen], pa.int64()), pa.array([f"{x[2]} {x[4]}" for x in seen], pa.string()), pa.array([x[3] for x in seen], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "unit", "context", "word"])
+
+    rows = rows.select("text", "toxic").mapInArrow(run, "toxic int, unit long, context string, word string")
+    rows = rows.select("toxic", "unit", F.xxhash64("context", "word").alias("context"), F.xxhash64("word").alias("word")).distinct()
+    return rows.groupBy("toxic", "unit", "word").count().groupBy("toxic", "unit").agg(F.sum("count").alias("contexts"), F.count("*").alias("words"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
-    """A grammar from docs(doc_id, text) and the labels(doc_id, toxic) of training rows."""
+    """A grammar from docs(doc_id, text) and the labels(doc_id, toxic) of training rows.
+
+    Units that bounds rule out - too few contexts in toxic rows, or too many in clean ones - are left before contexts are
+    counted exactly.
+    """
     ship(docs.sparkSession)
-    small_batches(docs.sparkSession)
-    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    small_batches(docs.sparkSession, 100)
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     parts = max(1, round(usable.count() / SAMPLE_ROWS))
     chosen = lambda df: df.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(parts)) == 0)
     rows = saved(chosen(docs.select("doc_id", "text")).join(F.broadcast(chosen(usable)), "doc_id").select("text", "toxic"), "labelled")  # about SAMPLE_ROWS
-    bad = _contexts(rows.filter("toxic = 1"), None).filter(F.col("contexts") >= CONTEXTS)
-    bad = bad.filter(F.endswith("unit", F.lit("$")) | F.endswith("unit", F.lit("@")) | (F.col("words") >= STEM_WORDS))
-    most = {r["unit"]: r["contexts"] for r in bad.select("unit", "contexts").collect()}  # units of the sample
+    most = {r["unit"]: r["most"] for r in _bounds(rows.filter("toxic = 1"), None).filter(F.col("most") >= CONTEXTS).collect()}  # units of the sample
+    named = sorted(most)
+    if named:
+        least = {named[r["unit"]]: r["least"] for r in _bounds(rows.filter("toxic = 0"), {u: i for i, u in enumerate(named)}).collect()}
+        named = [u for u in named if most[u] >= SHARE * (most[u] + least.get(u, 0))]
+    bad: dict[str, int] = {}
     good: dict[str, int] = {}
-    if most:
-        named = sorted(most)
-        found = _contexts(rows.filter("toxic = 0"), {u: i for i, u in enumerate(named)}).collect()
-        good = {named[r["unit"]]: r["contexts"] for r in found}
-    found = {u: c for u, c in most.items() if c >= SHARE * (c + good.get(u, 0))}
+    for r in _contexts(rows, {u: i for i, u in enumerate(named)}).collect() if named else []:
+        u = named[r["unit"]]
+        if not r["toxic"]:
+            good[u] = r["contexts"]
+        elif r["contexts"] >= CONTEXTS and (u[-1] in "$@" or r["words"] >= STEM_WORDS):
+            bad[u] = r["contexts"]
+    found = {u: c for u, c in bad.items() if c >= SHARE * (c + good.get(u, 0))}
     # a unit under a shorter stem says no more than that stem
     covered = lambda word, own: any(u != own and u in found for u in _units(word))
     insults = {u: math.log((c + 0.5) / (good.get(u, 0) + 0.5)) for u, c in sorted(found.items()) if u[-1] != "@" and not any(u != v and v in found for v in _units(u.removesuffix("$"))[:-1])}
