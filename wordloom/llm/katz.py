@@ -36,10 +36,10 @@ U64 = np.uint64
 K, HOT = 5, 256
 #: Tokens in a bucket (about), tokens and documents after which a task sends what it has gathered.
 BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 4_000_000, 600_000, 60_000
-#: Bytes of text split at once, bytes (about) of a batch that a worker returns.
-TEXT_BYTES, BATCH_BYTES = 500_000, 2_000_000
+#: Bytes of text split at once, bytes (about) of a batch that a worker returns, histories merged at once.
+TEXT_BYTES, BATCH_BYTES, MERGE_HISTORIES = 500_000, 2_000_000, 700_000
 #: A bucket is worked off in 2 ** SLICE_BITS slices of its words, so that one slice's arrays are in memory at a time.
-SLICE_BITS = 3
+SLICE_BITS = 4
 END, START = (vt.splitmix(np.array([x]))[0] for x in (424242, 434343))
 
 
@@ -115,7 +115,7 @@ PAIRS = ("<u8", "<u4", "<u8", "<u4", "<u2", "<u1", "<u1", "<i8")
 #: Kinds of packed rows.
 DOC, HISTORY, UNSEEN, TYPES, META, PART, HOT_HISTORY, HOT_UNSEEN = range(8)
 DOC_KINDS = ("<u8", "<f8", "<f8", "<u4", "<u4")
-HISTORY_KINDS = ("<u8", "<u4", "<f8", "<f8")
+HISTORY_KINDS = ("<u8", "<u4", "<f8", "<f4")
 UNSEEN_KINDS = ("<u8", "<u8", "<u4")
 ROWS = "kind int, group long, part binary"
 
@@ -314,11 +314,15 @@ def _document_sums(w, doc, c, count_w, count_p, uni: Unigrams) -> tuple[np.ndarr
 
 def _bucket(parts: list, uni: Unigrams, hot: Hot, groups: int):
     """kind, group, part: what one bucket of words knows of documents, histories and unseen pairs."""
-    sums = []
+    sums, histories, waiting = [], [], 0
     for k in range(1 << SLICE_BITS):
         columns = [np.concatenate(x) for x in zip(*(_slice(raw, k) for raw in parts), strict=True)]
         if len(columns[0]):
-            yield from _worked_off(columns, uni, hot, groups, sums)
+            yield from _worked_off(columns, uni, hot, groups, sums, histories)
+            waiting += len(histories[-1][0])
+        if waiting > MERGE_HISTORIES or k == (1 << SLICE_BITS) - 1:
+            yield from _history_rows(histories, hot, groups)
+            histories, waiting = [], 0
     doc, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
     doc, base, known_part, known, *by_class = _summed(doc, *values)
     group = (vt.splitmix(doc) % U64(groups)).astype(np.int64)
@@ -334,8 +338,19 @@ def _by_group(group: np.ndarray):
         yield int(group[order[a]]), order[a:b]
 
 
-def _worked_off(columns: list[np.ndarray], uni: Unigrams, hot: Hot, groups: int, sums: list):
-    """The rows of one slice; its documents' sums are added to sums."""
+def _history_rows(histories: list, hot: Hot, groups: int):
+    """Histories: pairs by class, tokens above the classes, mass of p, summed over slices."""
+    if not histories:
+        return
+    hist, above, mass, *by_class = _summed(*(np.concatenate(x) for x in zip(*histories, strict=True)))
+    hot_history = np.isin(hist, hot.histories)
+    group = np.where(hot_history, -1, (vt.splitmix(hist) % U64(groups)).astype(np.int64))
+    for g, at in _by_group(group):
+        yield HISTORY if g >= 0 else HOT_HISTORY, max(g, 0), _bytes(hist[at], np.concatenate([x[at] for x in by_class]).astype("<u4"), above[at].astype("<f8"), mass[at].astype("<f4"))
+
+
+def _worked_off(columns: list[np.ndarray], uni: Unigrams, hot: Hot, groups: int, sums: list, histories: list):
+    """The rows of one slice; its documents' sums and its histories are added to those lists."""
     w, h, d, c, f = columns
     columns.clear()
     order = np.lexsort((h, w))
@@ -352,15 +367,11 @@ def _worked_off(columns: list[np.ndarray], uni: Unigrams, hot: Hot, groups: int,
     count_w = np.repeat(c_word, np.diff(np.append(word_at, len(w))))
     count_p = np.repeat(c_pair, np.diff(np.append(pair_at, len(w))))
     sums.append(_document_sums(w, d, c, count_w, count_p, uni))
-    # histories: pairs by class, tokens above the classes, mass of p
     own = c_pair > 0
     pair_h, pair_c, pair_p = h[pair_at][own], c_pair[own], uni.p(count_w[pair_at])[own]
     classes = [(pair_c == r).astype(np.int64) for r in range(1, K + 1)]
-    hist, above, mass, *by_class = _summed(pair_h, np.where(pair_c > K, pair_c, 0).astype(float), pair_p, *classes)
-    hot_history = np.isin(hist, hot.histories)
-    group = np.where(hot_history, -1, (vt.splitmix(hist) % U64(groups)).astype(np.int64))
-    for g, at in _by_group(group):
-        yield HISTORY if g >= 0 else HOT_HISTORY, max(g, 0), _bytes(hist[at], np.concatenate([x[at] for x in by_class]).astype("<u4"), above[at], mass[at])
+    hist, above, mass, *by_class = _summed(pair_h, np.where(pair_c > K, pair_c, 0), pair_p, *classes)
+    histories.append((hist, above.astype(np.int64), mass, *(x.astype(np.int32) for x in by_class)))
     missing = np.flatnonzero(count_p == 0)
     if len(missing):
         h, d, c = h[missing], d[missing].astype(U64), c[missing].astype("<u4")
@@ -435,7 +446,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         for batch in batches:
             for part in batch.column(0):
                 hist, classes, above, mass = _arrays(part.as_buffer(), *HISTORY_KINDS)
-                yield pa.RecordBatch.from_arrays([pa.array(hist.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in classes.reshape(K, -1)), pa.array(above), pa.array(mass)], ["h", *(f"c{r}" for r in range(1, K + 1)), "above", "mass"])
+                yield pa.RecordBatch.from_arrays([pa.array(hist.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in classes.reshape(K, -1)), pa.array(above), pa.array(mass.astype(np.float64))], ["h", *(f"c{r}" for r in range(1, K + 1)), "above", "mass"])
 
     summed = [*(f"c{r}" for r in range(1, K + 1)), "above", "mass"]
     few = found.filter(F.col("kind") == HOT_HISTORY).select("part").mapInArrow(unpacked, "h long, " + ", ".join(f"c{r} long" for r in range(1, K + 1)) + ", above double, mass double")
