@@ -269,10 +269,11 @@ def _alike(percent: int):
 
 def _blocks(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """p, block, name: a region's members(p, cid, root, d) with their sets, in blocks of bounded number and bytes."""
-    sized = members.join(sets.select("cid", "n", "counts", "shingles"), "cid")
-    total = members.join(sets.select("cid", "n"), "cid").groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
-    # a region's blocks are built by different tasks
-    dealt = sized.join(total, "p").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(name)), F.col("blocks"))).repartition("p", "block")
+    sized = members.join(sets.select("cid", "n"), "cid")
+    total = sized.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
+    # blocks are numbered before sets are fetched, and a region's blocks are built by different tasks
+    dealt = sized.join(total, "p").select("p", "cid", "root", "d", F.pmod(F.xxhash64("cid", F.lit(name)), F.col("blocks")).alias("block"))
+    dealt = dealt.join(sets.select("cid", "n", "counts", "shingles"), "cid").repartition("p", "block")
     row = F.struct("cid", "root", "n", "d", "counts", "shingles")
     return dealt.groupBy("p", "block").agg(F.sort_array(F.collect_list(row)).alias(name))
 
