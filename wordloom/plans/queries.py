@@ -114,17 +114,15 @@ def unique_types(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.unique_types(_types(spark, d, "lang")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query(r"""select lang, case when not casing in ('resolved', 'inferred') then 'casing' when not regexp_matches(form, '^\p{L}+$') then 'alphabet' when length(form) < 2 then 'length' else 'kept' end reason, count(*) n
-    from (select lang, replace(lower(w), 'ß', 'ss') form, case when w = lower(w) then 'resolved' when substr(w, 2) = lower(substr(w, 2)) then 'inferred' else 'needs_review' end casing
-    from (select lang, unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) w from documents)) group by all""")
+@query(r"""select case when not casing in ('resolved', 'inferred') then 'casing' when not regexp_matches(form, '^\p{L}+$') then 'alphabet' when length(form) < 2 then 'length' else 'kept' end reason, count(distinct form) forms, count(*) n
+    from (select replace(lower(w), 'ß', 'ss') form, case when w = lower(w) then 'resolved' when substr(w, 2) = lower(substr(w, 2)) then 'inferred' else 'needs_review' end casing
+    from (select unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) w from documents)) group by all""")
 def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Vocabulary scan with counted rejects (SRC-2)."""
-    rows = _table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))).alias("form"))
+    rows = _table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))).alias("form"))
     w = F.col("form")
     rows = rows.withColumn("casing_status", F.when(w == F.lower(w), "resolved").when(F.substring(w, 2, 1 << 30) == F.lower(F.substring(w, 2, 1 << 30)), "inferred").otherwise("needs_review"))
-    lower = F.replace(F.lower(w), F.lit("ß"), F.lit("ss"))
-    reason = F.when(~F.col("casing_status").isin("resolved", "inferred"), "casing").when(~lower.rlike(X.LETTERS), "alphabet").when(F.length(lower) < 2, "length").otherwise("kept")
-    return rows.groupBy("lang", reason.alias("reason")).agg(F.count("*").alias("n"))
+    return texts.vocabulary(rows).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
 
 
 PHONEMES = "regexp_extract_all(word, '(?s:dž|ch|dz|ia|ie|iu|.)')"
@@ -279,15 +277,21 @@ def latest_event_per_user(spark: SparkSession, d: str) -> DataFrame:
     return review.latest(rows, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by case event_type when 'purchase' then 1 when 'click' then 2 else 3 end, event_id) k from events) where k = 1""")
+@query(r"""with n as (select distinct w form from (select unnest(regexp_extract_all(coalesce(text, ''), '\p{L}+')) w from documents)), r as (select n.form, coalesce(t.form, n.form) representative from n left join n t on t.form = lower(n.form)),
+    a as (select form, representative, case length(form) % 3 when 0 then 'verified' when 1 then 'human_review' else 'pending' end review_status from r),
+    o as (select *, row_number() over (partition by representative order by case review_status when 'human_review' then 2 when 'verified' then 3 else 5 end, form <> representative, form) k from a)
+    select representative, form, review_status from o where k = 1""")
 def effective_by_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Each key's most binding row by status rank, then id (WN-2, SO-7)."""
-    rank = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "click", 2).otherwise(3)
-    rows = _table(spark, d, "events").groupBy("user_id").agg(F.min_by(F.struct("event_id", "event_type"), F.struct(rank.alias("r"), "event_id")).alias("e"))
-    return rows.select("user_id", "e.event_id", "e.event_type")
+    """Each representative's binding adjudication: by status rank, its own form first (WN-2, SO-7, JN-7)."""
+    forms = _raw_forms(spark, d).select("form")
+    status = F.when(F.length("form") % 3 == 0, "verified").when(F.length("form") % 3 == 1, "human_review").otherwise("pending")
+    return review.effective_adjudication(forms.select("form", status.alias("review_status")), review.representatives(forms))
 
 
-@query()
+@query("""with e as (select user_id, event_id, case when event_id % 3 = 0 then 1 else -1 end step from events),
+    h as (select *, sum(step) over newest height from e window newest as (partition by user_id order by event_id desc)),
+    l as (select *, least(coalesce(min(height) over (partition by user_id order by event_id desc rows between unbounded preceding and 1 preceding), 0), 0) low from h)
+    select user_id, count_if(step = -1 and height < low)::int live, coalesce(string_agg(event_id::varchar, ',' order by event_id) filter (where step = -1 and height < low), '') ids from l group by user_id""")
 def undo_fold(spark: SparkSession, d: str) -> DataFrame:
     """Decisions that stand after undo, a user's events as a log (REV-2 .. REV-4, STR-1)."""
     op = F.when(F.col("event_id") % 3 == 0, "undo").otherwise("decide")
@@ -295,11 +299,11 @@ def undo_fold(spark: SparkSession, d: str) -> DataFrame:
     return review.undo_state(rows, "user_id", "event_id").select("user_id", F.size("live").alias("live"), F.array_join(F.col("live").cast("array<string>"), ",").alias("ids"))
 
 
-@query("select conv_id, role, turn, length(text) n_chars from (select *, row_number() over (partition by conv_id, role order by turn desc, text desc) k from conversations) where k = 1")
+@query("select run_id, form, model_id, preferred from (select 0 run_id, conv_id form, role model_id, text preferred, row_number() over (partition by conv_id, role order by turn desc, text desc) k from conversations where text is not null) where k = 1")
 def last_turn_per_role(spark: SparkSession, d: str) -> DataFrame:
-    """Each speaker's last message (WN-5)."""
-    rows = _table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max(F.struct("turn", "text")).alias("m"))
-    return rows.select("conv_id", "role", F.col("m.turn").alias("turn"), F.length("m.text").cast("long").alias("n_chars"))
+    """Each speaker's last valid message of a run (WN-5)."""
+    answers = _table(spark, d, "conversations").select(F.lit(0).alias("run_id"), F.col("conv_id").alias("form"), F.col("role").alias("model_id"), F.concat(F.lit("turn "), "turn").alias("stage"), F.col("text").alias("preferred"), F.lit(None).cast("string").alias("error"))
+    return review.final_proposals(answers)
 
 
 @query("select role, count(*) n, count(distinct conv_id) conversations from conversations group by role")
@@ -308,12 +312,13 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"))
 
 
-@query("select coalesce(quality::varchar, 'pending') status, count(*) n from documents left join labels using (doc_id) where coalesce(quality::varchar, 'pending') <> '0' group by all")
+@query("""select case when toxic = 1 then 'invalid' when quality = 1 then 'verified' else 'pending' end status, count(*) n from documents left join labels using (doc_id) where toxic is distinct from 1 group by all""")
 def live_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Left join with a default status, retired rows dropped (SRC-1, JN-1)."""
-    labels = _table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("q"))
-    rows = _table(spark, d, "documents").join(labels, "doc_id", "left").select(F.coalesce("q", F.lit("pending")).alias("status"))
-    return rows.filter("status <> '0'").groupBy("status").agg(F.count("*").alias("n"))
+    """Left join with a default status, retired rows dropped (SRC-1, JN-1, AG-1, AG-13)."""
+    status = F.when(F.col("toxic") == 1, "invalid").when(F.col("quality") == 1, "verified").otherwise("pending")
+    adjudications = _table(spark, d, "labels").select(F.col("doc_id").alias("form"), status.alias("review_status"))
+    rows = texts.inventory(_table(spark, d, "documents").select(F.col("doc_id").alias("form")), adjudications)
+    return rows.groupBy(F.coalesce("review_status", F.lit("pending")).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("select doc_id, lang from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
@@ -434,27 +439,15 @@ def worklist_status(spark: SparkSession, d: str) -> DataFrame:
     return texts.worklist(upload.select("position", "token"), known).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"""with m as (select distinct word member from ({TYPES}) where length(word) between 4 and 6 and lang = 'en' and n >= 20), f as (select distinct word form from ({TYPES}) where lang = 'en' and length(word) <= 16),
-    c as (select form, i - 1 as place, substr(form, i, n) member from (select form, unnest(range(1, length(form) + 1)) i from f), (select unnest([4, 5, 6]) n) where i + n - 1 <= length(form) and n < length(form)),
-    g as (select member, count(distinct form) forms, count(distinct substr(form, 1, place)) contexts from c join m using (member) group by member)
-    select member, forms, contexts, round(2 * forms * contexts / (forms + contexts), 6) score from g""")
-def member_discovery(spark: SparkSession, d: str) -> DataFrame:
-    """Members inside forms, ranked (AUD-8, JN-10, AG-11, AG-12, FLT-12)."""
-    types = _types(spark, d, "lang").filter("lang = 'en'")
-    members = types.filter("length(word) between 4 and 6 and n >= 20").select(F.col("word").alias("member"))
-    found = discovery.discovered(discovery.members_inside(types.filter("length(word) <= 16").select(F.col("word").alias("form")), members, 4))
-    return found.select("member", "forms", "contexts", F.round("score", 6).alias("score"))
-
-
-#: Forms a member must lie in, the reference's DEFAULT_MIN_SUPPORTED_FORMS.
+#: Forms a member must lie in.
 SUPPORT = 3
 
 
 @query(f"""with f as (select distinct word form from ({TYPES})), c as (select form, i - 1 as place, substr(form, i, n) member from (select form, i, unnest(range(1, length(form) - i + 2)) n from (select form, unnest(range(1, length(form) + 1)) i from f)) where n < length(form)),
     g as (select member, count(distinct c.form) forms, count(distinct substr(c.form, 1, place)) contexts from c join f on c.member = f.form group by member)
     select member, forms, contexts, round(2 * forms * contexts / (forms + contexts), 6) score from g where forms >= {SUPPORT}""")
-def member_discovery_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Members of any length inside forms of any length, all languages; only support bounds them (AUD-8, JN-10)."""
+def member_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Members of any length inside forms of any length, all languages; only support bounds them (AUD-8, JN-10, AG-11, AG-12, FLT-12)."""
     forms = _types(spark, d).select(F.col("word").alias("form")).distinct()
     found = discovery.discovered(discovery.members_inside(forms, forms.select(F.col("form").alias("member")), 1))
     return found.filter(F.col("forms") >= SUPPORT).select("member", "forms", "contexts", F.round("score", 6).alias("score"))
@@ -466,7 +459,7 @@ def affix_counts(spark: SparkSession, d: str) -> DataFrame:
     return discovery.affix_lookup(_types(spark, d).select("word").distinct(), ["an", "be", "ge", "ver", "über", "inter"]).groupBy("affix").agg(F.count("*").alias("n"))
 
 
-@query(f"""with t as ({TOKEN_ROWS}) select a.doc_id, a.pos as at from t a join t b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.token = 'of' and b.token = 'the'""")
+@query(f"""with t as ({TOKEN_ROWS}) select doc_id, pos as at from (select *, lead(token) over (partition by doc_id order by pos) nxt from t) where token = 'of' and nxt = 'the'""")
 def phrase_search(spark: SparkSession, d: str) -> DataFrame:
     """A phrase over an inverted table (JN-16)."""
     rows = _table(spark, d, "documents").select("doc_id", F.posexplode(X.tokens(F.col("text"))).alias("position", "token"))
@@ -485,15 +478,8 @@ def item_overlap(spark: SparkSession, d: str) -> DataFrame:
     return both.filter(share >= 0.03).select("a", "b", F.round(share, 6).alias("similarity"))
 
 
-@query("select doc_id, (k - 1) // 40 + 1 batch_id, (k - 1) % 40 + 1 as position from (select doc_id, row_number() over (order by doc_id) k from documents where lang = 'fr')")
-def batch_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Batches and positions (WN-7, WN-8, AUD-3)."""
-    rows = _table(spark, d, "documents").filter("lang = 'fr'").select("doc_id")
-    return discovery.batches(rows, 40, "doc_id").select("doc_id", F.col("batch_id").cast("long").alias("batch_id"), F.col("position").cast("long").alias("position"))
-
-
 @query("select doc_id, (k - 1) // 40 + 1 batch_id, (k - 1) % 40 + 1 as position from (select doc_id, row_number() over (order by doc_id nulls first) k from documents)")
-def batch_positions_whole(spark: SparkSession, d: str) -> DataFrame:
+def batch_positions(spark: SparkSession, d: str) -> DataFrame:
     """Batches and positions of all documents (WN-7, WN-8, AUD-3)."""
     rows = _table(spark, d, "documents").select("doc_id")
     return discovery.batches(rows, 40, "doc_id").select("doc_id", F.col("batch_id").cast("long").alias("batch_id"), F.col("position").cast("long").alias("position"))
@@ -522,22 +508,10 @@ def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang", "g.bonus", "g.margin").agg(F.count_if(F.col("x") + F.col("g.bonus") >= F.col("g.margin")).alias("predicted"))
 
 
-@query("""with m as (select doc_id, lang v from documents where doc_id % 2 = 0), b as (select doc_id, case when quality = 1 then 'en' else 'de' end v from labels), e as (select doc_id, case when n_chars % 2 = 0 then 'en' else 'fr' end v from documents),
-    r as (select m.v m, b.v b, e.v e from m full join b on m.doc_id = b.doc_id left join e on e.doc_id = coalesce(m.doc_id, b.doc_id))
-    select case when m is null then case when b = e then 'blind_engine' else 'blind_only' end when b is null then case when m = e then 'manual_engine' else 'manual_only' end when m = b and b = e then 'all_agree' when m = b then 'engine_differs' when m = e then 'blind_differs' when b = e then 'manual_differs' else 'all_differ' end bucket, count(*) n from r group by bucket""")
-def three_voices(spark: SparkSession, d: str) -> DataFrame:
-    """Manual, blind and engine voices reconciled (REV-8, JN-9, FLT-5)."""
-    docs, labels = _table(spark, d, "documents"), _table(spark, d, "labels")
-    manual = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("form"), F.col("lang").alias("division"))
-    blind = labels.select(F.col("doc_id").alias("form"), F.when(F.col("quality") == 1, "en").otherwise("de").alias("division"))
-    engine = docs.select(F.col("doc_id").alias("form"), F.when(F.col("n_chars") % 2 == 0, "en").otherwise("fr").alias("division"))
-    return review.reconcile(manual, blind, engine).groupBy("bucket").agg(F.count("*").alias("n"))
-
-
 @query("""with m as (select doc_id, lang v from documents where lang is not null), b as (select doc_id, case when quality = 1 then 'en' else 'de' end v from labels where quality is not null), e as (select doc_id, case when n_chars % 2 = 0 then 'en' else 'fr' end v from documents),
     r as (select m.v m, b.v b, e.v e from m full join b on m.doc_id = b.doc_id left join e on e.doc_id = coalesce(m.doc_id, b.doc_id))
     select case when m is null then case when b = e then 'blind_engine' else 'blind_only' end when b is null then case when m = e then 'manual_engine' else 'manual_only' end when m = b and b = e then 'all_agree' when m = b then 'engine_differs' when m = e then 'blind_differs' when b = e then 'manual_differs' else 'all_differ' end bucket, count(*) n from r group by bucket""")
-def three_voices_whole(spark: SparkSession, d: str) -> DataFrame:
+def three_voices(spark: SparkSession, d: str) -> DataFrame:
     """Voices of all documents; one is missing only where its label is (REV-8, JN-9, FLT-5)."""
     docs, labels = _table(spark, d, "documents"), _table(spark, d, "labels")
     manual = docs.filter("lang is not null").select(F.col("doc_id").alias("form"), F.col("lang").alias("division"))
