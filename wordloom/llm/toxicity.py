@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import packed, saved, ship, small_batches
 
 #: Labelled rows learned from (about; chosen by hash), contexts an insult or threat needs, its least share of toxic contexts.
-SAMPLE_ROWS, CONTEXTS, SHARE = 20_000, 8, 0.85
+SAMPLE_ROWS, CONTEXTS, SHARE = 20_000, 8, 0.75
 #: Letters of a stem, and the different words that must begin with it.
 STEM, STEM_WORDS = range(4, 9), 6
 #: Fixed words of the grammar's classes, in English, French, German and Spanish.
