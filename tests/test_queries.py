@@ -32,7 +32,7 @@ def test_equals_sql(spark, sf, duck, name):
     assert rows(plans.QUERIES[name](spark, sf).toPandas()) == rows(duck.execute(plans.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL) - {"induced_readings", "learned_patterns"}))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL) - {"learned_patterns"}))
 def test_runs(spark, sf, name):
     assert plans.QUERIES[name](spark, sf).count() > 0
 
@@ -51,7 +51,7 @@ def test_member_discovery_has_no_cuts(spark, tmp_path):
     inside = {m: {(f, f[:i]) for f in forms for i in range(len(f)) if f.startswith(m, i) and len(m) < len(f)} for m in forms}
     want = {(m, len({f for f, _ in x}), len({c for _, c in x})) for m, x in inside.items() if len({f for f, _ in x}) >= plans.SUPPORT}
     assert {m for m, _, _ in want} == {long, "eau"}
-    assert {(r.member, r.forms, r.contexts) for r in plans.QUERIES["member_discovery_whole"](spark, str(tmp_path)).collect()} == want
+    assert {(r.member, r.forms, r.contexts) for r in plans.QUERIES["member_discovery"](spark, str(tmp_path)).collect()} == want
 
 
 def test_batches_and_voices_take_all_documents(spark, tmp_path):
@@ -59,8 +59,8 @@ def test_batches_and_voices_take_all_documents(spark, tmp_path):
     labels = [(i, (None, 0, 1)[i % 5 % 3]) for i in range(3, 600, 3)]
     spark.createDataFrame(docs, "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    found = plans.QUERIES["batch_positions_whole"](spark, str(tmp_path))
+    found = plans.QUERIES["batch_positions"](spark, str(tmp_path))
     assert {tuple(r) for r in found.collect()} == {(d, k // 40 + 1, k % 40 + 1) for k, d in enumerate(sorted(i for i, *_ in docs))}
     voiced = {i for i, lang, _ in docs if lang} | {i for i, q in labels if q is not None}
-    found = {r.bucket: r.n for r in plans.QUERIES["three_voices_whole"](spark, str(tmp_path)).collect()}
+    found = {r.bucket: r.n for r in plans.QUERIES["three_voices"](spark, str(tmp_path)).collect()}
     assert sum(found.values()) == len(voiced) and found.get("blind_only", 0) + found.get("blind_engine", 0) == len({i for i, q in labels if q is not None} - {i for i, lang, _ in docs if lang})

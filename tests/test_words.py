@@ -165,11 +165,49 @@ def test_induction(spark):
     assert found[("žena", "žena")] == (4, 5) and ("dub", "dub") in found | {("chlap", "dub"): 0, ("dub", "dub"): 0}
 
 
+def spans_of(*given):
+    return [(s, p.split()) for s, p in given]
+
+
+@pytest.mark.parametrize(
+    "word, spans, expected",
+    [
+        ("pepper", [("pe", "pʰ ɛ"), ("pp", "p"), ("er", "ɚ")], "pep·per"), ("bunny", [("bu", "b ʌ"), ("nn", "ɲ"), ("y", "i")], "bun·ny"), ("abbey", [("a", "æ"), ("bb", "bʲ"), ("ey", "i")], "ab·bey"),
+        ("peggy", [("pe", "pʰ"), ("g", "ɛ"), ("g", "ɟ"), ("y", "i")], "peg·gy"), ("digging", [("di", "d"), ("g", "ɪ"), ("gi", "ɟ ɪ"), ("ng", "ŋ")], "dig·ging"), ("people", [("pe", "pʰ iː"), ("op", "p"), ("le", "ə ɫ")], "peo·ple"),
+        ("rocking", [("ro", "ɹ ɑ"), ("ck", "c"), ("i", "ɪ"), ("ng", "ŋ")], "ro·cking"), ("bottled", [("bo", "b ɑ"), ("tt", "t"), ("le", "ə ɫ"), ("d", "d")], "bo·ttled"), ("add", [("a", "æ"), ("dd", "d")], "add"),
+        ("about", [("a", "ə"), ("b", "b"), ("ou", "aw"), ("t", "t")], "about"), ("rhythm", [("rh", "ɹ"), ("y", "ɪ"), ("th", "ð"), ("m", "m̩")], None),
+    ],
+)
+def test_projection(word, spans, expected):
+    points, complete = alignment.projected(word, spans_of(*spans))
+    again = alignment.repaired(spans_of(*spans))
+    assert "".join(s for s, _ in again) == word and [x for _, p in again for x in p] == [x for _, p in spans for x in p.split()]
+    assert complete == (expected is not None)
+    if expected:
+        cuts = [0, *points, len(word)]
+        assert "·".join(word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)) == expected
+
+
 def test_alignment(spark):
-    pepper = [("pe", ["p", "ɛ"]), ("pp", ["p"]), ("er", ["ɚ"])]
-    assert alignment.projected("pepper", pepper) == ([3], True)
-    assert alignment.projected("other", pepper) == ([], False)
-    assert alignment.refined([2, 5], [3], [1, 4, 6]) == [3, 5]
-    df = spark.createDataFrame([("pepper", pepper, "p ɛ p ɚ", 1.0), ("pep", pepper, "p ɛ p ɚ", 1.0), ("pepper", pepper, "p ɛ p ɚ", float("nan"))], "word string, spans array<struct<spelling:string,phones:array<string>>>, phones string, score double")
+    percussion = spans_of(("p", "pʰ"), ("er", "ɚ"), ("cu", "kʰ"), ("s", "ɐ"), ("si", "ʃ"), ("on", "ə n"))
+    assert not alignment.projected("percussion", percussion)[1] and alignment.projected("other", percussion) == ([], False)
+    assert alignment.projected("penny", spans_of(("pe", "p ɛ"), ("nn", "n"), ("y", "i")), "german") == ([2], True)
+    pepper = spans_of(("pe", "p ɛ"), ("pp", "p"), ("er", "ɚ"))
+    schema = "word string, spans array<struct<spelling:string,phones:array<string>>>, phones string, score double"
+    df = spark.createDataFrame([("pepper", pepper, "p ɛ p ɚ", 1.0), ("pep", pepper, "p ɛ p ɚ", 1.0), ("pepper", pepper, "p ɛ p ɚ", float("nan"))], schema)
     assert [r[0] for r in df.select(alignment.is_valid(*map(F.col, df.columns))).collect()] == [True, False, False]
-    assert df.select(alignment.projected_udf("word", "spans")["points"]).first()[0] == [3]
+    told = {
+        "modest": spans_of(("mo", "m ɑː"), ("de", "d ə"), ("st", "s t")), "modestly": spans_of(("mo", "m ɑː"), ("de", "d ə"), ("st", "s t"), ("ly", "ʎ i")), "pen": spans_of(("pe", "pʰ ɛ"), ("n", "n")),
+        "knife": spans_of(("kn", "n"), ("i", "aj"), ("f", "f"), ("e", "")), "penknife": spans_of(("pe", "pʰ ɛ"), ("n", "n"), ("kn", ""), ("i", "aj"), ("f", "f"), ("e", "")), "car": spans_of(("car", "k ɑ ɹ")),
+        "pet": spans_of(("pet", "p ɪ t")), "carpet": spans_of(("car", "k ɑ ɹ"), ("pet", "p ɪ t")), "cold": spans_of(("cold", "k ow l d")), "coldness": spans_of(("cold", "k ow l d"), ("ness", "n ə s")),
+        "coldly": spans_of(("cold", "k ow l d"), ("ly", "l i")), "gently": spans_of(("gent", "dʒ ɛ n t"), ("ly", "l i")), "percussion": percussion,
+    }
+    lexicon = spark.createDataFrame([(w, x, " ".join(p for _, ps in x for p in ps)) for w, x in told.items()], "word string, spans array<struct<spelling:string,phones:array<string>>>, phones string")
+    words = lexicon.select("word", F.split("phones", " ").alias("phones"))
+    assert {tuple(r) for r in alignment.seams(words, words).collect()} == {("modestly", 6), ("penknife", 3), ("coldly", 4)}
+    asked = spark.createDataFrame([(w,) for w in ("Penknife", "modestly", "percussion", "unknown", "caf\u00e9", "pen")], "word string")
+    found = {r.word: r.points for r in alignment.english_points(asked, lexicon).collect()}
+    assert found == {"Penknife": [3], "modestly": [2, 6], "percussion": None, "unknown": None, "caf\u00e9": None, "pen": []}
+    assert {r.word: r.points for r in alignment.english_points(asked, lexicon, asked.filter("word = 'pen'")).collect()}["modestly"] is None
+
+
