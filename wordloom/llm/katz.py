@@ -35,9 +35,9 @@ from wordloom.llm.common import release, saved, ship, small_batches
 U64 = np.uint64
 K, HOT = 5, 256
 #: Tokens in a bucket (about), tokens and documents after which a task sends what it has gathered.
-BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 4_000_000, 600_000, 60_000
-#: Bytes of text split at once, bytes (about) of a batch that a worker returns, histories merged at once.
-TEXT_BYTES, BATCH_BYTES, MERGE_HISTORIES = 500_000, 2_000_000, 700_000
+BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 3_000_000, 600_000, 60_000
+#: Bytes of text split at once, bytes (about) of a batch that a worker returns, rows of histories or documents merged at once.
+TEXT_BYTES, BATCH_BYTES, MERGE_ROWS = 500_000, 1_000_000, 300_000
 #: A bucket is worked off in 2 ** SLICE_BITS slices of its words, so that one slice's arrays are in memory at a time.
 SLICE_BITS = 4
 END, START = (vt.splitmix(np.array([x]))[0] for x in (424242, 434343))
@@ -312,6 +312,11 @@ def _document_sums(w, doc, c, count_w, count_p, uni: Unigrams) -> tuple[np.ndarr
     return _summed(doc.astype(U64), uni.base(count_w) * c, part * c, np.where(count_w > 0, c, 0), *classes)
 
 
+def _small(sums: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Document sums with counts of half the width."""
+    return (*sums[:3], *(x.astype(np.uint32) for x in sums[3:]))
+
+
 def _bucket(parts: list, uni: Unigrams, hot: Hot, groups: int):
     """kind, group, part: what one bucket of words knows of documents, histories and unseen pairs."""
     sums, histories, waiting = [], [], 0
@@ -320,11 +325,13 @@ def _bucket(parts: list, uni: Unigrams, hot: Hot, groups: int):
         if len(columns[0]):
             yield from _worked_off(columns, uni, hot, groups, sums, histories)
             waiting += len(histories[-1][0])
-        if waiting > MERGE_HISTORIES or k == (1 << SLICE_BITS) - 1:
+        del columns
+        if waiting > MERGE_ROWS or k == (1 << SLICE_BITS) - 1:
             yield from _history_rows(histories, hot, groups)
             histories, waiting = [], 0
-    doc, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
-    doc, base, known_part, known, *by_class = _summed(doc, *values)
+        if sum(len(x[0]) for x in sums[1:]) > MERGE_ROWS:
+            sums = [_small(_summed(*(np.concatenate(x) for x in zip(*sums, strict=True))))]
+    doc, base, known_part, known, *by_class = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
     group = (vt.splitmix(doc) % U64(groups)).astype(np.int64)
     for g, own in _by_group(group):
         yield DOC, g, _bytes(doc[own], base[own], known_part[own], known[own].astype("<u4"), np.concatenate([x[own] for x in by_class]).astype("<u4"))
@@ -366,7 +373,7 @@ def _worked_off(columns: list[np.ndarray], uni: Unigrams, hot: Hot, groups: int,
     c_pair = np.add.reduceat(learned, pair_at)
     count_w = np.repeat(c_word, np.diff(np.append(word_at, len(w))))
     count_p = np.repeat(c_pair, np.diff(np.append(pair_at, len(w))))
-    sums.append(_document_sums(w, d, c, count_w, count_p, uni))
+    sums.append(_small(_document_sums(w, d, c, count_w, count_p, uni)))
     own = c_pair > 0
     pair_h, pair_c, pair_p = h[pair_at][own], c_pair[own], uni.p(count_w[pair_at])[own]
     classes = [(pair_c == r).astype(np.int64) for r in range(1, K + 1)]
@@ -451,6 +458,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     summed = [*(f"c{r}" for r in range(1, K + 1)), "above", "mass"]
     few = found.filter(F.col("kind") == HOT_HISTORY).select("part").mapInArrow(unpacked, "h long, " + ", ".join(f"c{r} long" for r in range(1, K + 1)) + ", above double, mass double")
     few = few.groupBy("h").agg(*[F.sum(c).alias(c) for c in summed]).collect()  # at most HOT rows
+    release(spark)  # what the last job used is only let go when another has run
     hot_pair_p = uni.p(hot.word_counts(hot.pair_words))
     hist = np.concatenate([np.array([r["h"] for r in few], np.int64).view(U64), hot.pair_histories])
     parts = [np.concatenate([np.array([r[c] for r in few], float), x]) for c, x in zip(summed, [*((hot.pair_counts == r).astype(float) for r in range(1, K + 1)), np.where(hot.pair_counts > K, hot.pair_counts, 0).astype(float), hot_pair_p], strict=True)]
