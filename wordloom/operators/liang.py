@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as X
 
 
+#: Pattern rows and exceptions up to which a side is broadcast.
+SMALL = 200_000
+
+
 def fragments(words: DataFrame, longest: int, word: str = "word") -> DataFrame:
     """word, at, frag: all substrings of .word. of up to longest characters; at counts from 0."""
     padded = F.concat(F.lit("."), F.lower(word), F.lit("."))
@@ -16,21 +20,32 @@ def fragments(words: DataFrame, longest: int, word: str = "word") -> DataFrame:
     return rows.select(word, "at", F.explode(F.transform(sizes, lambda n: F.substring("_p", F.col("at") + 1, n))).alias("frag"))
 
 
+def possible_fragments(words: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
+    """word, at, frag: the substrings of .word. that have a first letter and a length of keys(frag)."""
+    sizes = keys.select("frag").distinct().groupBy(F.left("frag", F.lit(1)).alias("initial")).agg(F.collect_set(F.length("frag")).alias("sizes"))
+    padded = F.concat(F.lit("."), F.lower("word"), F.lit("."))
+    rows = words.select("word", padded.alias("_p"), F.explode(F.sequence(F.lit(0), F.length(padded) - 1)).alias("at"))
+    rows = rows.withColumn("initial", F.substring("_p", F.col("at") + 1, F.lit(1))).join(F.broadcast(sizes) if small else sizes, "initial")
+    fits = F.filter("sizes", lambda n: n <= F.length("_p") - F.col("at"))
+    return rows.select("word", "at", F.explode(F.transform(fits, lambda n: F.substring("_p", F.col("at") + 1, n))).alias("frag"))
+
+
 def break_points(words: DataFrame, weights: DataFrame, left: int = 2, right: int = 3, exceptions: DataFrame | None = None) -> DataFrame:
     """word, points of distinct words(word) under weights(frag, off, w) (LIA-1).
 
     A key found at i votes its digits at slots i + off; a slot's largest vote counts, odd ones break; listed exceptions replace
-    the patterns and obey the same margins. The fragments' cap is the longest key, so none is missed.
+    the patterns and obey the same margins. Only substrings that could be a key are cut out, so none is missed; pattern sets of
+    more than SMALL rows are joined by a shuffle.
     """
-    longest = weights.agg(F.coalesce(F.max(F.length("frag")), F.lit(1))).first()[0]
-    votes = fragments(words.select("word"), longest).join(F.broadcast(weights) if longest <= 64 else weights, "frag")  # a pattern set is small
+    small = weights.count() <= SMALL
+    votes = possible_fragments(words.select("word"), weights, small).join(F.broadcast(weights) if small else weights, "frag")
     slots = votes.groupBy("word", (F.col("at") + F.col("off")).alias("slot")).agg(F.max("w").alias("w")).filter(F.col("w") % 2 == 1)
     at = F.col("slot") - 1
     points = slots.filter((at >= F.greatest(F.lit(left), F.lit(1))) & (at <= F.length("word") - right)).groupBy("word").agg(F.array_sort(F.collect_list(at)).alias("points"))
     out = words.select("word").distinct().join(points, "word", "left").select("word", F.coalesce("points", F.array().cast("array<int>")).alias("points"))
     if exceptions is not None:
         listed = exceptions.select(F.col("word").alias("_w"), F.col("points").alias("_x"))
-        out = out.join(F.broadcast(listed), F.lower("word") == F.col("_w"), "left")
+        out = out.join(listed, F.lower("word") == F.col("_w"), "left")
         out = out.select("word", F.when(F.col("_x").isNotNull(), X.within(F.col("_x"), F.col("word"), left, right)).otherwise(F.col("points")).alias("points"))
     return out
 
@@ -77,6 +92,7 @@ def learn(targets: DataFrame, levels=LEVELS) -> DataFrame:
     slots = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("slot"), "points").filter(F.length("word") > 1)
     truth = slots.select("word", "slot", F.array_contains("points", F.col("slot")).alias("hyphen"))
     learned: DataFrame | None = None
+    held: DataFrame | None = None
     for level, (shortest, longest, good, bad, threshold) in enumerate(levels, 1):
         state = truth.withColumn("value", F.lit(0))
         if learned is not None:
@@ -93,6 +109,10 @@ def learn(targets: DataFrame, levels=LEVELS) -> DataFrame:
         kept = counted.filter((good * F.col("g") - bad * F.col("b") >= threshold) & (F.col("g") > 0)).select("frag", "off", F.lit(level).alias("w"))
         learned = kept if learned is None else learned.union(kept).groupBy("frag", "off").agg(F.max("w").alias("w"))
         learned = learned.persist()
+        learned.count()  # filled before the level that it stands on goes
+        if held is not None:
+            held.unpersist()
+        held = learned
     return learned
 
 

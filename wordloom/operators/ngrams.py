@@ -109,11 +109,11 @@ def binary_metrics(rows: DataFrame, actual: Column, flagged: Column) -> DataFram
 
 def readings(words: DataFrame, stems: DataFrame, endings: DataFrame) -> DataFrame:
     """word, stem, ending, language: a stem itself, else every cut with a listed ending and a stem that inflects (FOR-1)."""
-    whole = words.join(F.broadcast(stems), F.lower("word") == F.col("stem")).select("word", "stem", F.lit("").alias("ending"), "language")
+    whole = words.join(stems, F.lower("word") == F.col("stem")).select("word", "stem", F.lit("").alias("ending"), "language")
     cut = words.join(whole.select("word"), "word", "left_anti").filter(F.length("word") > 3)
     cut = cut.select("word", F.explode(F.sequence(F.lit(3), F.length("word") - 1)).alias("at"))
     cut = cut.select("word", F.substring(F.lower("word"), F.lit(1), F.col("at")).alias("stem"), F.substring(F.lower("word"), F.col("at") + 1, F.length("word")).alias("ending"))
-    return whole.union(cut.join(F.broadcast(endings), "ending").join(F.broadcast(stems.filter("inflects")), "stem").select("word", "stem", "ending", "language"))
+    return whole.union(cut.join(endings, "ending").join(stems.filter("inflects"), "stem").select("word", "stem", "ending", "language"))
 
 
 @F.udf(T.StringType(), useArrow=True)
