@@ -136,6 +136,61 @@ def test_katz(spark, sf, odd, nothing, monkeypatch):
     assert katz.score(nothing, held()).count() == 0
 
 
+def katz_of_any_order(rows, order):
+    """Recursive Katz probabilities over dictionaries of counts, straight from the definition."""
+    docs = [(i, [w.encode() for w in words(t, True)] + [None], i is not None and fold(i, 7) == 2) for i, t in rows]
+    padded = lambda t, at, k: tuple(t[j] if j >= 0 else "<s>" for j in range(at - k, at))
+    counts = [Counter() for _ in range(order)]
+    for i, t, held in docs:
+        if i is not None and not held:
+            for at, w in enumerate(t):
+                for k in range(order):
+                    counts[k][padded(t, at, k), w] += 1
+    d = [katz.discounts([sum(c == r for c in x.values()) for r in range(1, 7)]) for x in counts]
+    cut = lambda k, c: (d[k][c - 1] if c <= 5 else 1) * c
+    n = sum(counts[0].values())
+    unknown = 1 - sum(cut(0, c) for c in counts[0].values()) / n
+    after = defaultdict(list)
+    for k in range(1, order):
+        for (h, w), c in counts[k].items():
+            after[h].append((w, c))
+    total = {h: sum(c for _, c in x) + 1 for h, x in after.items()}
+
+    def p(h, w):
+        k = len(h)
+        if k == 0:
+            return cut(0, counts[0][h, w]) / n if counts[0][h, w] else unknown
+        if counts[k][h, w]:
+            return cut(k, counts[k][h, w]) / total[h]
+        return alpha(h) * p(h[1:], w)
+
+    def alpha(h):
+        if h not in after:
+            return 1.0
+        return (1 - sum(cut(len(h), c) for _, c in after[h]) / total[h]) / (1 - sum(p(h[1:], w) for w, _ in after[h]))
+
+    for h in [h for h in after if len(h) == order - 1][:5]:
+        assert math.isclose(sum(p(h, w) for w in [*{w for _, w in counts[0]}, "never"]), 1)
+    return {i: (len(t), sum(math.log10(p(padded(t, at, order - 1), w)) for at, w in enumerate(t))) for i, t, _ in docs}
+
+
+def test_katz_of_any_order(spark, odd):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    r = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in r.zipf(1.6, 60) if x < 50)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = {x.doc_id: x for x in katz.score(docs, held).collect()}
+    for order in (1, 2, 3, 4):
+        want = katz_of_any_order(rows, order)
+        for x in katz.score_by_tables(docs, held, order).collect():
+            assert (x.n_tokens, round(x.score, 6)) == (want[x.doc_id][0], round(want[x.doc_id][1], 6))
+            assert math.isclose(x.base_score, packed[x.doc_id].base_score) and x.n_known == packed[x.doc_id].n_known and x.train_tokens == packed[x.doc_id].train_tokens
+            assert order != 2 or math.isclose(x.score, packed[x.doc_id].score, rel_tol=1e-6)
+    assert katz.score(odd, held, 3).count() == odd.count() and katz.score(odd.limit(0), held, 3).count() == 0
+    with pytest.raises(ValueError):
+        katz.score(docs, held, 0)
+
+
 def jaccard_by_hand(rows):
     sets = []
     for _, t in rows:

@@ -1,4 +1,4 @@
-"""LM scoring by Katz backoff over bigrams.
+"""LM scoring by Katz backoff over n-grams: bigrams by packed tables, any order by relational ones.
 
 p(w | h) = d(c) c(h w) / (c(h) + 1) for bigrams seen in training, else alpha(h) p(w); p(w) = d'(c) c(w) / N for seen words, and what
 that leaves for the one unknown word. d and d' are Good-Turing discounts of counts up to K. The one in c(h) + 1 keeps mass for
@@ -398,8 +398,15 @@ def _factors(d: np.ndarray, classes: list[np.ndarray], above: np.ndarray, mass:
     return np.log10((count + 1 - taken) / np.maximum(1 - mass, 1e-300))
 
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, text); the others are learned from."""
+def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, text); the others are learned from.
+
+    order is the length of the longest n-grams; the packed tables below are those of bigrams.
+    """
+    if order < 1:
+        raise ValueError("n-grams have one word at least")
+    if order != 2:
+        return score_by_tables(docs, held_out, order)
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark, 1000)
@@ -514,3 +521,72 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     sums = sums.union(fixes.select("uid", none, none, none, F.lit(0).cast("long"), F.lit(0.0), F.col("fix")))
     out = sums.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("flag").alias("flag"), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("part").alias("score"))
     return out.select("doc_id", (F.col("flag") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _grams(docs: DataFrame, order: int) -> DataFrame:
+    """uid, doc_id, flag, w, h1 .. of every token: its word and its histories of 1 .. order - 1 words, as hashes."""
+    names = [f"h{k}" for k in range(1, order)]
+
+    def run(batches):
+        base, done = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            ids, held = batch.column("doc_id"), np.asarray(batch.column("held").to_numpy(zero_copy_only=False))
+            null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False))
+            for i, tokens, begin in _tokens(batch.column("text")):
+                size = np.diff(begin)
+                owner = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(tokens)) - begin[owner]
+                history, out = np.zeros(len(tokens), U64), []
+                for k in range(1, order):
+                    before = np.where(place >= k, tokens[np.maximum(np.arange(len(tokens)) - k, 0)], START)
+                    history = before if k == 1 else vt.splitmix(history + before * U64(2 * k + 1))
+                    out.append(pa.array(history.view(np.int64)))
+                flag = np.where(null, 2, held.astype(np.int64))[i : i + len(size)]
+                columns = [pa.array(base + done + owner), ids.take(pa.array(i + owner)), pa.array(flag[owner]), pa.array(tokens.view(np.int64)), *out]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "flag", "w", *names])
+                done += len(size)
+
+    return docs.select("doc_id", "text", "held").mapInArrow(run, "uid long, doc_id long, flag long, w long" + "".join(f", {h} long" for h in names))
+
+
+def score_by_tables(docs: DataFrame, held_out: Column, order: int) -> DataFrame:
+    """score() for n-grams of any order, over one table of counts and one of backoff weights for each length of history.
+
+    p(w | h) is looked up from the longest history down: where h w was seen its discounted share, else alpha(h) times
+    p(w | h without its first word); a history never seen has alpha 1.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    small_batches(spark, 1000)
+    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
+    tokens = saved(_grams(rows, order), "tokens")
+    train = tokens.filter("flag = 0")
+
+    def classes(table: DataFrame) -> list[int]:
+        by = {r["c"]: r["count"] for r in table.filter(F.col("c") <= K + 1).groupBy("c").count().collect()}
+        return [by.get(r, 0) for r in range(1, K + 2)]
+
+    words = saved(train.groupBy("w").agg(F.count("*").alias("c")), "unigrams")
+    total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = total["n"] or 0, total["v"]
+    uni = Unigrams(n, v, classes(words))
+    factor = lambda d: F.coalesce(F.get(F.array(*[F.lit(float(x)) for x in d]), F.col("c").cast("int") - 1), F.lit(1.0))
+    lower = words.select("w", (F.lit(uni.scale / max(n, 1)) * factor(uni.d) * F.col("c")).alias("p"))
+    known = words.select("w", F.lit(True).alias("known"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("base"))
+    out = tokens.join(known, "w", "left").join(lower.select("w", F.log10("p").alias("logp")), "w", "left")
+    out = out.withColumn("base", F.coalesce("base", F.log10(F.lit(1 / (n + v + 1))))).withColumn("logp", F.coalesce("logp", F.lit(math.log10(uni.unknown) if uni.unknown > 0 else 0.0)))
+    below = ["w"]
+    for k in range(1, order):
+        key = [f"h{k}", "w"]
+        # a history's shorter form is the same for all of its occurrences
+        counts = train.groupBy(*key).agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in below if c not in key])
+        counts = saved(counts, f"grams{k}")
+        sizes = counts.groupBy(f"h{k}").agg((F.sum("c") + 1).alias("total"))
+        seen = counts.join(sizes, f"h{k}").withColumn("own", factor(discounts(classes(counts))) * F.col("c") / F.col("total")).join(lower, below)
+        seen = saved(seen.select(*key, "own", "p"), f"shares{k}")
+        alpha = seen.groupBy(f"h{k}").agg(F.log10((1 - F.sum("own")) / F.greatest(1 - F.sum("p"), F.lit(1e-300))).alias("alpha"))
+        out = out.join(seen.select(*key, F.log10("own").alias("found")), key, "left").join(alpha, f"h{k}", "left")
+        out = out.withColumn("logp", F.coalesce("found", F.coalesce("alpha", F.lit(0.0)) + F.col("logp"))).drop("found", "alpha")
+        lower, below = seen.select(*key, F.col("own").alias("p")), key
+    out = out.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("flag").alias("flag"), F.count("*").alias("n_tokens"), F.count("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("logp").alias("score"))
+    return out.select("doc_id", (F.col("flag") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
