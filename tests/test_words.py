@@ -211,3 +211,51 @@ def test_alignment(spark):
     assert {r.word: r.points for r in alignment.english_points(asked, lexicon, asked.filter("word = 'pen'")).collect()}["modestly"] is None
 
 
+def test_keyed_paradigms(spark):
+    roots = spark.createDataFrame([("pekn", "pekný"), (None, "pekný"), ("x", "none")], "root string, pattern string")
+    forms = {r.key: r.form for r in grammar.keyed_paradigms(roots, grammar.adjective_table(spark)).collect()}
+    assert len(forms) == 36 and forms["m.anim.sg.nom"] == "pekný" and forms["f.sg.ins"] == "peknou" and forms["m.anim.pl.nom"] == "pekní"
+    soft = grammar.keyed_paradigms(roots.limit(1), grammar.adjective_table(spark), softens=True).filter("key = 'm.anim.sg.nom' or key = 'm.anim.pl.nom'").collect()
+    assert {r.form for r in soft} == {"pekňý", "pekní"}
+    verbs = grammar.keyed_paradigms(spark.createDataFrame([("vol", "volať")], "root string, pattern string"), grammar.verb_table(spark))
+    assert {r.form for r in verbs.collect()} >= {"volať", "volám", "volajú", "volala"}
+    active = grammar.participles(verbs.filter("key = 'pres.3pl'"), "c", "pekný", grammar.adjective_table(spark))
+    assert "volajúcou" in {r.form for r in active.collect()}
+    table = spark.createDataFrame([("ten", "toho"), ("ten", "tej"), ("oba", "oboch")], "lemma string, form string")
+    assert {tuple(r) for r in grammar.closed_class(spark.createDataFrame([("toho",), ("oboch",), ("dom",)], "word string"), table).collect()} == {("toho", "ten"), ("oboch", "oba")}
+
+
+def test_qu_and_outputs(spark):
+    assert prosody.syllables("qualita")[0] == ["qua", "li", "ta"] and prosody.syllables("Quido")[0] == ["Qui", "do"]
+    df = spark.createDataFrame([("qualita",), ("mama",), ("oko",)], "word string")
+    out = {r.word: r for r in prosody.public_output(df).collect()}
+    assert out["mama"].preferred == [2] and out["mama"].syllables == "ma·ma" and out["oko"].contextual == [1] and out["oko"].preferred == []
+    pairs = spark.createDataFrame([("krás", "ny"), ("krás", "ný"), ("pek", "ný"), ("", "")], "stem string, suffix string")
+    assert [r.violates for r in prosody.rhythmic_violations(pairs).collect()] == [False, True, False, None]
+
+
+def test_small_sources(spark, tmp_path):
+    from wordloom.operators import discovery
+    from wordloom.sources import texts
+
+    (tmp_path / "x.json").write_text('{"schema_version": 1, "first_members": [{"form": "auto", "kind": "bound"}, {"form": "foto", "kind": null}]}')
+    found = texts.json_inventory(spark, str(tmp_path / "x.json"), "schema_version int, first_members array<struct<form:string,kind:string>>", "first_members")
+    assert [tuple(r) for r in found.collect()] == [("auto", "bound"), ("foto", None)]
+    lines = texts.training_lines(spark.createDataFrame([("Mama", [2]), ("mama", [2]), ("vlk", [])], "word string, points array<int>"))
+    assert {r.value for r in lines.collect()} == {"ma-ma", "vlk"}
+    texts.write_lines(lines, str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["ma-ma", "vlk"]
+    rows = spark.createDataFrame([(x,) for x in "dcba"], "form string")
+    order = spark.createDataFrame([(3, "a"), (1, "c"), (2, "d"), (4, "c")], "position int, form string")
+    assert [r.form for r in texts.in_worklist_order(rows, order).collect()] == ["c", "d", "a"]
+    many = spark.range(100).withColumnRenamed("id", "k")
+    block = sorted(r.k for r in discovery.contiguous_block(many, 10, "seed", "k").collect())
+    assert block == list(range(block[0], block[0] + 10)) and block != sorted(r.k for r in discovery.contiguous_block(many, 10, "other", "k").collect())
+    assert discovery.contiguous_block(many, 200, "seed", "k").count() == 100
+    nouns, verbs = spark.createDataFrame([("dom", "dom"), ("dom", "dom")], "word string, lemma string"), spark.createDataFrame([("volať",)], "word string")
+    assert {tuple(r) for r in discovery.lexicon_evidence({"nouns": nouns, "names": None, "verbs": verbs}).collect()} == {("dom", "dom", "nouns"), ("volať", None, "verbs")}
+    entries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "entry_id int, raw_text string")
+    variants = spark.createDataFrame([(1, "dokt-or", "doktor"), (1, "dokt-or", "doktor")], "entry_id int, notation string, surface string")
+    spans = spark.createDataFrame([(2, "doktor", "root"), (2, "doktor", "root"), (1, "doktor", "root"), (3, "doktor", "other")], "entry_id int, surface string, role string")
+    exact, spanned = discovery.role_lookup(entries, variants, spans, "doktor", "root")
+    assert [tuple(r) for r in exact.collect()] == [(1, "a", "dokt-or")] and {tuple(r) for r in spanned.collect()} == {(1, "a", "dokt-or"), (2, "b", None)}

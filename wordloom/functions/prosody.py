@@ -10,7 +10,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ STOPS = frozenset("ptkbdg") | {"ť", "ď"}
 NONSYLLABIC = ("rdie", "rmuc", "rmút", "rv", "lst", "lž", "ln", "lh")
 # End of fixed values.
 
-_PHONEME = re.compile(P.PHONEME.replace("(?s).", "."), re.S)
+_PHONEME = re.compile("qu|" + P.PHONEME.replace("(?s).", "."), re.S)  # qu is one consonant (SYL-7)
 _VOWEL_LIKE = frozenset(P.VOWEL_LIKE)
 _LETTERS = frozenset(P.NATIVE_LETTERS) | frozenset(P.FOREIGN_VOWELS) | frozenset(P.FOREIGN_CONSONANTS) | {"q", "w"}
 _TWINS = str.maketrans(P.FOREIGN_CONSONANTS)
@@ -82,7 +82,7 @@ def written_breaks(unit: str) -> list[int]:
 
 def written_points(unit: Column) -> Column:
     """The same points as a column expression (DIV-5): for each two neighbouring nuclei, by the sounds between them."""
-    sounds = P.phonemes(unit)
+    sounds = F.regexp_extract_all(F.lower(unit), F.lit(f"qu|{P.PHONEME}"), F.lit(0))
     start = lambda k: F.length(F.array_join(F.slice(sounds, F.lit(1), k), ""))
     found = P.nuclei(sounds)
     silent = (F.get(found, F.lit(0)) == 0) & F.lower(unit).rlike(f"^(?:{'|'.join(NONSYLLABIC)})")
@@ -144,6 +144,24 @@ def division(word: str | None, seams: list[int] | None = None) -> tuple[list[int
     return sorted(found - set(contextual)), sorted(variant - set(contextual)), contextual, None
 
 
+def public_output(words: DataFrame) -> DataFrame:
+    """word with all that division and syllables say of it (ST-6)."""
+    rows = words.select("word").distinct().withColumn("d", division_udf("word", F.array().cast("array<int>"))).withColumn("s", syllables_udf("word"))
+    every = F.array_sort(F.array_distinct(F.concat("d.preferred", "d.variant")))
+    return rows.select("word", "d.preferred", every.alias("permissive"), F.array_sort(F.concat("d.preferred", "d.contextual")).alias("contextual"), F.coalesce("d.error", "s.error").alias("error"), F.array_join("s.syllables", "·").alias("syllables"))
+
+
+def rhythmic_violations(pairs: DataFrame) -> DataFrame:
+    """stem, suffix, violates of pairs(stem, suffix): whether two neighbouring syllables of the word are long (PHT-2).
+
+    Null where the word has no syllables.
+    """
+    rows = pairs.select("stem", "suffix", syllables_udf(F.concat("stem", "suffix"))["syllables"].alias("_s"))
+    long = F.transform("_s", P.is_long_syllable)
+    both = F.exists(F.arrays_zip(F.slice(long, 1, F.size(long)).alias("a"), F.slice(long, 2, F.size(long)).alias("b")), lambda x: F.coalesce(x["a"] & x["b"], F.lit(False)))
+    return rows.select("stem", "suffix", F.when(F.size("_s") > 0, both).alias("violates"))
+
+
 def viterbi(word: str, cost: dict[str, float], total: float, longest: int = 12) -> list[str]:
     """Cheapest segmentation into morphs (MOR-18): known ln T - ln n, unknown (length + 1) ln 66 + ln T."""
     best: list[tuple[float, int]] = [(0.0, 0)]

@@ -124,6 +124,34 @@ def batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
     return numbered.withColumn("batch_id", F.floor(F.col("_n") / size) + 1).withColumn("position", F.col("_n") % size + 1).drop("_n", "_range", "_r", "_ahead")
 
 
+def contiguous_block(rows: DataFrame, size: int, seed: str, *order: str) -> DataFrame:
+    """size neighbouring rows in a total order, from a place that a seed chooses (WN-7); all rows if they are fewer."""
+    numbered = batches(rows, 1, *order).withColumn("_n", F.col("batch_id") - 1).drop("batch_id", "position")
+    n = rows.count()
+    first = F.pmod(F.xxhash64(F.lit(seed)), F.lit(max(1, n - size + 1)))
+    return numbered.filter((F.col("_n") >= first) & (F.col("_n") < first + size)).drop("_n")
+
+
+def lexicon_evidence(tables: dict[str, DataFrame | None]) -> DataFrame:
+    """word, lemma, source of whichever lexicon tables there are, each row once; a missing column is null (FLT-13)."""
+    kept = []
+    for name, t in tables.items():
+        if t is not None:
+            column = lambda c, t=t: (F.col(c) if c in t.columns else F.lit(None)).cast("string").alias(c)
+            kept.append(t.select(column("word"), column("lemma"), F.lit(name).alias("source")))
+    out = kept[0]
+    for t in kept[1:]:
+        out = out.unionByName(t)
+    return out.filter("word is not null").dropDuplicates()
+
+
+def role_lookup(entries: DataFrame, variants: DataFrame, spans: DataFrame, surface: str, role: str) -> tuple[DataFrame, DataFrame]:
+    """Entries with a variant of a surface form, and entries with a span of it in a role, with their variants if any (JN-3)."""
+    exact = entries.join(variants.filter(F.col("surface") == surface), "entry_id").select("entry_id", "raw_text", "notation").distinct()
+    found = spans.filter((F.col("role") == role) & (F.col("surface") == surface)).select("entry_id").distinct()
+    return exact, found.join(entries.select("entry_id", "raw_text"), "entry_id", "left").join(variants.select("entry_id", "notation"), "entry_id", "left").distinct()
+
+
 def submission_problems(items: DataFrame, answers: DataFrame) -> DataFrame:
     """position, problem of a batch's answers: missing, unexpected, another form (AUD-6, AI-1); empty means complete."""
     rows = items.select("position", F.col("form").alias("a")).join(answers.select("position", F.col("form").alias("b")), "position", "full")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
@@ -114,3 +114,25 @@ def append_unseen(forms: DataFrame, tokens: DataFrame) -> DataFrame:
 def first_seen(rows: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key in the given order (DD-2)."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def json_inventory(spark: SparkSession, path: str, schema: str, rows: str) -> DataFrame:
+    """The rows of an array field of one JSON document, read whole by a schema; other fields are dropped (SRC-10)."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", schema)[rows]).alias("r")).select("r.*")
+
+
+def training_lines(rows: DataFrame) -> DataFrame:
+    """value: dictionary lines of rows(word, points) for a pattern learner, hyphens at points, each once (SNK-5); written by write_lines."""
+    return rows.select(X.hyphenate(F.lower("word"), F.col("points"), "-").alias("value")).distinct()
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One sorted text file a partition; an existing folder is an error (SNK-5)."""
+    lines.orderBy("value").write.mode("errorifexists").text(path)
+
+
+def in_worklist_order(rows: DataFrame, upload: DataFrame, key: str = "form") -> DataFrame:
+    """Rows of a worklist(position, key) in its order, which replaces their own (SO-3); the first position of a key counts."""
+    first = upload.groupBy(key).agg(F.min("position").alias("position"))
+    return rows.join(first, key).orderBy("position")
