@@ -259,3 +259,23 @@ def test_small_sources(spark, tmp_path):
     spans = spark.createDataFrame([(2, "doktor", "root"), (2, "doktor", "root"), (1, "doktor", "root"), (3, "doktor", "other")], "entry_id int, surface string, role string")
     exact, spanned = discovery.role_lookup(entries, variants, spans, "doktor", "root")
     assert [tuple(r) for r in exact.collect()] == [(1, "a", "dokt-or")] and {tuple(r) for r in spanned.collect()} == {(1, "a", "dokt-or"), (2, "b", None)}
+
+
+def test_seams_from_lexicons(spark):
+    from wordloom.operators import morphology as M
+
+    one = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    words = one("word", "odísť", "podzemie", "neohraničený", "viacfarebný", "krátkosti", "mama", "rozum", "Bezohľadný", "trikrát")
+    prefixes, stems = one("prefix", "od", "pod", "ne", "o", "bez", "roz"), one("stem", "ísť", "zem", "hranič", "ohraničený", "ohľad")
+    found = [M.prefix_seams(words, prefixes, stems), M.compound_seams(words, one("form", "viac", "krátko"), one("stem", "fareb", "zrak")), M.suffix_seams(words, one("suffix", "krát", "sti", "ti"), one("stem", "tri"))]
+    at = {r.word: r.seams for r in M.seams(words, found, spark.createDataFrame([("rozum", [])], "word string, seams array<int>")).collect()}
+    assert at == {"odísť": [2], "podzemie": [3], "neohraničený": [2, 3], "viacfarebný": [4], "krátkosti": [], "mama": [], "rozum": [], "Bezohľadný": [3], "trikrát": [3]}
+    out = {r.word: r for r in M.divided(words, M.seams(words, found)).collect()}
+    cut = lambda w: "·".join(w[a:b] for a, b in zip([0, *out[w].preferred], [*out[w].preferred, len(w)], strict=True))
+    assert [cut(w) for w in ("odísť", "podzemie", "viacfarebný", "trikrát", "mama")] == ["od·ísť", "pod·ze·mie", "viac·fa·reb·ný", "tri·krát", "ma·ma"]
+    shapes = one("t", "strom", "ák", "ktk", "rvt", "")
+    assert [r[0] for r in shapes.select(M.starts_like_a_word(F.col("t"))).collect()] == [False, True, False, False, True]
+    price = M.priced({"po": 50, "učka": 20, "mama": 5})
+    rows = spark.createDataFrame([("poučka", 2), ("poučka", 3), ("mama", 2), ("", 0)], "w string, k int").select(price("w", "k").alias("v")).collect()
+    assert rows[0].v.prefers and rows[0].v.cuts and not rows[1].v.prefers and not rows[1].v.cuts and not rows[2].v.prefers and rows[3].v is None
+    assert abs(rows[2].v.price - (math.log(75) - math.log(5)) / 4) < 1e-9
