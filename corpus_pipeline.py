@@ -1,4 +1,13 @@
-"""The training-text pipeline over documents: toxicity, quality rules, near duplicates, mixing, BPE."""
+"""The training-text pipeline over documents: toxicity, quality rules, near duplicates, mixing, BPE.
+
+Every stage works on all that the one before kept; all but the last return the columns of documents, whatever they are called.
+
+Defined cases: a null or empty text is not toxic, fails the base of the quality rules and so goes there, as texts of fewer than
+50 words do; rows with a null doc_id are judged like others, never learned from and never near duplicates of a row that has
+one; of rows with one id and text one stays; a null source is a source of its own, the last; a document of a source without
+words cannot reach mixing; of equal texts the smallest doc_id stays; empty tables give no rows; tables without labels learn
+nothing, and only fixed words and base counts decide. The last stage returns doc_id, n_tokens and the digests of ids and text.
+"""
 
 from __future__ import annotations
 
