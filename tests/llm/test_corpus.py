@@ -344,5 +344,38 @@ def test_empty_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns, from end to end."""
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(4, 1, 0, "x"), (5, 0, 0, None), (6, 0, 1, None), (11, 0, 1, None), (None, 0, 1, None), (7, None, None, None), (9, 7, 7, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, kept string").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.saved(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == odd.columns
+        left = docs.collect()
+        if name == "toxicity":
+            assert not any(r.doc_id == 11 for r in left)
+        if name == "quality_rules":
+            # texts of fewer than 50 words, null and empty ones among them, and such as repeat themselves go
+            assert all(r.text and len(words(r.text)) >= 50 for r in left)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == docs.count()
+
+
+def test_shared_folder_of_a_cluster():
+    from types import SimpleNamespace
+
+    from wordloom.llm import common
+
+    unset = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    context = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+    with pytest.raises(ValueError):
+        common.shared_dir(context("yarn"))
+    with pytest.raises(ValueError):
+        common.shared_dir(context("local-cluster[2,1,1024]"))
+    assert common.shared_dir(context("local[2]"))
+
+
 def test_schema_of_odd_rows_has_clashing_names():
     assert {"n", "size", "score", "cid", "kept", "evidence"} <= {x.split()[0] for x in SCHEMA.split(", ")}
