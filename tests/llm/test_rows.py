@@ -230,6 +230,23 @@ def test_bpe_equals_the_library():
         assert codec.decode(np.array(x, np.int64)) == tokenizer.decode(x, skip_special_tokens=False)
 
 
+def test_bpe_of_long_words():
+    import time
+
+    tokenizer = Tokenizer.from_file(PATH)
+    codec, ids = bpe.codec(PATH)
+    r = random.Random(5)
+    word = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    given = [word(bpe.LONG + k, letters) for k in (1, 2, 777) for letters in ("a", "ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "éßæ")]
+    given += [f"{word(3000, 'abc')} short {word(5000, 'xyz')}", "x" * 9001, "ab" * 4001 + "c"]
+    assert [x.tolist() for x in encode_texts(pa.array(given), ids, codec.end_id)] == [e.ids for e in tokenizer.encode_batch(given, add_special_tokens=False)]
+    long = word(400_000, "abcdefghijklmnopqrstuvwxyz")
+    begin = time.process_time()
+    found = codec.encode_words([long.encode(), b"ab"])
+    assert time.process_time() - begin < 60
+    assert found[0][: found[1][0]].tolist() == tokenizer.encode(long, add_special_tokens=False).ids and found[1][1] == len(tokenizer.encode("ab").ids)
+
+
 def test_bpe_query_and_odd_rows(spark, sf, odd, nothing):
     tokenizer = Tokenizer.from_file(PATH)
     for docs in (spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), odd):

@@ -3,7 +3,8 @@
 Symbols of many words lie in one flat array. A round forms all neighbouring pairs, finds their ranks by binary search over
 the sorted pair keys, takes each word's lowest rank and merges that pair everywhere in the word, left to right. A merge's
 product only occurs in pairs of higher rank, so this equals merging one occurrence at a time. Words that have no pair left
-drop out. Distinct pre-tokens are encoded once and held in a bounded cache.
+drop out. Distinct pre-tokens are encoded once and held in a bounded cache. A word of more than LONG bytes has rounds of its own,
+which look only at the places of the lowest rank.
 
 Defined cases: null text counts as empty (no ids, empty decoded text); texts of any length are encoded whole; the vocabulary's
 special token in a text is one id, as the library does; rows pass one by one, so repeated rows, null ids and ties need no
@@ -13,6 +14,7 @@ rule; an empty table gives no rows; other columns pass unused.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -23,6 +25,9 @@ from pyspark.sql import types as T
 from wordloom.llm.common import ship, small_batches
 from wordloom.llm.pretokens import END_OF_TEXT, Ids, encode_texts, spread, stash
 
+#: Bytes from which a word is encoded on its own.
+LONG = 2_000
+
 
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself where printable, else the next code points from 256 on."""
@@ -58,6 +63,70 @@ class Bpe:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each word has."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._encode_short(words)
+        own = {i: self._encode_long(words[i]) for i in long}
+        ids, sizes = self._encode_short([b"" if i in own else w for i, w in enumerate(words)])
+        ends = np.cumsum(sizes)
+        parts, at = [], 0
+        for i in long:
+            parts += [ids[at : ends[i]], own[i]]
+            at, sizes[i] = ends[i], len(own[i])
+        return np.concatenate([*parts, ids[at:]]), sizes
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of symbols; the number of merges where there is none."""
+        key = left * self.n + right
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.ranks[i], len(self.ranks))
+
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: a round takes all places of the lowest rank, and only their neighbours get new ranks."""
+        symbols = self.first[np.frombuffer(word, np.uint8)]
+        n, none = len(symbols), len(self.ranks)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.append(self._ranks(symbols[:-1], symbols[1:]), none)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def queue(at: np.ndarray) -> None:
+            at = at[rank[at] < none]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            cut = np.flatnonzero(np.append(True, np.diff(rank[at]) != 0)) if len(at) else []
+            for a, b in zip(cut, [*cut[1:], len(at)], strict=False):
+                r = int(rank[at[a]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(at[a:b])
+
+        queue(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # in a run of overlapping pairs every second one counts
+            run = np.append(True, after[at[:-1]] != at[1:])
+            place = np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]
+            at = at[place % 2 == 0]
+            gone = after[at]
+            symbols[at], alive[gone] = self.made[r], False
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            changed = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            rank[changed] = none
+            paired = changed[after[changed] < n]
+            rank[paired] = self._ranks(symbols[paired], symbols[after[paired]])
+            queue(paired)
+        return symbols[alive]
+
+    def _encode_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done_at, done = [], []
