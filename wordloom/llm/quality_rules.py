@@ -35,32 +35,34 @@ def let(value: Column, use) -> Column:
 
 
 def _repeated(h: Column) -> Column:
-    """Words inside 3-word windows that occur at least twice; h: the words' hashes."""
-    window = lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))
-    places = F.sequence(F.lit(0), F.size(h) - 3)
+    """Words inside 3-word windows that occur at least twice; h: the words' hashes.
+
+    Texts whose windows all differ, which most do, are told apart by counting distinct windows; only the others are sorted.
+    """
     low = F.lit((1 << _PLACE_BITS) - 1).cast("long")
-    # part of the hash and the place in one number: sorting brings windows that may be equal together
-    packed = F.sort_array(F.transform(places, lambda i: window(i).bitwiseAND(F.lit(-1 << _PLACE_BITS).cast("long")).bitwiseOR(i.cast("long"))))
     head = lambda x: F.shiftright(x, _PLACE_BITS)
     beside = lambda s, same: F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
-    maybe = let(packed, lambda s: beside(s, lambda x, y: head(x) == head(y)))
-    # then whole hashes decide
-    full = F.array_sort(F.transform(maybe, lambda x: let(x.bitwiseAND(low).cast("int"), lambda i: F.struct(window(i).alias("w"), i.alias("i")))))
-    sure = let(full, lambda s: beside(s, lambda x, y: x["w"] == y["w"]))
-    at = F.sort_array(F.transform(sure, lambda x: x["i"]))
-    gaps = let(at, lambda p: F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))))
-    return F.when(F.size(h) >= 4, F.aggregate(gaps, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("long")
-
 
-def statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """docs with the counts that the rules use; keep: columns that stay."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.translate(text, SPACES, "")
-    trimmed = F.btrim(text, F.lit(SPACES))
-    split = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    without = lambda chars: F.length(bare) - F.length(F.translate(bare, chars, ""))
-    numbers = lambda h, x: F.struct(
+    def counted(w: Column) -> Column:
+        # part of the hash and the place in one number: sorting brings windows that may be equal together
+        packed = F.sort_array(F.transform(w, lambda x, i: x.bitwiseAND(F.lit(-1 << _PLACE_BITS).cast("long")).bitwiseOR(i.cast("long"))))
+        maybe = let(packed, lambda s: beside(s, lambda x, y: head(x) == head(y)))
+        # then whole hashes decide
+        full = F.array_sort(F.transform(maybe, lambda x: let(x.bitwiseAND(low).cast("int"), lambda i: F.struct(F.get(w, i).alias("w"), i.alias("i")))))
+        sure = let(full, lambda s: beside(s, lambda x, y: x["w"] == y["w"]))
+        at = F.sort_array(F.transform(sure, lambda x: x["i"]))
+        gaps = let(at, lambda p: F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))))
+        return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+
+    windows = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+    some = let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(counted(w)))
+    return F.when(F.size(h) >= 4, some).otherwise(0).cast("long")
+
+
+def _counts(h: Column, x: Column, bare: Column, few: Column) -> Column:
+    """The counts of a text from its words' hashes, its lines, its letters in words and those of them that are no small letters."""
+    without = lambda chars: F.length(few) - F.length(F.translate(few, chars, ""))
+    return F.struct(
         F.size(h).cast("long").alias("n_words"),
         F.length(bare).cast("long").alias("word_chars"),
         without("#*$%&|<>").cast("long").alias("n_symbols"),
@@ -72,7 +74,19 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
         without(".,;:!?").cast("long").alias("_stops"),
         without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("_capitals"),
     )
-    found = let(F.transform(split, lambda w: F.xxhash64(w)), lambda h: let(lines, lambda x: numbers(h, x)))
+
+
+def statistics(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs with the counts that the rules use; keep: columns that stay."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    bare = F.translate(text, SPACES, "")
+    trimmed = F.btrim(text, F.lit(SPACES))
+    split = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    # what is counted are no small letters: without those, little is left to look through
+    few = lambda b: F.translate(b, "abcdefghijklmnopqrstuvwxyz", "")
+    hashes = F.transform(split, lambda w: F.xxhash64(w))
+    found = let(hashes, lambda h: let(lines, lambda x: let(bare, lambda b: let(few(b), lambda c: _counts(h, x, b, c)))))
     # a generator: the optimiser copies none of its columns into later filters and projections
     rows = docs.select(*keep, F.inline(F.array(found)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
