@@ -35,9 +35,9 @@ from wordloom.llm.common import release, saved, ship, small_batches
 U64 = np.uint64
 K, HOT = 5, 256
 #: Tokens in a bucket (about), tokens and documents after which a task sends what it has gathered.
-BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 3_000_000, 600_000, 60_000
+BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 4_500_000, 500_000, 60_000
 #: Bytes of text split at once, bytes (about) of a batch that a worker returns, rows of histories or documents merged at once.
-TEXT_BYTES, BATCH_BYTES, MERGE_ROWS = 500_000, 1_000_000, 300_000
+TEXT_BYTES, BATCH_BYTES, MERGE_ROWS = 500_000, 1_000_000, 400_000
 #: A bucket is worked off in 2 ** SLICE_BITS slices of its words, so that one slice's arrays are in memory at a time.
 SLICE_BITS = 4
 END, START = (vt.splitmix(np.array([x]))[0] for x in (424242, 434343))
@@ -113,10 +113,11 @@ def _arrays(raw, *kinds: str) -> list[np.ndarray]:
 
 PAIRS = ("<u8", "<u4", "<u8", "<u4", "<u2", "<u1", "<u1", "<i8")
 #: Kinds of packed rows.
-DOC, HISTORY, UNSEEN, TYPES, META, PART, HOT_HISTORY, HOT_UNSEEN = range(8)
+DOC, HISTORY, UNSEEN, TYPES, META, PART, HOT_HISTORY, HOT_UNSEEN, FIX = range(9)
 DOC_KINDS = ("<u8", "<f8", "<f8", "<u4", "<u4")
 HISTORY_KINDS = ("<u8", "<u4", "<f8", "<f4")
 UNSEEN_KINDS = ("<u8", "<u8", "<u4")
+META_KINDS = ("<u8", "<i8", "<u1", "<i8")
 ROWS = "kind int, group long, part binary"
 
 
@@ -197,8 +198,10 @@ def _pairs(docs: DataFrame, buckets: int, uni: Unigrams, hot: Hot) -> DataFrame:
         def send():
             n, uid = len(held), base + docs_done
             flags = np.array(held, "<u1")
-            at_home = int(vt.splitmix(np.array([uid]))[0] % U64(buckets))
-            yield META, at_home, _bytes(np.array(ids, "<i8"), flags, np.array(sizes, "<i8"), np.array([uid], "<i8"))
+            own = (np.arange(n) + uid).astype(U64)
+            meta = (own, np.array(ids, "<i8"), flags, np.array(sizes, "<i8"))
+            for g, at in _by_group(_home(own, buckets)):
+                yield META, g, _bytes(*(x[at] for x in meta))
             w, h, d = (np.concatenate(x) for x in (words, before, owner))
             for x in (words, before, owner):
                 x.clear()
@@ -212,11 +215,10 @@ def _pairs(docs: DataFrame, buckets: int, uni: Unigrams, hot: Hot) -> DataFrame:
             if both.any():
                 w1, h1, d1, c1 = w[both], h[both], d[both] + uid, count[both]
                 count_p = hot.of_pairs(w1, h1)
-                doc, *sums = _document_sums(w1, d1, c1, hot.word_counts(w1), count_p, uni)
-                yield DOC, at_home, _bytes(doc, sums[0], sums[1], sums[2].astype("<u4"), np.concatenate(sums[3:]).astype("<u4"))
+                yield from _document_rows(_document_sums(w1, d1, c1, hot.word_counts(w1), count_p, uni), buckets)
                 miss = count_p == 0
                 if miss.any():
-                    yield HOT_UNSEEN, at_home, _bytes(h1[miss], d1[miss].astype(U64), c1[miss].astype("<u4"))
+                    yield HOT_UNSEEN, int(_home(own[:1], buckets)[0]), _bytes(h1[miss], d1[miss].astype(U64), c1[miss].astype("<u4"))
                 w, h, d, count, is_hot = w[~both], h[~both], d[~both], count[~both], is_hot[~both]
             # counts over 255 become several entries
             times = (count + 254) // 255
@@ -312,6 +314,17 @@ def _document_sums(w, doc, c, count_w, count_p, uni: Unigrams) -> tuple[np.ndarr
     return _summed(doc.astype(U64), uni.base(count_w) * c, part * c, np.where(count_w > 0, c, 0), *classes)
 
 
+def _home(doc: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document."""
+    return (vt.splitmix(doc) % U64(groups)).astype(np.int64)
+
+
+def _document_rows(sums: tuple[np.ndarray, ...], groups: int):
+    doc, base, known_part, known, *by_class = sums
+    for g, own in _by_group(_home(doc, groups)):
+        yield DOC, g, _bytes(doc[own], base[own], known_part[own], known[own].astype("<u4"), np.concatenate([x[own] for x in by_class]).astype("<u4"))
+
+
 def _small(sums: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     """Document sums with counts of half the width."""
     return (*sums[:3], *(x.astype(np.uint32) for x in sums[3:]))
@@ -331,10 +344,7 @@ def _bucket(parts: list, uni: Unigrams, hot: Hot, groups: int):
             histories, waiting = [], 0
         if sum(len(x[0]) for x in sums[1:]) > MERGE_ROWS:
             sums = [_small(_summed(*(np.concatenate(x) for x in zip(*sums, strict=True))))]
-    doc, base, known_part, known, *by_class = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
-    group = (vt.splitmix(doc) % U64(groups)).astype(np.int64)
-    for g, own in _by_group(group):
-        yield DOC, g, _bytes(doc[own], base[own], known_part[own], known[own].astype("<u4"), np.concatenate([x[own] for x in by_class]).astype("<u4"))
+    yield from _document_rows(_summed(*(np.concatenate(x) for x in zip(*sums, strict=True))), groups)
 
 
 def _by_group(group: np.ndarray):
@@ -472,10 +482,15 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
     hist, *parts = _summed(hist, *parts)
     hot_known, hot_factor = hist, _factors(d, parts[:K], parts[K], parts[K + 1]) if len(hist) else np.zeros(0)
 
-    def fixed(hist, factor, h, doc, c) -> pa.RecordBatch:
+    def fixed(hist, factor, unseen: list):
+        """Documents' corrections for unseen pairs, by document group."""
+        if not unseen:
+            return
+        h, doc, c = (np.concatenate(x) for x in zip(*unseen, strict=True))
         i = np.minimum(np.searchsorted(hist, h), max(len(hist) - 1, 0))
         doc, fix = _summed(doc, np.where(hist[i] == h, factor[i], 0.0) * c if len(hist) else np.zeros(len(h)))
-        return pa.RecordBatch.from_arrays([pa.array(doc.view(np.int64)), pa.array(fix)], ["uid", "fix"])
+        for g, at in _by_group(_home(doc, buckets)):
+            yield FIX, g, _bytes(doc[at], fix[at])
 
     def by_history(batches):
         # a partition holds one group
@@ -489,38 +504,53 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
             classes = np.concatenate([x[1].reshape(K, -1) for x in held[HISTORY]], axis=1).astype(np.int64)
             hist, above, mass, *classes = _summed(hist, above, mass, *classes)
             factor = _factors(d, classes, above, mass)
-        for part in held[UNSEEN]:
-            yield fixed(hist, factor, *part)
+        yield from _batches(fixed(hist, factor, held[UNSEEN]))
 
     def by_hot_history(batches):
+        held, size = [], 0
         for batch in batches:
             for part in batch.column(0):
-                yield fixed(hot_known, hot_factor, *_arrays(part.as_buffer(), *UNSEEN_KINDS))
-
-    fixes = found.filter(F.col("kind").isin(HISTORY, UNSEEN)).repartitionById(buckets, F.col("group").cast("int")).mapInArrow(by_history, "uid long, fix double")
-    fixes = fixes.union(found.filter(F.col("kind") == HOT_UNSEEN).select("part").mapInArrow(by_hot_history, "uid long, fix double"))
+                held.append(_arrays(part.as_buffer(), *UNSEEN_KINDS))
+                size += len(held[-1][0])
+                if size > MERGE_ROWS:
+                    yield from _batches(fixed(hot_known, hot_factor, held))
+                    held, size = [], 0
+        yield from _batches(fixed(hot_known, hot_factor, held))
+
+    fixes = found.filter(F.col("kind").isin(HISTORY, UNSEEN)).repartitionById(buckets, F.col("group").cast("int")).mapInArrow(by_history, ROWS)
+    fixes = fixes.union(found.filter(F.col("kind") == HOT_UNSEEN).select("part").mapInArrow(by_hot_history, ROWS))
     start = -math.log10(train_docs + 1) if train_docs else 0.0
     log_d = np.log10(d * np.arange(1, K + 1))
 
     def by_document(batches):
+        # a partition holds one group of documents
+        meta, sums = [], []
         for batch in batches:
-            for kind, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for kind, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 raw = part.as_buffer()
                 if kind == META:
-                    ids, flags, sizes, uid = _arrays(raw, "<i8", "<u1", "<i8", "<i8")
-                    none = np.zeros(len(ids))
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[0] + np.arange(len(ids))), pa.array(ids, mask=flags == 2), pa.array(flags.astype(np.int64)), pa.array(sizes), pa.array(none.astype(np.int64)), pa.array(none), pa.array(none + start)], ["uid", "doc_id", "flag", "n", "known", "base", "part"])
+                    meta.append(_arrays(raw, *META_KINDS))
+                elif kind == FIX:
+                    doc, fix = _arrays(raw, "<u8", "<f8")
+                    sums.append((doc, np.zeros(len(doc)), fix, np.zeros(len(doc), np.int64)))
                 else:
-                    uid, base, known_part, known, classes = _arrays(raw, *DOC_KINDS)
-                    part = known_part + log_d @ classes.reshape(K, -1)
-                    null = pa.nulls(len(uid), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(uid.view(np.int64)), null, null, null, pa.array(known.astype(np.int64)), pa.array(base), pa.array(part)], ["uid", "doc_id", "flag", "n", "known", "base", "part"])
-
-    sums = found.filter(F.col("kind").isin(DOC, META)).select("kind", "part").mapInArrow(by_document, "uid long, doc_id long, flag long, n long, known long, base double, part double")
-    none = F.lit(None).cast("long")
-    sums = sums.union(fixes.select("uid", none, none, none, F.lit(0).cast("long"), F.lit(0.0), F.col("fix")))
-    out = sums.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("flag").alias("flag"), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("part").alias("score"))
-    return out.select("doc_id", (F.col("flag") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+                    doc, base, known_part, known, classes = _arrays(raw, *DOC_KINDS)
+                    sums.append((doc, base, known_part + log_d @ classes.reshape(K, -1), known.astype(np.int64)))
+            if sum(len(x[0]) for x in sums[1:]) > MERGE_ROWS:
+                sums = [_summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))]
+        if not meta:
+            return
+        uid, ids, flags, sizes = (np.concatenate(x) for x in zip(*meta, strict=True))
+        doc, base, part, known = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+        at = np.searchsorted(doc, uid)  # every document has an end token, and so a sum
+        for a in range(0, len(uid), 20_000):
+            own = slice(a, a + 20_000)
+            k = at[own]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own], mask=flags[own] == 2), pa.array(flags[own] == 1), pa.array(sizes[own]), pa.array(known[k]), pa.array(base[k]), pa.array(part[k] + start)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    parts = found.filter(F.col("kind").isin(DOC, META)).union(fixes).repartitionById(buckets, F.col("group").cast("int"))
+    out = parts.mapInArrow(by_document, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _grams(docs: DataFrame, order: int) -> DataFrame:
