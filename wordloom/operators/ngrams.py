@@ -38,24 +38,43 @@ def family_bucket(word: Column, salt: str) -> Column:
     return F.when(n < 70, "train").when(n < 85, "calibration").otherwise("test")
 
 
+def _languages(rows: DataFrame) -> list[str]:
+    return sorted(r["lang"] for r in rows.select("lang").filter("lang is not null").distinct().collect())  # one row a language
+
+
 def router_weights(types: DataFrame) -> DataFrame:
     """gram, lang, weight: additive log probabilities of grams that occur LEAST times in all (LNG-11, AG-5).
 
-    A language's total counts all its grams, also the rare ones that get no weight.
+    A language's total counts all its grams, also the rare ones that get no weight. A gram's counts of all languages stand in
+    one row, so one exchange does.
     """
-    counted = types.select("lang", F.explode(grams(F.col("word"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
-    totals = counted.groupBy("lang").agg(F.sum("c").alias("n"))
-    kept = counted.groupBy("gram").agg(F.sum("c").alias("all")).filter(F.col("all") >= LEAST).select("gram")
-    cells = kept.crossJoin(F.broadcast(totals))  # one row a language
-    cells = cells.join(counted, ["gram", "lang"], "left")
-    weight = F.log((F.coalesce("c", F.lit(0)) + ALPHA) / (F.col("n") + 2 * ALPHA))
-    return cells.select("gram", "lang", F.round(weight, 6).alias("weight"))
+    langs = _languages(types)
+    if not langs:
+        return types.select(F.lit("").alias("gram"), "lang", F.lit(0.0).alias("weight")).limit(0)
+    own = [f"c{i}" for i in range(len(langs))]
+    rows = types.select("lang", F.explode(grams(F.col("word"))).alias("gram"))
+    counted = rows.groupBy("gram").agg(*[F.count_if(F.col("lang") == x).alias(c) for c, x in zip(own, langs, strict=True)])
+    totals = counted.agg(*[F.sum(c).alias(f"n{c}") for c in own])
+    kept = counted.filter(sum((F.col(c) for c in own), F.lit(0)) >= LEAST).crossJoin(F.broadcast(totals))  # one row
+    weight = lambda c: F.round(F.log((F.col(c) + ALPHA) / (F.col(f"n{c}") + 2 * ALPHA)), 6)
+    cells = F.array(*[F.struct(F.lit(x).alias("lang"), weight(c).alias("weight")) for c, x in zip(own, langs, strict=True)])
+    return kept.select("gram", F.explode(cells).alias("x")).select("gram", "x.lang", "x.weight")
 
 
 def router_scores(words: DataFrame, weights: DataFrame) -> DataFrame:
-    """word, lang, score of distinct words: sums over all grams with their repeats; words without a known gram have no row (LNG-1)."""
-    rows = words.select("word", F.explode(grams(F.lower("word"))).alias("gram")).join(weights, "gram")
-    return rows.groupBy("word", "lang").agg(F.round(F.sum(F.col("weight").cast("decimal(18,6)")), 6).cast("double").alias("score"))
+    """word, lang, score of distinct words: sums over all grams with their repeats; words without a known gram have no row (LNG-1).
+
+    A gram's weights of all languages are joined as one row.
+    """
+    langs = _languages(weights)
+    if not langs:
+        return words.select("word", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score")).limit(0)
+    own = [f"w{i}" for i in range(len(langs))]
+    wide = weights.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("weight").cast("decimal(18,6)"))).alias(c) for c, x in zip(own, langs, strict=True)])
+    rows = words.select("word", F.explode(grams(F.lower("word"))).alias("gram")).join(wide, "gram")
+    sums = rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in own])
+    cells = F.array(*[F.struct(F.lit(x).alias("lang"), F.round(c, 6).cast("double").alias("score")) for c, x in zip(own, langs, strict=True)])
+    return sums.select("word", F.explode(cells).alias("x")).select("word", "x.lang", "x.score").filter("score is not null")
 
 
 def detected(scores: DataFrame, margin: float = 0.0) -> DataFrame:
