@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import vectext as vt
-from wordloom.llm.common import release, saved, ship, small_batches
+from wordloom.llm.common import give_back, release, saved, ship, small_batches
 
 U64 = np.uint64
 K, HOT = 5, 256
 #: Tokens in a bucket (about), tokens and documents after which a task sends what it has gathered.
-BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 4_500_000, 500_000, 60_000
+BUCKET_TOKENS, SEND_TOKENS, SEND_DOCS = 3_500_000, 400_000, 60_000
 #: Bytes of text split at once, bytes (about) of a batch that a worker returns, rows of histories or documents merged at once.
 TEXT_BYTES, BATCH_BYTES, MERGE_ROWS = 500_000, 1_000_000, 400_000
 #: A bucket is worked off in 2 ** SLICE_BITS slices of its words, so that one slice's arrays are in memory at a time.
@@ -95,6 +95,7 @@ def _unigrams(docs: DataFrame) -> DataFrame:
                 words, counts, waiting = [], [], 0
         if words:
             yield rows()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -261,6 +262,7 @@ def _pairs(docs: DataFrame, buckets: int, uni: Unigrams, hot: Hot) -> DataFrame:
                     held, ids, sizes, tokens_held = [], [], [], 0
         if held:
             yield from _batches(send())
+        give_back()
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, ROWS)
 
@@ -449,6 +451,8 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
                     yield _batch([(kind, g, part.as_buffer().to_pybytes())])
         if parts:
             yield from _batches(_bucket(parts, uni, hot, buckets))
+        parts.clear()
+        give_back()
 
     found = saved(pairs.mapInArrow(by_word, ROWS), "katz")
     del pairs
@@ -505,6 +509,8 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
             hist, above, mass, *classes = _summed(hist, above, mass, *classes)
             factor = _factors(d, classes, above, mass)
         yield from _batches(fixed(hist, factor, held[UNSEEN]))
+        held.clear()
+        give_back()
 
     def by_hot_history(batches):
         held, size = [], 0
