@@ -5,6 +5,10 @@ blocks. Each id takes the fewest bits that the vocabulary needs, lowest bit firs
 range of ids is unpacked by numpy from the blocks it touches. Documents are laid out in ascending doc_id order over shards
 (ranges of ids), containers and places; containers are rows of a Parquet folder, which every store that Spark writes can hold.
 
+The tokenizers library encodes each distinct pre-token once. Where pre-tokens begin is found by numpy, by the library's pattern;
+tests hold the ids against the library's encoding of whole texts, so an upgrade that changes the pattern shows there. The last
+offsets are summed over one row a shard (SHARD_DOCS documents) in one task.
+
 Defined cases: null text counts as empty and holds only the end id; rows with a null doc_id come first; repeated ids lie side
 by side, ordered by their text's hash; texts of any length stay in one container; an empty table gives an empty folder and no rows;
 other columns are ignored.
