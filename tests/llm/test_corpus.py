@@ -191,7 +191,7 @@ def test_katz_of_any_order(spark, odd):
         katz.score(docs, held, 0)
 
 
-def jaccard_by_hand(rows):
+def jaccard_by_hand(rows, percent=80):
     sets = []
     for _, t in rows:
         w = words(t, True)
@@ -205,7 +205,7 @@ def jaccard_by_hand(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 group[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
@@ -243,6 +243,50 @@ def test_jaccard_families(spark):
     assert kept == {c for _, _, c in jaccard_by_hand(rows)}
 
 
+@pytest.mark.parametrize("percent", [45, 60, 95])
+def test_jaccard_of_other_limits(spark, percent):
+    r = np.random.default_rng(percent)
+    rows = []
+    for f in range(8):
+        text = [f"w{x}" for x in r.integers(0, 5000, 40)]
+        for k in range(14):
+            rows.append((100 * f + k, " ".join(text)))
+            text = list(text)
+            text[r.integers(len(text))] = f"w{r.integers(5000)}"
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
+    assert Counter(tuple(x) for x in found.collect()) == jaccard_by_hand(rows, percent)
+
+
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """Near copies by the thousand, some linked with few others or none, met in many blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 64)
+    r = np.random.default_rng(12)
+    base, rows = [f"b{i}" for i in range(110)], []
+    for i in range(1600):
+        text = list(base)
+        for _ in range(r.integers(0, 7)):
+            text[r.integers(len(text))] = f"e{r.integers(40)}"
+        rows.append((i, " ".join(text)))
+    rows += [(5000 + i, " ".join(f"x{k}" for k in r.integers(0, 9000, 60))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    there = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        there[i, [number[x] for x in s]] = 1
+    both, size = there @ there.T, there.sum(axis=1)
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    root = np.arange(len(sets))
+    while True:
+        least = np.array([root[linked[i]].min() for i in range(len(sets))])
+        if (least[least] == root).all():
+            break
+        root = least[least]
+    want = {rows[i][0]: rows[root[i]][0] for i in range(len(rows))}
+    assert {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(docs).collect()} == want
+    assert 100 < len(set(want.values()) - {i for i, _ in rows[1600:]}) < 1500
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (200, 150)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
