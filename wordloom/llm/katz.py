@@ -101,10 +101,16 @@ def _unigrams(docs: DataFrame) -> DataFrame:
 
 
 def _bytes(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays)
+    """Arrays as one compressed string, after its size."""
+    raw = np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _arrays(raw, *kinds: str) -> list[np.ndarray]:
+def _opened(packed: pa.Buffer) -> pa.Buffer:
+    return pa.decompress(packed.slice(8), int.from_bytes(packed.slice(0, 8).to_pybytes(), "little"), "zstd")
+
+
+def _views(raw: pa.Buffer, *kinds: str) -> list[np.ndarray]:
     sizes, at, out = np.frombuffer(raw, "<i8", len(kinds)), 8 * len(kinds), []
     for n, kind in zip(sizes, kinds, strict=True):
         out.append(np.frombuffer(raw, kind, int(n), at))
@@ -112,6 +118,10 @@ def _arrays(raw, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _arrays(packed: pa.Buffer, *kinds: str) -> list[np.ndarray]:
+    return _views(_opened(packed), *kinds)
+
+
 PAIRS = ("<u8", "<u4", "<u8", "<u4", "<u2", "<u1", "<u1", "<i8")
 #: Kinds of packed rows.
 DOC, HISTORY, UNSEEN, TYPES, META, PART, HOT_HISTORY, HOT_UNSEEN, FIX = range(9)
@@ -297,7 +307,7 @@ class Unigrams:
 
 def _slice(raw, k: int) -> tuple[np.ndarray, ...]:
     """Word, history, document, count and fold flag of a part's entries whose words fall in slice k."""
-    word, per_word, h, per_pair, d, c, flags, place = _arrays(raw, *PAIRS)
+    word, per_word, h, per_pair, d, c, flags, place = _views(raw, *PAIRS)
     a, b = (int(np.searchsorted(word, U64(x << (64 - SLICE_BITS)))) if x < 1 << SLICE_BITS else len(word) for x in (k, k + 1))
     p0 = int(per_word[:a].sum(dtype=np.int64))
     p1 = p0 + int(per_word[a:b].sum(dtype=np.int64))
@@ -446,7 +456,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
         for batch in batches:
             for kind, g, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if kind == PART:
-                    parts.append(part.as_buffer())
+                    parts.append(_opened(part.as_buffer()))
                 else:
                     yield _batch([(kind, g, part.as_buffer().to_pybytes())])
         if parts:
