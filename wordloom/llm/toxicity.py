@@ -219,18 +219,41 @@ def _found(texts: list[str | None], only: dict[str, int] | None):
                 yield u, words[i - 1] if i else "", w, words[i + 1] if i + 1 < len(words) else ""
 
 
-def _bounds(rows: DataFrame, only: dict[str, int] | None) -> DataFrame:
-    """unit, most, least: bounds of the number of its different contexts in rows(text), from those of every batch."""
-    kind = "string" if only is None else "long"
+def _bounds(rows: DataFrame) -> DataFrame:
+    """unit, most: no unit of rows(text) has more different contexts; sums over batches."""
 
     def run(batches):
         for batch in batches:
-            count: dict = {}
-            for u, *_ in set(_found(batch.column(0).to_pylist(), only)):
+            count: dict[str, int] = {}
+            for u, *_ in set(_found(batch.column(0).to_pylist(), None)):
                 count[u] = count.get(u, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string() if only is None else pa.int64()), pa.array(list(count.values()), pa.int64())], ["unit", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["unit", "n"])
 
-    return rows.select("text").mapInArrow(run, f"unit {kind}, n long").groupBy("unit").agg(F.sum("n").alias("most"), F.max("n").alias("least"))
+    return rows.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("most"))
+
+
+def _ruled_out(rows: DataFrame, only: dict[str, int], limits: list[float]) -> DataFrame:
+    """unit (by number): those with more different contexts in rows(text) than their limit, as far as single tasks can tell."""
+
+    def run(batches):
+        seen: dict[int, set[int]] = {}
+        out: set[int] = set()
+        for batch in batches:
+            before = len(out)
+            new = []
+            for u, *at in _found(batch.column(0).to_pylist(), only):
+                if u not in out:
+                    own = seen.setdefault(u, set())
+                    own.add(hash(tuple(at)))
+                    if len(own) > limits[u]:
+                        # a unit is followed no further than to its limit
+                        out.add(u)
+                        del seen[u]
+                        new.append(u)
+            if len(out) > before:
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64())], ["unit"])
+
+    return rows.select("text").mapInArrow(run, "unit long").distinct()
 
 
 def _contexts(rows: DataFrame, only: dict[str, int]) -> DataFrame:
@@ -260,11 +283,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     parts = max(1, round(usable.count() / SAMPLE_ROWS))
     chosen = lambda df: df.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(parts)) == 0)
     rows = saved(chosen(docs.select("doc_id", "text")).join(F.broadcast(chosen(usable)), "doc_id").select("text", "toxic"), "labelled")  # about SAMPLE_ROWS
-    most = {r["unit"]: r["most"] for r in _bounds(rows.filter("toxic = 1"), None).filter(F.col("most") >= CONTEXTS).collect()}  # units of the sample
+    most = {r["unit"]: r["most"] for r in _bounds(rows.filter("toxic = 1")).filter(F.col("most") >= CONTEXTS).collect()}  # units of the sample
     named = sorted(most)
     if named:
-        least = {named[r["unit"]]: r["least"] for r in _bounds(rows.filter("toxic = 0"), {u: i for i, u in enumerate(named)}).collect()}
-        named = [u for u in named if most[u] >= SHARE * (most[u] + least.get(u, 0))]
+        limits = [most[u] * (1 - SHARE) / SHARE for u in named]
+        gone = {r["unit"] for r in _ruled_out(rows.filter("toxic = 0"), {u: i for i, u in enumerate(named)}, limits).collect()}
+        named = [u for i, u in enumerate(named) if i not in gone]
     bad: dict[str, int] = {}
     good: dict[str, int] = {}
     for r in _contexts(rows, {u: i for i, u in enumerate(named)}).collect() if named else []:
