@@ -287,6 +287,35 @@ def test_jaccard_of_a_large_group(spark, monkeypatch):
     assert 100 < len(set(want.values()) - {i for i, _ in rows[1600:]}) < 1500
 
 
+def test_jaccard_of_phrases_shared_by_chance(spark, monkeypatch):
+    """Phrases that unrelated texts share, and no sample shows, bring sets to no more regions as a table grows."""
+    monkeypatch.setattr(jaccard_join, "COMMON_IN_SAMPLE", 10**6)
+    joined, met = jaccard_join._joined, []
+
+    def seen(own, guests, *rest):
+        if guests is None:
+            met.append((own.count(), own.select("cid").distinct().count()))
+        return joined(own, guests, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_joined", seen)
+    r = np.random.default_rng(3)
+    rows = []
+    for f in range(60):
+        for k in range(4):
+            text, size = [f"f{f}w{i}" for i in range(400)], r.integers(1, 20)
+            at = r.integers(0, 380)
+            text[at : at + size] = [f"f{f}k{k}w{i}" for i in range(size)]
+            for x in r.choice(120, 6, replace=False):
+                text += [f"x{x}w{i}" for i in range(5)]
+            rows.append((100 * f + k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = jaccard_by_hand(rows)
+    assert Counter(tuple(x) for x in jaccard_join.jaccard_components(docs).collect()) == want
+    assert 60 < len({c for _, _, c in want}) < 240
+    [(members, classes)] = met
+    assert classes > 60 and members < 2 * classes
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (200, 150)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -18,7 +18,9 @@ of equal sets, in rounds over the classes that are still open:
    distances to the pivot differ by at most r.
 4. Recursion. Classes with a region have then met all their partners and leave; the others get new pivots, for as long as a
    fifth of them finds a region. What is left lies in no ball: there the classes that share anchors with the same smallest
-   class form a region, and all pairs across components meet inside it.
+   class form a region, and all pairs across components meet inside it. Linked classes share more than (1 - r - (1 - r - c)) n
+   anchors, n the smaller size; so each may leave out regions to which anchors below half that number bring it. Anchors shared by
+   chance, which every class has more of the larger the table is, bring it nowhere then.
 
 Inside a region classes meet in blocks of bounded number and bytes: a pair of blocks is compared at once, first by sizes, roots,
 distances to the pivot and counts of shingles in SLOTS hash classes (which bound the distance from below: SLOTS disjoint
@@ -35,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import vectext as vt
-from wordloom.llm.common import saved, ship, small_batches
+from wordloom.llm.common import release, saved, ship, small_batches
 from wordloom.llm.components import components
 
 U64 = np.uint64
@@ -47,6 +49,8 @@ U64 = np.uint64
 BROADCAST_IDS = 2_000_000
 #: Documents sampled to find common shingles, how often one must occur among them, and how many are listed at most.
 SAMPLE_DOCS, COMMON_IN_SAMPLE, COMMON_MOST = 16_000, 3, 65_536
+#: Anchors are dealt out by hash and meet in so many turns, and only the shuffle files of one turn are on disk.
+TURNS = 4
 #: Hash classes whose counts bound a distance; classes and bytes (about) in a block.
 SLOTS, BLOCK_CLASSES, BLOCK_BYTES = 256, 256, 1_000_000
 
@@ -198,6 +202,17 @@ def _meeting(rows: DataFrame) -> DataFrame:
     return rows.groupBy("anchor").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("anchor")
 
 
+def _members(spread: DataFrame) -> DataFrame:
+    """The distinct rows of spread(anchor, cid, n) at anchors where different classes meet."""
+    found = None
+    for turn in range(TURNS):
+        part = spread.filter(F.pmod("anchor", F.lit(TURNS)) == turn)
+        part = saved(part.join(_meeting(part), "anchor").distinct(), "members")
+        release(spread.sparkSession)
+        found = part if found is None else found.union(part)
+    return found
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text); links need 100 * intersection >= percent * union."""
     spark = docs.sparkSession
@@ -206,10 +221,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     common = _common(docs, width)
     order = np.argsort(common)
     held = spark.sparkContext.broadcast((common[order], order))  # at most COMMON_MOST values
+    release(spark)
     scan = saved(_scan(docs, width, percent, held), "jaccard")
     classes = scan.filter("n > 0").groupBy(_cid().alias("cid")).agg(F.min("doc_id").alias("first"))
     spread = scan.filter("n > 0").select(F.explode("anchors").alias("anchor"), _cid().alias("cid"), "n")
-    members = saved(spread.join(_meeting(spread), "anchor").distinct(), "members")
+    members = _members(spread)
     # a partner has at least t n shingles, and so shares at least _needed(t n) anchors
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 16)
     able = members.groupBy("cid", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("cid")
@@ -217,12 +233,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     members = members.join(_meeting(members), "anchor")
     able = members.groupBy("cid", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("cid")
     wanted = saved(able, "wanted")
+    release(spark)
     ids = saved(wanted.join(classes, "cid").select(F.col("first")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     again = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     cover = min(100 - percent, percent // 2)
     sets = _set_table(again, width, percent - cover, held).join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
-    roots = _link(saved(sets, "sets"), percent, cover)
+    sets = saved(sets, "sets")
+    release(spark)
+    roots = _link(sets, percent, cover)
+    release(spark)
 
     named = classes
     if roots is not None:
@@ -267,13 +287,17 @@ def _alike(percent: int):
     return F.least("np", "nx") * 100 >= F.greatest("np", "nx") * percent
 
 
-def _blocks(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """p, block, name: a region's members(p, cid, root, d) with their sets, in blocks of bounded number and bytes."""
+def _dealt(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """p, cid, root, d, block, blocks: a region's members(p, cid, root, d) dealt out to blocks of bounded number and bytes."""
     sized = members.join(sets.select("cid", "n"), "cid")
     total = sized.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
+    return sized.join(total, "p").select("p", "cid", "root", "d", F.pmod(F.xxhash64("cid", F.lit(name)), F.col("blocks")).alias("block"), "blocks")
+
+
+def _blocks(dealt: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """p, block, name: members dealt out to blocks, with their sets."""
     # blocks are numbered before sets are fetched, and a region's blocks are built by different tasks
-    dealt = sized.join(total, "p").select("p", "cid", "root", "d", F.pmod(F.xxhash64("cid", F.lit(name)), F.col("blocks")).alias("block"))
-    dealt = dealt.join(sets.select("cid", "n", "counts", "shingles"), "cid").repartition("p", "block")
+    dealt = dealt.select("p", "cid", "root", "d", "block").join(sets.select("cid", "n", "counts", "shingles"), "cid").repartition("p", "block")
     row = F.struct("cid", "root", "n", "d", "counts", "shingles")
     return dealt.groupBy("p", "block").agg(F.sort_array(F.collect_list(row)).alias(name))
 
@@ -319,12 +343,6 @@ def _met(one: _Block, two: _Block, reach: float, percent: int, same: bool) -> li
 
 def _joined(own: DataFrame, guests: DataFrame | None, sets: DataFrame, reach: float, percent: int) -> DataFrame:
     """a, b: links within regions, of own(p, cid, root, d) with guests, or of own with own where guests is None."""
-    one = _blocks(own, sets, "own")
-    two = (one if guests is None else _blocks(guests, sets, "guests")).toDF("p", "other", "guests")
-    pairs = one.join(two, "p")
-    if guests is None:
-        pairs = pairs.filter("block <= other")
-    same = F.col("block") == F.col("other") if guests is None else F.lit(False)
 
     def run(batches):
         last, held = None, None
@@ -336,7 +354,21 @@ def _joined(own: DataFrame, guests: DataFrame | None, sets: DataFrame, reach: fl
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    return saved(pairs.select("p", "block", same.alias("same"), "own", "guests").mapInArrow(run, "a long, b long"), "links")
+    met = lambda pairs, same: saved(pairs.select("p", "block", same.alias("same"), "own", "guests").mapInArrow(run, "a long, b long"), "links")
+    mine = _dealt(own, sets, "own")
+    if guests is not None:
+        two = _blocks(_dealt(guests, sets, "guests"), sets, "guests").toDF("p", "other", "guests")
+        return met(_blocks(mine, sets, "own").join(two, "p"), F.lit(False))
+    # nearly all regions are one block, which needs no partner and so no further shuffle of sets
+    mine = saved(mine, "dealt")
+    alone = _blocks(mine.filter("blocks = 1"), sets, "own")
+    links = met(alone.withColumn("guests", F.slice("own", 1, 0)), F.lit(True))
+    large = mine.filter("blocks > 1")
+    if not large.limit(1).count():
+        return links
+    one = _blocks(large, sets, "own")
+    pairs = one.join(one.toDF("p", "other", "guests"), "p").filter("block <= other")
+    return met(pairs, F.col("block") == F.col("other")).union(links)
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -350,6 +382,23 @@ def _roots(links: DataFrame) -> DataFrame:
     return saved(first.join(over, "a").select(F.col("a").alias("node"), F.least("root", "far").alias("root")), "roots")
 
 
+def _led(rows: DataFrame) -> DataFrame:
+    """p, cid, shared: at how many anchors of a class in rows(cid, anchor) another, or itself, is the smallest class."""
+    low = rows.groupBy("anchor").agg(F.min("cid").alias("p"))
+    return rows.join(low, "anchor").groupBy("p", "cid").agg(F.count("*").alias("shared"))
+
+
+def _needful(led: DataFrame, sets: DataFrame, percent: int, sight: int) -> DataFrame:
+    """p, cid of led(p, cid, shared) without regions that classes can miss, those first to which the fewest anchors bring them.
+
+    With similarities t = percent % and s = sight %, linked classes share more than (t - s) m anchors, m the smaller size. A class of n
+    shingles leaves out (t - s) t n / 2 anchors at most, two linked ones (t - s) m: one anchor at least brings both to one region.
+    """
+    w = Window.partitionBy("cid").orderBy("shared", "p").rowsBetween(Window.unboundedPreceding, 0)
+    held = led.join(sets.select("cid", "n"), "cid").withColumn("out", F.sum("shared").over(w))
+    return held.filter(F.col("out") * 20_000 > F.col("n") * ((percent - sight) * percent)).select("p", "cid")
+
+
 def _link(sets: DataFrame, percent: int, cover: int) -> DataFrame | None:
     """Component roots of the classes in sets(cid, n, shingles, counts, anchors); None if there are none."""
     reach, cover, tiny = 1 - percent / 100, cover / 100, 1e-9
@@ -358,18 +407,22 @@ def _link(sets: DataFrame, percent: int, cover: int) -> DataFrame | None:
     # partners share at least so many anchors; one that shares fewer with all classes has none
     least = F.ceil(F.col("n") * percent / 100) - F.ceil(F.col("n") * sight / 100) + 1
     able = rows.join(_meeting(rows), "anchor").groupBy("cid", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("cid")
+    able = saved(able, "able")
+    release(sets.sparkSession)
     rows = rows.join(able, "cid", "left_semi").select("cid", "anchor")
     links = roots = None
     more = True
     while True:
         rows = saved(rows.join(_meeting(rows), "anchor"), "open")
-        led = rows.join(rows.groupBy("anchor").agg(F.min("cid").alias("p")), "anchor").select("p", "cid").distinct()
-        led = saved(led, "led")
+        release(sets.sparkSession)
+        led = saved(_led(rows), "led")
+        release(sets.sparkSession)
         left = rows.select("cid").distinct().count()
         if not left:
             break
         if not more:
-            named = led if roots is None else led.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+            named = _needful(led, sets, percent, sight)
+            named = named if roots is None else named.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
             named = named.select("p", "cid", (F.lit(None).cast("long") if roots is None else F.col("root")).alias("root"), F.lit(0.0).alias("d")).withColumn("root", F.coalesce("root", "cid"))
             mixed = named.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("p")
             links = _joined(named.join(mixed, "p", "left_semi"), None, sets, reach, percent).union(links)
@@ -387,6 +440,7 @@ def _link(sets: DataFrame, percent: int, cover: int) -> DataFrame | None:
         guests = guests.join(of("cid"), "cid", "left").join(of("p"), "p", "left")
         guests = guests.select("p", "cid", F.coalesce("root_cid", "cid").alias("root"), F.coalesce("root_p", "p").alias("root_p"), "d").filter("root <> root_p").drop("root_p")
         guests = saved(guests, "guests")
+        release(sets.sparkSession)
         own = close.select(F.col("home").alias("p"), "cid", F.col("dh").alias("d")).join(roots.withColumnRenamed("node", "cid"), "cid").select("p", "cid", "root", "d").join(guests.select("p").distinct(), "p", "left_semi")
         links = links.union(_joined(own, guests, sets, reach, percent))
         more = close.count() * 5 >= left
