@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import re
-import shutil
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.session import ship  # noqa: F401
+from wordloom.session import saved, shared_dir, ship  # noqa: F401
 
 #: Characters that end a word, for ``translate`` and for Java regular expressions.
 SPACES = " \t\n\x0b\f\r"
@@ -24,26 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local runs; a cluster must set it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="wordloom-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows and bytes of an Arrow batch, and so a Python worker's memory; a longer row makes a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -9,6 +9,7 @@ from wordloom.functions import phonology as P
 from wordloom.functions import text as X
 from wordloom.operators import changes, console, discovery, foreign, ngrams, review
 from wordloom.plans.queries import RAW, TYPES, _raw_forms, _table, _types, query
+from wordloom.session import saved
 from wordloom.sources import texts
 from wordloom.streaming import events as streams
 
@@ -18,9 +19,8 @@ POINTS = "list_filter(range(1, length(word)), lambda p: substr(word, p, 1) in ('
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     """word and a point behind every plain vowel but a last one: given divisions for operators that take them."""
-    places = F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1)))
-    behind = F.filter(places, lambda p: (p < F.length("word")) & F.substring("word", p, F.lit(1)).isin("a", "e", "i", "o", "u"))
-    return _types(spark, d).select("word").distinct().withColumn("p", behind)
+    behind = F.transform(F.split("word", ""), lambda x, i: F.when((i + 1 < F.length("word")) & x.isin("a", "e", "i", "o", "u"), i + 1))
+    return _types(spark, d).select("word").withColumn("p", F.array_compact(behind))
 
 
 def _marked(points: str, word: str = "word") -> str:
@@ -60,8 +60,9 @@ def full_language_names(spark: SparkSession, d: str) -> DataFrame:
     union all select word, 'order' from e where length(word) % 5 = 0 and list_sort(list_distinct(list_reverse(after))) <> list_reverse(after) union all select word, 'repeated' from e where length(word) = 4""")
 def snapshot_problems(spark: SparkSession, d: str) -> DataFrame:
     """Transitions that do not add up, and points out of range, out of order or repeated (ST-4, ST-5)."""
-    rows = _words(spark, d).filter(F.size("p") > 0)
-    rows = rows.withColumn("after", F.array_sort(F.array_distinct(F.concat(F.slice("p", 2, F.size("p")), F.when(F.length("word") % 3 == 0, F.array(F.length("word"))).otherwise(F.array(F.lit(1)))))))
+    rows = _words(spark, d).withColumn("after", F.array_sort(F.array_distinct(F.concat(F.slice("p", 2, F.size("p")), F.when(F.length("word") % 3 == 0, F.array(F.length("word"))).otherwise(F.array(F.lit(1)))))))
+    # saved, as each problem's condition would be pushed down to all tokens, and its branch would read all documents
+    rows = saved(rows, "snapshot").filter(F.size("p") > 0)
     wrong = changes.wrong_transitions(rows.select(F.col("word").alias("form"), F.col("p").alias("before"), "after", F.slice("p", 1, 1).alias("remove"), F.array(F.lit(1)).alias("add")))
     points = F.when(F.length("word") % 5 == 0, F.reverse("after")).otherwise(F.col("after"))
     snapshot = rows.select(F.col("word").alias("form"), points.alias("points"))
