@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wordloom.functions import text as X
 from wordloom.plans import more_queries  # noqa: F401  (registers its queries)
 from wordloom.plans import queries as plans
 
@@ -17,3 +18,17 @@ def reads_documents(df) -> bool:
 def test_snapshot_problems_rest_on_saved_words(spark, sf):
     found = plans.QUERIES["snapshot_problems"](spark, sf)
     assert not reads_documents(found) and found.filter(F.col("problem") == "transition").count() > 0
+
+
+def test_division_columns_are_computed_once(spark):
+    """A word of 300 points: computed at every use, its offsets are of the fourth power."""
+    form = "ba" * 300
+    row = spark.createDataFrame([(form, list(range(2, 600, 2)))], "word string, p array<int>")
+    w = F.col("word")
+    out = row.select(X.offsets_of(X.hyphenate(w, F.col("p"))).alias("o"), X.recase(X.parts_of(w, F.col("p")), F.upper(w)).alias("r")).withColumn("plan", F.lit(0))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(p#") == 2  # the ends of the parts, once for each of the two columns
+    found = out.first()
+    assert found.o == list(range(2, 600, 2)) and found.r == "·".join(["BA"] * 300)
+    odd = spark.createDataFrame([("", []), (None, [1]), ("žaba", [2]), ("a", None)], "word string, p array<int>")
+    assert [tuple(r) for r in odd.select(X.hyphenate(w, F.col("p")), X.offsets_of(X.hyphenate(w, F.col("p"))), X.recase(X.parts_of(w, F.col("p")), F.upper(w))).collect()] == [("", [], ""), ("", [], ""), ("ža·ba", [2], "ŽA·BA"), (None, None, None)]

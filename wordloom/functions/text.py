@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ MARK = "·"
 LANGUAGES = {"en": "english", "de": "german", "fr": "french", "sk": "slovak"}
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once; a column used twice, or inside a lambda, is computed at every use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens in order (SRC-3)."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -72,9 +78,8 @@ def parse_marked(form: Column, typed: Column) -> Column:
 
 def offsets_of(marked: Column) -> Column:
     """Offsets of the marks of a dotted form."""
-    parts = F.split(marked, MARK)
-    sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.length(x))
-    return F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x))
+    marks = F.array_compact(F.transform(F.split(marked, ""), lambda x, i: F.when(x == MARK, i)))
+    return F.transform(marks, lambda at, i: at - i)
 
 
 def within(points: Column, form: Column, left: int = 1, right: int = 1) -> Column:
@@ -86,8 +91,9 @@ def within(points: Column, form: Column, left: int = 1, right: int = 1) -> Colum
 
 def parts_of(form: Column, points: Column) -> Column:
     """The pieces of a form between ascending points; its own casing is kept (FLT-9)."""
-    ends = F.concat(points, F.array(F.length(form)))
-    return F.transform(ends, lambda e, i: F.substring(form, F.when(i == 0, 0).otherwise(F.get(ends, i - 1)) + 1, e - F.when(i == 0, 0).otherwise(F.get(ends, i - 1))))
+    starts = lambda ends, i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+    cut = lambda ends: F.transform(ends, lambda e, i: F.substring(form, starts(ends, i) + 1, e - starts(ends, i)))
+    return bound(F.concat(points, F.array(F.length(form))), cut)
 
 
 def hyphenate(form: Column, points: Column, separator: str = MARK) -> Column:
@@ -102,10 +108,14 @@ def divisions(form: Column, points: Column) -> Column:
 
 def recase(parts: Column, form: Column) -> Column:
     """Parts with the form's casing where their lengths add up to it (FLT-9)."""
-    total = F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-    ends = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, y: a + F.length(y)))
-    cut = F.transform(parts, lambda x, i: F.substring(form, F.get(ends, i) - F.length(x) + 1, F.length(x)))
-    return F.array_join(F.when(total == F.length(form), cut).otherwise(parts), MARK)
+
+    def of(given: Column, own: Column) -> Column:
+        # where the last part ends, and the parts cut so far
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("cut"))
+        step = lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["cut"], F.array(F.substring(own, a["at"] + 1, F.length(x)))).alias("cut"))
+        return bound(F.aggregate(given, start, step), lambda a: F.array_join(F.when(a["at"] == F.length(own), a["cut"]).otherwise(given), MARK))
+
+    return bound(parts, lambda given: bound(form, lambda own: of(given, own)))
 
 
 def variants(given: Column) -> Column:
