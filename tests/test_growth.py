@@ -32,3 +32,12 @@ def test_division_columns_are_computed_once(spark):
     assert found.o == list(range(2, 600, 2)) and found.r == "·".join(["BA"] * 300)
     odd = spark.createDataFrame([("", []), (None, [1]), ("žaba", [2]), ("a", None)], "word string, p array<int>")
     assert [tuple(r) for r in odd.select(X.hyphenate(w, F.col("p")), X.offsets_of(X.hyphenate(w, F.col("p"))), X.recase(X.parts_of(w, F.col("p")), F.upper(w))).collect()] == [("", [], ""), ("", [], ""), ("ža·ba", [2], "ŽA·BA"), (None, None, None)]
+
+
+def test_conditions_on_types_are_not_pushed_to_tokens(spark, sf):
+    plan = plans._types(spark, sf, "lang", least=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Aggregate")  # the condition stands above the counts
+
+
+def test_profile_evidence_rests_on_saved_types(spark, sf):
+    assert not reads_documents(plans.QUERIES["profile_evidence"](spark, sf))

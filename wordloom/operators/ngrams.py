@@ -28,7 +28,7 @@ def grams(word: Column, sizes=SIZES, marked: bool = True) -> Column:
 
 def unique_types(types: DataFrame) -> DataFrame:
     """Types(word, lang) that only one language has (DD-1)."""
-    once = types.groupBy("word").agg(F.count_distinct("lang").alias("n"), F.min("lang").alias("lang")).filter("n = 1")
+    once = types.groupBy("word").agg(F.min("lang").alias("lang"), F.max("lang").alias("last")).filter("lang = last")
     return once.select("word", "lang")
 
 

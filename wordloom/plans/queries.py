@@ -15,7 +15,7 @@ from wordloom.functions import prosody
 from wordloom.functions import text as X
 from wordloom.operators import changes, discovery, grammar, liang, ngrams, review
 from wordloom.plans import patterns
-from wordloom.session import ship
+from wordloom.session import saved, ship
 from wordloom.sources import tex, texts
 from wordloom.streaming import events as streams
 
@@ -42,7 +42,8 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _types(spark: SparkSession, d: str, *by: str, least: int = 1) -> DataFrame:
     rows = texts.types(_table(spark, d, "documents"), *by)
-    return rows.filter(F.col("word").rlike(X.LETTERS) & (F.length("word") >= least))
+    # tied to n, as the condition would be pushed down to all tokens
+    return rows.filter(F.when(F.col("n") > 0, F.col("word").rlike(X.LETTERS) & (F.length("word") >= least)))
 
 
 def _points(c: str):
@@ -197,8 +198,9 @@ SPLIT = f"select *, case when {BUCKET} < 70 then 'train' when {BUCKET} < 85 then
 
 
 def _split_types(spark: SparkSession, d: str) -> DataFrame:
-    rows = ngrams.unique_types(_types(spark, d, "lang")).filter(F.length("word") >= 3)
-    return rows.withColumn("part", ngrams.family_bucket(F.col("word"), SALT))
+    """word, lang, part; saved, as a choice of parts would be pushed down to all tokens and every use would read the documents."""
+    rows = ngrams.unique_types(_types(spark, d, "lang", least=3))
+    return saved(rows.withColumn("part", ngrams.family_bucket(F.col("word"), SALT)), "split")
 
 
 @query(f"select lang, part, count(*) n from ({SPLIT}) group by all")
