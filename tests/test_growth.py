@@ -41,3 +41,7 @@ def test_conditions_on_types_are_not_pushed_to_tokens(spark, sf):
 
 def test_profile_evidence_rests_on_saved_types(spark, sf):
     assert not reads_documents(plans.QUERIES["profile_evidence"](spark, sf))
+
+
+def test_router_weights_rest_on_saved_types(spark, sf):
+    assert not reads_documents(plans.QUERIES["router_weights"](spark, sf))
