@@ -234,7 +234,7 @@ def router_weights(spark: SparkSession, d: str) -> DataFrame:
 def router_confusion(spark: SparkSession, d: str) -> DataFrame:
     """Held-out types by language and decision (LNG-1, LNG-2, AG-3, JN-13)."""
     rows = _split_types(spark, d)
-    weights = ngrams.router_weights(rows.filter("part = 'train'"))
+    weights = saved(ngrams.router_weights(rows.filter("part = 'train'")), "weights")  # read for the languages and for the scores
     test = rows.filter("part = 'test'")
     best = ngrams.detected(ngrams.router_scores(test.select("word"), weights)).withColumnRenamed("lang", "predicted")
     out = ngrams.confusion(test.join(best, "word"), "lang", "predicted")
