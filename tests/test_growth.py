@@ -50,3 +50,7 @@ def test_router_weights_rest_on_saved_types(spark, sf):
 def test_router_confusion_fits_its_weights_once(spark, sf):
     found = plans.QUERIES["router_confusion"](spark, sf)
     assert not reads_documents(found) and any("/weights-" in f for f in found.inputFiles())
+
+
+def test_routing_difference_rests_on_saved_routes(spark, sf):
+    assert not reads_documents(plans.QUERIES["routing_difference"](spark, sf))

@@ -76,6 +76,7 @@ def snapshot_problems(spark: SparkSession, d: str) -> DataFrame:
 def routing_difference(spark: SparkSession, d: str) -> DataFrame:
     """Counts of a routing difference against the human labels (ST-7)."""
     rows = _types(spark, d, "lang").groupBy(F.col("word").alias("form")).agg(F.min("lang").alias("a"), F.max("lang").alias("b"))
+    rows = saved(rows, "routes")  # both sides of the difference come from it
     before = rows.select("form", F.when(F.length("form") % 5 != 0, F.col("a")).alias("language"), F.col("a").alias("human"))
     return changes.routing_changes(before, rows.select("form", F.when(F.length("form") % 7 != 0, F.col("b")).alias("language")))
 
