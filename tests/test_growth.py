@@ -54,3 +54,7 @@ def test_router_confusion_fits_its_weights_once(spark, sf):
 
 def test_routing_difference_rests_on_saved_routes(spark, sf):
     assert not reads_documents(plans.QUERIES["routing_difference"](spark, sf))
+
+
+def test_folded_search_reads_documents_once(spark, sf):
+    assert leaves(plans.QUERIES["folded_search"](spark, sf)) == 1

@@ -399,12 +399,10 @@ def page_window(spark: SparkSession, d: str) -> DataFrame:
     where case mode when 'prefix' then starts_with(k, 'el') when 'suffix' then ends_with(k, 'el') when 'contains' then contains(k, 'el') when 'exact' then k = 'el' else regexp_matches(word, '(?i)^e.*n$') end group by mode""")
 def folded_search(spark: SparkSession, d: str) -> DataFrame:
     """Search on folded forms, all modes (FLT-1, FLT-2)."""
-    words = _types(spark, d).select("word").distinct()
-    found = [words.filter(X.matches(F.col("word"), "^e.*n$" if m == "regex" else "él", m)).agg(F.lit(m).alias("mode"), F.count("*").alias("n")) for m in ("prefix", "suffix", "contains", "exact", "regex")]
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.filter("n > 0")
+    modes = ("prefix", "suffix", "contains", "exact", "regex")
+    found = _types(spark, d).agg(*[F.count_if(X.matches(F.col("word"), "^e.*n$" if m == "regex" else "él", m)).alias(m) for m in modes])  # one pass for all
+    cells = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("n")) for m in modes])
+    return found.select(F.inline(cells)).filter("n > 0")
 
 
 @query(r"""select lang, count(*) words, count_if(length(w) <= 60 and regexp_matches(w, '^\p{L}([\p{L}\-''’]*\p{L})?$'))::bigint addable, count(distinct w) forms from (select lang, unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) w from documents) group by lang""")
