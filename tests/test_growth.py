@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
+from wordloom.operators import grammar
 from wordloom.plans import more_queries  # noqa: F401  (registers its queries)
 from wordloom.plans import queries as plans
 
@@ -58,3 +59,15 @@ def test_routing_difference_rests_on_saved_routes(spark, sf):
 
 def test_folded_search_reads_documents_once(spark, sf):
     assert leaves(plans.QUERIES["folded_search"](spark, sf)) == 1
+
+
+def test_readings_are_made_without_sorts(spark):
+    corpus = spark.createDataFrame([(f,) for f in ("žena", "ženy", "žene", "ženu", "dub", "duba", "dubu", None)], "form string")
+    found = grammar.candidate_readings(corpus)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and ("žena", "žen", "žena", 3, "žien") in rows
+    # one row for each form of a reading, whose own nominative is its lemma
+    assert {r[4] for r in rows if r[:3] == ("dub", "dub", "dub")} == {"dub", "duba", "dubu", "dube", "dubom", "duby", "dubov", "duboch", "dubmi"}
+    assert all((p, root, lemma, n, lemma) in rows for p, root, lemma, n, _ in rows)
