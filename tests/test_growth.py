@@ -71,3 +71,10 @@ def test_readings_are_made_without_sorts(spark):
     # one row for each form of a reading, whose own nominative is its lemma
     assert {r[4] for r in rows if r[:3] == ("dub", "dub", "dub")} == {"dub", "duba", "dubu", "dube", "dubom", "duby", "dubov", "duboch", "dubmi"}
     assert all((p, root, lemma, n, lemma) in rows for p, root, lemma, n, _ in rows)
+
+
+def test_paradigm_cells_are_counted_in_parts_by_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(grammar, "TASK_ROWS", 50_000)
+    found = plans.QUERIES["paradigm_cells"](spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not reads_documents(found) and "RepartitionByExpression [pattern" in plan and found.count() == 72

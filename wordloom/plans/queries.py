@@ -553,8 +553,10 @@ _CELLS = ", ".join(f"('{name}', {cell}, '{ending}')" for name, (endings, _) in g
 def paradigm_cells(spark: SparkSession, d: str) -> DataFrame:
     """All types declined as roots, each by a pattern that its length chooses (GRM-1, GRM-5, GRM-6)."""
     pattern = F.get(F.array(*map(F.lit, _PATTERNS)), F.length("word") % len(_PATTERNS))
-    roots = _types(spark, d).select(F.col("word").alias("root"), pattern.alias("pattern")).distinct()
-    cells = grammar.paradigms(roots).groupBy("pattern", "number", "case")
+    roots = saved(_types(spark, d).select(F.col("word").alias("root"), pattern.alias("pattern")), "roots")
+    # partitions by the number of forms: their bytes, which Spark would go by, pack many rows into few
+    parts = roots.count() * len(grammar.ALL) // grammar.TASK_ROWS + 1
+    cells = grammar.paradigms(roots.repartition(parts, "root")).repartition(parts, "pattern", "number", "case", "form").groupBy("pattern", "number", "case")
     return cells.agg(F.count("*").alias("n"), F.count_distinct("form").alias("forms"), F.sum(F.length("form")).alias("letters"), F.min("form").alias("first"))
 
 
