@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
-from wordloom.operators import grammar
+from wordloom.operators import discovery, grammar
 from wordloom.plans import more_queries  # noqa: F401  (registers its queries)
 from wordloom.plans import queries as plans
 
@@ -78,3 +78,13 @@ def test_paradigm_cells_are_counted_in_parts_by_rows(spark, sf, monkeypatch):
     found = plans.QUERIES["paradigm_cells"](spark, sf)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not reads_documents(found) and "RepartitionByExpression [pattern" in plan and found.count() == 72
+
+
+def test_substrings_that_are_no_members_are_ruled_out_before_the_join(spark):
+    members = spark.createDataFrame([(f"m{i}é",) for i in range(500)] + [(None,), ("",)], "member string")
+    others = spark.range(20_000).select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("w"))
+    assert members.filter(discovery.may_hold(members, F.col("member"))).count() >= 501
+    assert others.filter(discovery.may_hold(members, F.col("w"))).count() < 500  # about 500 of 262,144 bits are set
+    forms = spark.createDataFrame([("ABab",), ("ab",), (None,), ("",), ("b",)], "form string")
+    inside = discovery.members_inside(forms, forms.select(F.col("form").alias("member")), 1)
+    assert {tuple(r) for r in inside.collect()} == {("ABab", "ab", 0), ("ABab", "ab", 2), ("ABab", "b", 1), ("ABab", "b", 3), ("ab", "b", 1)}

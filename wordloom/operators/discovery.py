@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.session import saved
+
 
 def features(form: Column) -> Column:
     """Distinct two- and three-letter pieces of ^form$ (AUD-2)."""
@@ -20,16 +22,40 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) == 0, 0.0).otherwise(both / F.size(F.array_union(a, b)))
 
 
+#: Bits for each member in the table that rules out other strings, and the largest table (32 MB).
+BITS, MOST_BITS = 16, 1 << 28
+
+
+def may_hold(members: DataFrame, value: Column) -> Column:
+    """False only where members(member) surely lacks a value: one bit for each member's hash, as 64-bit words in chunks of 4096."""
+    size = min(MOST_BITS, 1 << max(18, (BITS * members.count()).bit_length()))
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(size - 1))
+    by = lambda f, c, n: F.call_function(f, c, n.cast("int") if isinstance(n, Column) else F.lit(n))
+    bit = lambda h: h.bitwiseAND(F.lit(63))
+    h = F.col("h")
+    words = members.select(place(F.col("member")).alias("h")).groupBy(by("shiftright", h, 6).alias("id")).agg(F.bit_or(by("shiftleft", F.lit(1).cast("long"), bit(h))).alias("w"))
+    every = members.sparkSession.range(size >> 6).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
+    chunks = every.groupBy(by("shiftright", F.col("id"), 12).alias("k")).agg(F.array_sort(F.collect_list(F.struct("id", "w")))["w"].alias("ws"))
+    table = chunks.agg(F.array_sort(F.collect_list(F.struct("k", "ws")))["ws"].alias("t")).scalar()
+    at = place(value)
+    word = F.get(F.get(table, by("shiftright", at, 18)), by("shiftright", at, 6).bitwiseAND(F.lit(4095)))
+    return by("shiftright", word, bit(at)).bitwiseAND(F.lit(1)) == 1
+
+
 def members_inside(forms: DataFrame, members: DataFrame, shortest: int = 3) -> DataFrame:
-    """form, member, at: dictionary members inside forms, by an equality join on their substrings (JN-10)."""
-    members = members.select("member").distinct()
+    """form, member, at: dictionary members inside forms, by an equality join on their substrings (JN-10).
+
+    Most substrings are no members: a table of bits rules them out before they are sent to the join, which decides.
+    """
+    members = saved(members.select("member").filter("member is not null").distinct(), "members")
     sizes = members.filter(F.length("member") >= shortest).groupBy(F.left("member", F.lit(1)).alias("initial")).agg(F.collect_set(F.length("member")).alias("sizes"))
-    text = F.lower("form")
-    rows = forms.select("form", F.explode(F.sequence(F.lit(0), F.greatest(F.length("form") - shortest, F.lit(0)))).alias("at"))
+    text = F.col("text")
+    rows = forms.select("form", F.lower("form").alias("text"))
+    rows = rows.select("form", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("form") - shortest, F.lit(0)))).alias("at"))
     rows = rows.withColumn("initial", F.substring(text, F.col("at") + 1, F.lit(1))).join(sizes, "initial")  # only lengths that a member of this initial has
-    fits = F.filter("sizes", lambda n: (n <= F.length(text) - F.col("at")) & (n < F.length("form")))
-    cut = rows.select("form", "at", F.explode(F.transform(fits, lambda n: F.substring(text, F.col("at") + 1, n))).alias("member"))
-    return cut.join(members, "member").select("form", "member", "at")
+    fits = (F.col("n") <= F.length(text) - F.col("at")) & (F.col("n") < F.length("form"))
+    cut = rows.select("form", "text", "at", F.explode("sizes").alias("n")).filter(fits).select("form", "at", F.substring(text, F.col("at") + 1, F.col("n")).alias("member"))
+    return cut.filter(may_hold(members, F.col("member"))).join(members, "member").select("form", "member", "at")
 
 
 def discovered(inside: DataFrame, most_examples: int = 5) -> DataFrame:

@@ -448,7 +448,7 @@ SUPPORT = 3
     select member, forms, contexts, round(2 * forms * contexts / (forms + contexts), 6) score from g where forms >= {SUPPORT}""")
 def member_discovery(spark: SparkSession, d: str) -> DataFrame:
     """Members of any length inside forms of any length, all languages; only support bounds them (AUD-8, JN-10, AG-11, AG-12, FLT-12)."""
-    forms = _types(spark, d).select(F.col("word").alias("form")).distinct()
+    forms = saved(_types(spark, d).select(F.col("word").alias("form")), "forms")
     found = discovery.discovered(discovery.members_inside(forms, forms.select(F.col("form").alias("member")), 1))
     return found.filter(F.col("forms") >= SUPPORT).select("member", "forms", "contexts", F.round("score", 6).alias("score"))
 
